@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "pricelens", **conf: str) -> SparkSession:
@@ -52,3 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one; never reused between runs."""
     return f"{shared_dir(spark)}/pricelens/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from there.
+
+    For narrow tables that several later steps read; the source is not scanned again, and a
+    lost executor costs no more than reading the written part again.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
