@@ -41,6 +41,10 @@ def digits_price(c: Column) -> Column:
     return _to_double(F.regexp_replace(c, r"[^0-9]", ""))
 
 
+def float_prefix_or_zero(c: Column) -> Column:
+    return F.regexp_extract(c, rf"^{S}*({_DECIMAL})", 1).try_cast("double")
+
+
 def round_price(c: Column) -> Column:
     return F.floor(c + F.lit(0.5)).cast("double")
 

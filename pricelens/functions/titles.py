@@ -9,34 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EDGE_R, bind, plain_spaces, squeeze, whole_words, word_start
+from .text import EDGE_R, GAP, bind, plain_spaces, squeeze, trim_plain, whole_words, word_start
 from .vocabulary import CONNECTIVITY, DISPLAY_COLORS, KEY_COLORS, KEY_PHRASES, SIM_TOKENS
 
 # Private-use characters that bracket a parenthesis group while it is being rewritten.
 _OPEN, _CLOSE = "\ue000", "\ue001"
 _SIM_IN_GROUP = {
-    "esim": "e[ -]?sim",
-    "nanosim": "nano[ -]?sim",
-    "dualsim": "dual[ -]?sim",
+    "esim": r"e[ \t-]?sim",
+    "nanosim": r"nano[ \t-]?sim",
+    "dualsim": r"dual[ \t-]?sim",
 }
 
 
 def lower_trim(c: Column) -> Column:
-    """Lower case, plain spaces, none at the ends. All later rules start from here."""
-    return F.trim(plain_spaces(F.lower(c)))
+    """Lower case, no spaces at the ends. All later rules start from here."""
+    return trim_plain(plain_spaces(F.lower(c)))
 
 
 def unit_gb(c: Column) -> Column:
-    return F.regexp_replace(c, r"(\d+) *гб", "$1gb")
+    return F.regexp_replace(c, rf"(\d+){GAP}*гб", "$1gb")
 
 
 def strip_brand(c: Column) -> Column:
-    return F.regexp_replace(c, r"^apple +", "")
+    return F.regexp_replace(c, rf"^apple{GAP}+", "")
 
 
 def plus_forms(c: Column) -> Column:
-    c = F.regexp_replace(c, rf"({word_start('pro')}|note) *\+", "$1 plus")
-    return F.regexp_replace(c, r"\+(?= |\z)", " plus")
+    c = F.regexp_replace(c, rf"({word_start('pro')}|note){GAP}*\+", "$1 plus")
+    return F.regexp_replace(c, rf"\+(?={GAP}|\z)", " plus")
 
 
 def paren_sim(c: Column) -> Column:
@@ -48,28 +48,28 @@ def paren_sim(c: Column) -> Column:
 
 
 def bare_sim(c: Column) -> Column:
-    c = F.regexp_replace(c, rf"{word_start('e')}[ -]?sim{EDGE_R}", "esim")
-    return F.regexp_replace(c, rf"{word_start('nano')}[ -]?sim{EDGE_R}", "nanosim")
+    c = F.regexp_replace(c, rf"{word_start('e')}[ \t-]?sim{EDGE_R}", "esim")
+    return F.regexp_replace(c, rf"{word_start('nano')}[ \t-]?sim{EDGE_R}", "nanosim")
 
 
 def ram_storage(c: Column) -> Column:
     """Drop RAM from Apple titles, keep "RAM storage" for all others."""
     digits = rf"{word_start('[0-9]')}[0-9]*"
-    join = r" *[/+] *"
+    join = rf"{GAP}*[/+]{GAP}*"
 
     def rewrite(t: Column) -> Column:
-        apple = F.regexp_replace(t, rf"{digits} *gb{join}([0-9]+ *gb){EDGE_R}", "$1")
-        apple = F.regexp_replace(apple, rf"{digits}{join}([0-9]+ *gb){EDGE_R}", "$1")
+        apple = F.regexp_replace(t, rf"{digits}{GAP}*gb{join}([0-9]+{GAP}*gb){EDGE_R}", "$1")
+        apple = F.regexp_replace(apple, rf"{digits}{join}([0-9]+{GAP}*gb){EDGE_R}", "$1")
         both = r"$1gb $2gb"
-        other = F.regexp_replace(t, rf"({digits}) *gb{join}([0-9]+) *gb{EDGE_R}", both)
-        other = F.regexp_replace(other, rf"({digits}){join}([0-9]+) *gb{EDGE_R}", both)
+        other = F.regexp_replace(t, rf"({digits}){GAP}*gb{join}([0-9]+){GAP}*gb{EDGE_R}", both)
+        other = F.regexp_replace(other, rf"({digits}){join}([0-9]+){GAP}*gb{EDGE_R}", both)
         return F.when(t.startswith("iphone") | t.startswith("apple"), apple).otherwise(other)
 
     return bind(c, rewrite)
 
 
 def storage_spacing(c: Column) -> Column:
-    return F.regexp_replace(c, r"([0-9]+) *gb", "$1gb")
+    return F.regexp_replace(c, rf"([0-9]+){GAP}*gb", "$1gb")
 
 
 def strip_vocab(c: Column) -> Column:
@@ -79,11 +79,11 @@ def strip_vocab(c: Column) -> Column:
 
 
 def drop_dual(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{word_start('dual')} +(?=esim)", "")
+    return F.regexp_replace(c, rf"{word_start('dual')}{GAP}+(?=esim)", "")
 
 
 def clean_punct(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[ ,\-_/\\&]+", " "))
+    return F.trim(F.regexp_replace(c, r"[ \t,\-_/\\&]+", " "))
 
 
 def reorder_tokens(c: Column) -> Column:

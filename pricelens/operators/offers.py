@@ -63,6 +63,12 @@ def source_rank(c: Column, sources: Sequence[Source] = DEFAULT_SOURCES) -> Colum
     return rank
 
 
+def position(*columns: str | Column) -> Column:
+    """Place of a row as an array of numbers: the same type for every source."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.array(*[p.cast("bigint") for p in parts])
+
+
 def with_ord(
     df: DataFrame, positions: Sequence[str], sources: Sequence[Source] = DEFAULT_SOURCES
 ) -> DataFrame:

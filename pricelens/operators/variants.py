@@ -19,13 +19,15 @@ from ..functions.labels import (
 )
 from ..functions.text import drop_spaces, truthy
 from ..functions.titles import is_apple
+from .details import lookup
 
 # ---- relational form -------------------------------------------------------------------
 
 
 def variant_prices(variants: DataFrame, option_prices: DataFrame) -> DataFrame:
     """Attach prices by product id; a variant without id or cash price is dropped."""
-    priced = variants.where(F.col("product_id").isNotNull()).join(option_prices, "product_id")
+    known = variants.where(F.col("product_id").isNotNull())
+    priced = lookup(known, option_prices, "product_id", "inner")
     return priced.where(truthy(F.col("cash_price")))
 
 

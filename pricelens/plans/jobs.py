@@ -23,6 +23,7 @@ from ..operators.compare import alerts_only, build_messages
 from ..operators.dedup import dedup_by_title, dedup_by_url
 from ..operators.details import listing_with_detail, lookup, variant_details
 from ..operators.numbering import number_alerts
+from ..operators.offers import position
 from ..operators.resolve import product_groups
 from ..operators.variants import ram_variants, sim_variants
 from ..schema import DEFAULT_SOURCES, Source
@@ -38,7 +39,7 @@ from ..sources.detail import (
 
 
 def _with_ord(df: DataFrame, *extra: str | Column) -> DataFrame:
-    return df.withColumn("ord", F.struct("page_id", "pos", *extra))
+    return df.withColumn("ord", position("page_id", "pos", *extra))
 
 
 def _variants_or_simple(df: DataFrame, source: str) -> DataFrame:
@@ -118,11 +119,11 @@ def detail_link_offers(
     found = variant_details(parents, own_links, parsed.drop("links"))
     prices = ["name", "cash_price", "installment_price"]
     variants = found.select(
-        *prices, F.struct("page_id", "place", (F.col("pos") + 1).alias("variant")).alias("ord")
+        *prices, position("page_id", "place", F.col("pos") + 1).alias("ord")
     )
     first = products.select(
         *prices,
-        F.struct("page_id", F.col("pos").alias("place"), F.lit(0).alias("variant")).alias("ord"),
+        position("page_id", "pos", F.lit(0)).alias("ord"),
     )
     offers = first.unionByName(variants).withColumn("source", F.lit(source))
     return dedup_by_title(offers)
@@ -131,7 +132,8 @@ def detail_link_offers(
 def button_variants(parts: DataFrame) -> DataFrame:
     """Offers of rendered pages: each storage button with the modifiers shown for it.
 
-    ``parts`` is the output of ``extract_buttons`` with the product's ``name``.
+    ``parts`` is the output of ``extract_buttons`` with the product's ``name`` and
+    ``page_at``, its place in the listing.
     """
     labels = F.transform("storage", lambda b: b["label"])
     of_state = F.transform(
@@ -181,18 +183,18 @@ def button_variants(parts: DataFrame) -> DataFrame:
     offers = F.when(F.size("storage") == 0, simple).otherwise(with_storage)
     place = F.coalesce(F.array_position(labels, F.col("state")), F.lit(0))
     rows = parts.select(
-        "page_id", place.alias("button"), F.posexplode(offers).alias("variant", "offer")
+        "page_at", place.alias("button"), F.posexplode(offers).alias("variant", "offer")
     )
     return rows.select(
         "offer.name", "offer.cash_price", "offer.installment_price",
-        F.struct("page_id", "button", "variant").alias("ord"),
+        F.concat("page_at", position("button", "variant")).alias("ord"),
     ).where(truthy(F.col("cash_price")))
 
 
 def button_offers(listing: DataFrame, rendered: DataFrame, source: str) -> DataFrame:
     """Offers of a shop whose variants are buttons; ``rendered`` holds ``url, state, html``."""
     unique = dedup_by_url(_with_ord(listing)).drop("ord")
-    named = unique.select("url", F.struct("page_id", "pos").alias("page_id"), "name")
+    named = unique.select("url", position("page_id", "pos").alias("page_at"), "name")
     parts = extract_buttons(rendered.select("url", "state", "html")).join(named, "url")
     offers = button_variants(parts)
     return dedup_by_title(offers.withColumn("source", F.lit(source)))

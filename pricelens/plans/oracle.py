@@ -599,7 +599,8 @@ rows AS (SELECT event_type AS brand, cast(event_id AS INTEGER) AS page, 0 AS pos
  UNION ALL SELECT event_type, cast(event_id AS INTEGER), 1, 'Case ' || k, 'Case ' || k, NULL,
   cast(nullif(k, 0) AS DOUBLE), NULL FROM ev)"""
 ORACLE["catalog_flatten"] = (
-    f"WITH {_CATALOG} SELECT brand, page, cast(pos AS INTEGER) AS pos, name, price, cash_price,"
+    f"WITH {_CATALOG} SELECT list_position([{', '.join(lit(e) for e in EVENT_SOURCES)}], brand)::BIGINT"
+    " AS brand, page::BIGINT AS page, pos::BIGINT AS pos, name, price, cash_price,"
     " installment_price, 'anchor' AS source FROM rows"
 )
 ORACLE["catalog_read"] = f"""WITH {_CATALOG} SELECT brand, page, cast(pos AS INTEGER) AS pos, raw AS name,
@@ -694,6 +695,8 @@ ORACLE["snapshot_all"] = f"""WITH {_OFFERS}, {_DIM} SELECT source, cast(rank AS
 ORACLE["snapshot_keep_old"] = f"""WITH {_OFFERS} SELECT source, count(*) AS offers,
  max(cash_price) AS highest FROM offers WHERE source IN ('shop_b', 'shop_d') OR cash_price < 20000
 GROUP BY source"""
+ORACLE["stored_report"] = f"""{_M} SELECT 1::INTEGER AS run,
+ row_number() OVER (ORDER BY first_ord) AS n, product_key, head AS alert_key FROM msgs WHERE has_alert"""
 ORACLE["snapshot_clear"] = f"""WITH {_OFFERS} SELECT source, count(*) AS offers FROM offers
 WHERE source NOT IN ('shop_b', 'shop_c') GROUP BY source"""
 

@@ -25,10 +25,10 @@ from ..schema import ATTRIBUTES, CATALOG_PAGE, DEFAULT_SOURCES, Source
 from ..session import scratch_path
 from ..sources import alerts as alert_sink_module
 from ..sources import catalog, detail, listing, snapshots
-from ..sources.tables import choose, feed_from_events, offers, price_feed, table
+from ..sources.tables import EVENT_SOURCES, choose, feed_from_events, offers, price_feed, table
 from ..streaming.alerts import stream_new_alerts
 from ..streaming.snapshots import stream_snapshots
-from . import fixtures, jobs
+from . import fixtures, jobs, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -527,8 +527,13 @@ def attr_by_code(spark, sf):
 
 @query
 def button_variants(spark, sf):
-    found = jobs.button_variants(detail.extract_buttons(fixtures.rendered_pages(spark, sf)))
-    return found.select("ord.page_id", "name", "cash_price", "installment_price")
+    rendered = fixtures.rendered_pages(spark, sf).withColumn("page_at", O.position("page_id"))
+    found = jobs.button_variants(detail.extract_buttons(rendered))
+    return found.select(_place(0, "page_id"), "name", "cash_price", "installment_price")
+
+
+def _place(i: int, name: str):
+    return F.get("ord", F.lit(i)).alias(name)
 
 
 # ---- whole jobs ------------------------------------------------------------------------
@@ -543,8 +548,12 @@ def _catalog(spark, sf):
 
 @query
 def catalog_flatten(spark, sf):
-    rows = catalog.catalog_offers(catalog.flatten_catalog(_catalog(spark, sf)), "anchor")
-    return rows.select("ord.*", "name", "price", "cash_price", "installment_price", "source")
+    flat = catalog.flatten_catalog(_catalog(spark, sf))
+    rows = catalog.catalog_offers(flat, "anchor", EVENT_SOURCES)
+    return rows.select(
+        _place(0, "brand"), _place(1, "page"), _place(2, "pos"), "name", "price", "cash_price",
+        "installment_price", "source",
+    )
 
 
 @query
@@ -573,7 +582,7 @@ def job_ram_config(spark, sf):
     spec = listing.CardSpec(**{**vars(listing.CARD_IMAGE_ALT), "base": fixtures.SHOP})
     cards = listing.extract_cards(fixtures.card_pages(spark, sf, "ram"), spec)
     found = jobs.ram_config_offers(cards, fixtures.config_pages(spark, sf, "ram"), "shop_b")
-    return found.select("ord.page_id", "name", "cash_price", "installment_price", "source")
+    return found.select(_place(0, "page_id"), "name", "cash_price", "installment_price", "source")
 
 
 @query
@@ -581,7 +590,7 @@ def job_sim_config(spark, sf):
     spec = listing.CardSpec(**{**vars(listing.CARD_LINK_TEXT), "base": fixtures.SHOP})
     cards = listing.extract_cards(fixtures.card_pages(spark, sf, "sim"), spec)
     found = jobs.sim_config_offers(cards, fixtures.config_pages(spark, sf, "sim"), "shop_d")
-    return found.select("ord.page_id", "name", "cash_price", "installment_price", "source")
+    return found.select(_place(0, "page_id"), "name", "cash_price", "installment_price", "source")
 
 
 @query
@@ -592,7 +601,7 @@ def job_detail_links(spark, sf):
     found = jobs.detail_link_offers(
         cards, fixtures.detail_pages(spark, sf), "shop_c", "shop.example/store/product"
     )
-    return found.select("ord.page_id", "name", "cash_price", "installment_price", "source")
+    return found.select(_place(0, "page_id"), "name", "cash_price", "installment_price", "source")
 
 
 @query
@@ -729,6 +738,27 @@ def snapshot_keep_old(spark, sf):
     )
 
 
+@query
+def stored_report(spark, sf):
+    """Collect every source into the store, then report from it, twice: nothing new remains."""
+    root = scratch_path(spark, "runs")
+    rows = spark.read.parquet(_staged_offers(spark, sf))
+    found = {
+        s.id: lambda s=s: rows.where(F.col("source") == s.id) for s in DEFAULT_SOURCES
+    }
+    runs.collect(found, f"{root}/store", F.lit(STAMP).cast("timestamp"))
+    first = runs.send_report(spark, f"{root}/store", f"{root}/memory")
+    again = runs.send_report(spark, f"{root}/store", f"{root}/memory", new_only=True)
+    marked = first.withColumn("run", F.lit(1)).unionByName(again.withColumn("run", F.lit(2)))
+    return marked.select("run", "n", "product_key", "alert_key")
+
+
+def _staged_offers(spark, sf) -> str:
+    path = scratch_path(spark, "offers")
+    offers(spark, sf).withColumn("ord", F.col("ord").dropFields("rank")).write.parquet(path)
+    return path
+
+
 @query
 def snapshot_clear(spark, sf):
     path = _store(spark, sf)
@@ -787,8 +817,8 @@ def _run_name(c):
 
 def _feed_alerts(spark, sf):
     best = I.hourly_runs(price_feed(spark, sf))
-    runs = best.select("run").distinct()
-    return I.run_alerts(best, runs, flat=FEED_FLAT), runs
+    hours = best.select("run").distinct()
+    return I.run_alerts(best, hours, flat=FEED_FLAT), hours
 
 
 @query
@@ -821,23 +851,23 @@ def new_alerts(spark, sf):
 
 @query
 def new_alerts_by_run(spark, sf):
-    alerts, runs = _feed_alerts(spark, sf)
-    fresh = I.new_alerts_by_run(alerts, runs)
+    alerts, hours = _feed_alerts(spark, sf)
+    fresh = I.new_alerts_by_run(alerts, hours)
     return fresh.select(_run_name("run").alias("run"), "product_key")
 
 
 @query
 def alert_counts(spark, sf):
-    alerts, runs = _feed_alerts(spark, sf)
-    counts = I.alert_counts(alerts, I.new_alerts_by_run(alerts, runs))
+    alerts, hours = _feed_alerts(spark, sf)
+    counts = I.alert_counts(alerts, I.new_alerts_by_run(alerts, hours))
     return counts.select(_run_name("run").alias("run"), "alerts", "new_alerts")
 
 
 @query
 def alerts_by_schedule(spark, sf):
-    alerts, runs = _feed_alerts(spark, sf)
+    alerts, hours = _feed_alerts(spark, sf)
     local_alerts = alerts.withColumn("run", local_time(F.col("run")))
-    local_runs = runs.select(local_time(F.col("run")).alias("run"))
+    local_runs = hours.select(local_time(F.col("run")).alias("run"))
     sent = I.alerts_by_schedule(local_alerts, local_runs)
     return sent.select(_run_name("run").alias("run"), "product_key", "run_class")
 

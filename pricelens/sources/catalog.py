@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import catalog_sim_suffix, catalog_title
 from ..functions.prices import num_or_null
+from ..operators.offers import position
 from ..schema import CATALOG_PAGE
 
 SIM_ATTRIBUTE = 19  # fixed value: the catalog attribute that describes the SIM slots
@@ -48,8 +51,14 @@ def page_coverage(pages: DataFrame, listing: str = "brand") -> DataFrame:
     return counts.withColumn("complete", F.col("pages_held") >= F.col("pages_claimed"))
 
 
-def catalog_offers(products: DataFrame, source: str) -> DataFrame:
-    """Offers from catalog rows: SIM class added to the title, prices coerced."""
+def catalog_offers(
+    products: DataFrame, source: str, brands: Sequence[str]
+) -> DataFrame:
+    """Offers from catalog rows: SIM class added to the title, prices coerced.
+
+    ``brands`` is the order in which brands are loaded.
+    """
+    brand = F.array_position(F.array(*[F.lit(b) for b in brands]), F.col("brand"))
     of_sim = F.filter("attributes", lambda a: a["attribute_id"] == SIM_ATTRIBUTE)
     suffix = catalog_sim_suffix(F.get(of_sim, F.lit(0))["attribute_value"])
     return products.select(
@@ -58,5 +67,5 @@ def catalog_offers(products: DataFrame, source: str) -> DataFrame:
         num_or_null(F.col("cash_price")).alias("cash_price"),
         num_or_null(F.col("installment_price")).alias("installment_price"),
         F.lit(source).alias("source"),
-        F.struct("brand", "page", "pos").alias("ord"),
+        position(brand, "page", "pos").alias("ord"),
     )

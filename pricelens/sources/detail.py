@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prices import digits_price, float_prefix, int_prefix, round_price
+from ..functions.prices import (
+    digits_price,
+    float_prefix,
+    float_prefix_or_zero,
+    int_prefix,
+    round_price,
+)
 from ..functions.text import S, non_empty
 from ..functions.vocabulary import RAM_LABELS, VARIANT_LABELS
 from ..schema import ATTRIBUTES, OPTION_PRICES
@@ -136,7 +142,7 @@ def simple_offer(html: Column, installment: str = "button") -> Column:
     cash = int_prefix(attribute(price_tag, "data-price-amount"))
     if installment == "button":
         raw = attribute(first_tag(html, opening("button", "loan_price")), "data-price")
-        second = round_price(float_prefix(raw))
+        second = round_price(float_prefix_or_zero(raw))
     else:
         pattern = (
             rf"(?is){opening(any_tag, 'credit_price')}.*?"

@@ -129,14 +129,15 @@ def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
 
     if spec.name_attr:
         tag = first_tag(card, opening(spec.name_tag, spec.name_class))
-        name = trim_all(attribute(tag, spec.name_attr))
+        name = attribute(tag, spec.name_attr)
     elif spec.name_class:
         name = inner_text(first_body(card, opening(spec.name_tag, spec.name_class), spec.name_tag))
     else:
         bodies = element_bodies(card, opening(spec.name_tag), spec.name_tag)
         name = inner_text(F.array_join(bodies, ""))
     if spec.buy_word:
-        name = trim_all(strip_prefix(name))
+        name = strip_prefix(name)
+    name = trim_all(name)
 
     links = []
     if spec.container:

@@ -56,6 +56,14 @@ def read_all(
     return stored.withColumn("source_rank", source_rank(F.col("source"), sources))
 
 
+def load_offers(
+    spark: SparkSession, path: str, sources: Sequence[Source] = DEFAULT_SOURCES
+) -> DataFrame:
+    """All stored offers in load order: by source, then by the ``ord`` they were stored with."""
+    stored = read_all(spark, path, sources)
+    return stored.withColumn("ord", F.struct("source_rank", "ord")).drop("source_rank")
+
+
 def last_updated(snapshots: DataFrame) -> DataFrame:
     """When each source was last written."""
     return snapshots.groupBy("source").agg(F.max("scraped_at").alias("updated_at"))

@@ -13,15 +13,18 @@ def batch_path(root: str, batch_id: int) -> str:
     return f"{root}/batch={batch_id:012d}"
 
 
-def latest_before(spark: SparkSession, root: str, batch_id: int) -> str | None:
-    """Folder of the latest batch below ``batch_id`` that completed, None if there is none."""
+def folders(spark: SparkSession, root: str, prefix: str) -> list:
+    """Names below ``root`` behind ``prefix``, as numbers where they are numbers."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
-        return None
-    done = []
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("batch=") and int(name.removeprefix("batch=")) < batch_id:
-            done.append(int(name.removeprefix("batch=")))
-    return batch_path(root, max(done)) if done else None
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    found = [n.removeprefix(prefix) for n in names if n.startswith(prefix)]
+    return [int(n) if n.isdigit() else n for n in found]
+
+
+def latest_before(spark: SparkSession, root: str, batch_id: int) -> str | None:
+    """Folder of the latest batch below ``batch_id``, None if there is none."""
+    earlier = [n for n in folders(spark, root, "batch=") if n < batch_id]
+    return batch_path(root, max(earlier)) if earlier else None
