@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import choose, table
+from ..sources.tables import choose, spread, table
 
 SHOP = "https://shop.example"
 
@@ -30,9 +30,8 @@ def _ids(*suffixes: str) -> Column:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", "p_size", "p_retailprice"
-    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    return spread(rows, ["p_partkey"])
 
 
 def _option(id_: str, label: str, *suffixes: str) -> Column:

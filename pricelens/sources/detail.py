@@ -200,16 +200,21 @@ def extract_buttons(rendered: DataFrame) -> DataFrame:
     without).
     """
     html = F.col("html")
-    return rendered.select(
-        *[c for c in rendered.columns if c != "html"],
+    kept = [c for c in rendered.columns if c != "html"]
+    read = rendered.select(
+        *kept,
+        _buttons(html, "storage-btn").alias("all_storage"),
+        _buttons(html, "modifier-btn").alias("all_modifiers"),
+        static_ram(html).alias("ram_spec"),
+    )
+    return read.select(
+        *kept,
         F.filter(
-            _buttons(html, "storage-btn"),
-            lambda b: ~b["disabled"] & (b["label"] != "") & b["price"].isNotNull(),
+            "all_storage", lambda b: ~b["disabled"] & (b["label"] != "") & b["price"].isNotNull()
         ).alias("storage"),
         F.filter(
-            _buttons(html, "modifier-btn"),
-            lambda b: ~b["disabled"] & (b["color"] == "") & (b["label"] != ""),
+            "all_modifiers", lambda b: ~b["disabled"] & (b["color"] == "") & (b["label"] != "")
         ).alias("modifiers"),
-        F.get(_buttons(html, "storage-btn"), F.lit(0))["price"].alias("first_price"),
-        static_ram(html).alias("ram_spec"),
+        F.get("all_storage", F.lit(0))["price"].alias("first_price"),
+        "ram_spec",
     )

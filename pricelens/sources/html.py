@@ -29,7 +29,7 @@ def opening(tag: str = r"[a-zA-Z][a-zA-Z0-9]*", *classes: str, attr: str | None
 
 
 def decode_entities(c: Column) -> Column:
-    """Numeric and common named entities as characters."""
+    """Numeric and common named entities as characters; most texts have none."""
 
     def numeric(text: Column) -> Column:
         def decode(piece: Column, i: Column) -> Column:
@@ -46,14 +46,15 @@ def decode_entities(c: Column) -> Column:
                 .otherwise(F.concat(char, rest))
             )
 
-        return F.when(~text.contains("&#"), text).otherwise(
-            F.array_join(F.transform(F.split(text, "&#"), decode), "")
-        )
+        return F.array_join(F.transform(F.split(text, "&#"), decode), "")
 
-    decoded = bind(c, numeric)
-    for entity, char in _ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return decoded
+    def decoded(text: Column) -> Column:
+        named = numeric(text)
+        for entity, char in _ENTITIES.items():
+            named = F.replace(named, F.lit(entity), F.lit(char))
+        return F.when(~text.contains("&"), text).otherwise(named)
+
+    return bind(c, decoded)
 
 
 def inner_text(fragment: Column) -> Column:

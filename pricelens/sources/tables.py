@@ -63,9 +63,8 @@ def offer_title() -> Column:
     )
     color = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
     number = (part % 7 + 11).cast("string")
-    return F.concat(
-        family, number, tier, F.lit(" "), ram, storage, unit, sim, F.lit(" "), color
-    )
+    title = F.concat(family, number, tier, F.lit(" "), ram, storage, unit, sim, F.lit(" "), color)
+    return F.coalesce(title, F.lit(""))
 
 
 def offers(
