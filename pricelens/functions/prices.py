@@ -49,25 +49,24 @@ def round_price(c: Column) -> Column:
     return F.floor(c + F.lit(0.5)).cast("double")
 
 
-def price_flag(
+def is_alert(
     anchor: Column, other: Column, flat: float = FLAT_LIMIT, share: float = SHARE_LIMIT
 ) -> Column:
-    """Alert if the anchor exceeds the other price by more than either limit."""
+    """Whether the anchor exceeds the other price by more than either limit."""
     diff = anchor - other
     too_dear = (diff > F.lit(flat)) | (diff > anchor * F.lit(share))
-    return (
-        F.when(~(truthy(anchor) & truthy(other)), F.lit(""))
-        .when(too_dear, F.lit(ALERT_MARK))
-        .otherwise(F.lit(OK_MARK))
-    )
+    return truthy(anchor) & truthy(other) & too_dear
 
 
-def is_alert(
+def price_flag(
     anchor: Column, other: Column, flat: float = FLAT_LIMIT, share: float = SHARE_LIMIT
 ) -> Column:
-    diff = anchor - other
-    too_dear = (diff > F.lit(flat)) | (diff > anchor * F.lit(share))
-    return truthy(anchor) & truthy(other) & too_dear
+    """The mark of a competitor's price, empty if one of the two is missing."""
+    return (
+        F.when(~(truthy(anchor) & truthy(other)), F.lit(""))
+        .when(is_alert(anchor, other, flat, share), F.lit(ALERT_MARK))
+        .otherwise(F.lit(OK_MARK))
+    )
 
 
 def installment_reference(anchor_cash: Column, anchor_installment: Column) -> Column:

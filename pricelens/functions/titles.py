@@ -41,10 +41,16 @@ def plus_forms(c: Column) -> Column:
 
 def paren_sim(c: Column) -> Column:
     """Replace each parenthesis group by the SIM tokens found in it, or by a space."""
-    c = F.regexp_replace(c, r"\(([^)]*)\)", f"{_OPEN}$1{_CLOSE}")
-    for token, pattern in _SIM_IN_GROUP.items():
-        c = F.regexp_replace(c, f"{_OPEN}(?=[^{_CLOSE}]*{pattern})", f" {token}{_OPEN}")
-    return F.regexp_replace(c, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", " ")
+
+    def rewrite(t: Column) -> Column:
+        groups = F.regexp_replace(t, r"\(([^)]*)\)", f"{_OPEN}$1{_CLOSE}")
+        for token, pattern in _SIM_IN_GROUP.items():
+            has_token = f"{_OPEN}(?=[^{_CLOSE}]*{pattern})"
+            groups = F.regexp_replace(groups, has_token, f" {token}{_OPEN}")
+        groups = F.regexp_replace(groups, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", " ")
+        return F.when(t.contains("("), groups).otherwise(t)
+
+    return bind(c, rewrite)
 
 
 def bare_sim(c: Column) -> Column:

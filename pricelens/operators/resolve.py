@@ -1,8 +1,8 @@
 """Entity resolution: offers with free-text titles to one row per product.
 
 Every result here is a minimum of something (lowest price, first position), so it can be
-taken in steps: per title and source, then per product. Each step combines rows before its
-shuffle, and titles are canonicalized only once per distinct title and source.
+taken in steps: per title, then per product. Each step combines rows before its shuffle, and
+every distinct title is canonicalized once.
 """
 
 from __future__ import annotations
@@ -23,15 +23,24 @@ def cash_order(cash: str = "cash_price", ord: str = "ord") -> Column:
     return F.struct(F.coalesce(F.col(cash), F.lit(float("inf"))).alias("cash"), ord)
 
 
-def distinct_titles(offers: DataFrame) -> DataFrame:
-    """One row per title and source: its best offer and the first position it was seen at."""
-    best = F.min_by(F.struct("cash_price", "installment_price", "ord"), cash_order())
-    return (
-        offers.where(F.col("name").isNotNull())
-        .groupBy("name", "source")
-        .agg(best.alias("_best"), F.min("ord").alias("first_ord"))
-        .select("name", "source", "_best.*", "first_ord")
-    )
+def _slot(i: int) -> str:
+    return f"_s{i}"
+
+
+def distinct_titles(
+    offers: DataFrame, sources: Sequence[Source] = DEFAULT_SOURCES
+) -> DataFrame:
+    """One row per title: the best offer of each source, and where it was seen first.
+
+    The offers of source ``i`` are in the column ``_s{i}``, null if it has none.
+    """
+    offer = F.struct("cash_price", "installment_price", "ord")
+    best = [
+        F.min_by(offer, F.when(F.col("source") == s.id, cash_order())).alias(_slot(i))
+        for i, s in enumerate(sources)
+    ]
+    named = offers.where(F.col("name").isNotNull())
+    return named.groupBy("name").agg(F.min("ord").alias("first_ord"), *best)
 
 
 def with_product_keys(df: DataFrame, name: str = "name") -> DataFrame:
@@ -48,12 +57,14 @@ def product_groups(
     does not sell the product. The number of sources is fixed, so a product is one row of
     bounded size however many offers it has, and comparing sources needs no join.
     """
-    keyed = with_product_keys(distinct_titles(offers))
-    entry = F.struct(*ENTRY_FIELDS)
-    slots = [
-        F.min_by(entry, F.when(F.col("source") == s.id, cash_order())).alias(f"_s{i}")
-        for i, s in enumerate(sources)
-    ]
+    keyed = with_product_keys(distinct_titles(offers, sources))
+    slots = []
+    for i in range(len(sources)):
+        cash, ord = F.col(_slot(i))["cash_price"], F.col(_slot(i))["ord"]
+        entry = F.struct("name", cash, F.col(_slot(i))["installment_price"])
+        order = F.struct(F.coalesce(cash, F.lit(float("inf"))).alias("cash"), ord)
+        sold = F.when(F.col(_slot(i)).isNotNull(), order)
+        slots.append(F.min_by(entry, sold).alias(_slot(i)))
     other_key = F.min_by("key", F.when(F.col("key") != F.col("base_key"), F.col("first_ord")))
     grouped = keyed.groupBy("base_key").agg(
         F.coalesce(other_key, F.col("base_key")).alias("product_key"),
@@ -64,7 +75,7 @@ def product_groups(
         "base_key",
         "product_key",
         "first_ord",
-        F.array(*[f"_s{i}" for i in range(len(sources))]).alias("entries"),
+        F.array(*[_slot(i) for i in range(len(sources))]).alias("entries"),
     )
 
 

@@ -257,7 +257,7 @@ def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each event is a page with two products; ``k`` of its properties chooses the SIM text and
     the number of pages the brand claims to have.
     """
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"), ["event_id"])
     k = F.get_json_object("props", "$.k").cast("int")
     sim = choose(k % len(SIM_VALUES), SIM_VALUES)
     first = _text(

@@ -707,7 +707,7 @@ _FEED = f"""feed AS (SELECT ts, date_trunc('hour', ts) AS run,
 _ALL_SOURCES = "known AS (SELECT unnest([" + ", ".join(
     lit(s) for s in [*SOURCE_IDS, "shop_f"]
 ) + "]) AS source)"
-ORACLE["last_updated"] = f"""WITH {_FEED} SELECT source, epoch_us(max(ts)) AS updated_us FROM feed
+ORACLE["last_updated"] = f"""WITH {_FEED} SELECT source, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM feed
 GROUP BY source"""
 ORACLE["snapshot_status"] = f"""WITH {_FEED}, {_ALL_SOURCES},
  s AS (SELECT source, count(*) AS offers, max(ts) AS seen_at FROM feed GROUP BY source)

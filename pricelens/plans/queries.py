@@ -123,11 +123,19 @@ def anchor_compare(spark, sf):
 
 @query
 def anchor_join(spark, sf):
-    """The relational form, on offers reduced by (product, source) without product groups."""
-    keyed = G.with_product_keys(G.distinct_titles(offers(spark, sf)))
-    best = keyed.groupBy("base_key", "source").agg(
-        F.min_by(F.struct("cash_price", "installment_price"), G.cash_order()).alias("b")
-    ).select("base_key", "source", "b.*")
+    """The relational form: best offers in long form, competitors joined to the anchor."""
+    titles = G.with_product_keys(G.distinct_titles(offers(spark, sf)))
+    slots = [
+        F.struct(F.lit(s.id).alias("source"), F.col(f"_s{i}").alias("slot"))
+        for i, s in enumerate(DEFAULT_SOURCES)
+    ]
+    long = titles.select("base_key", F.inline(F.array(*slots))).where(F.col("slot").isNotNull())
+    best = (
+        long.select("base_key", "source", "slot.*")
+        .groupBy("base_key", "source")
+        .agg(F.min_by(F.struct("cash_price", "installment_price"), G.cash_order()).alias("b"))
+        .select("base_key", "source", "b.*")
+    )
     anchor = best.where(F.col("source") == DEFAULT_SOURCES[0].id).drop("source")
     pairs = C.anchor_join(best.where(F.col("source") != DEFAULT_SOURCES[0].id), anchor)
     return C.with_flags(pairs)
@@ -776,7 +784,8 @@ def _history(spark, sf) -> DataFrame:
 @query
 def last_updated(spark, sf):
     updated = snapshots.last_updated(_history(spark, sf))
-    return updated.select("source", F.unix_micros("updated_at").alias("updated_us"))
+    text = F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return updated.select("source", text.alias("updated_at"))
 
 
 @query

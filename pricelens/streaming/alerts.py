@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.vocabulary import FLAT_LIMIT, SHARE_LIMIT
 from ..operators.incremental import new_alerts_by_run, run_alerts
 from ..schema import DEFAULT_SOURCES, Source
-from .state import batch_path, latest_before
+from .state import batch_path, drop_before, latest_before
 
 RUN_LENGTH = "1 hour"
 
@@ -79,6 +79,8 @@ def stream_new_alerts(
             f"{memory}/alerts"
         )
         last_run.write.mode("overwrite").parquet(f"{memory}/last_run")
+        for kept in ("closed", "alerts", "memory"):
+            drop_before(spark, f"{state_path}/{kept}", batch_id)
 
     return (
         closed_hours(feed, delay)

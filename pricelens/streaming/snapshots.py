@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .alerts import closed_hours
-from .state import batch_path
+from .state import batch_path, drop_before
 
 
 def stream_snapshots(
@@ -32,6 +32,7 @@ def stream_snapshots(
             .partitionBy("source")
             .parquet(path)
         )
+        drop_before(spark, f"{state_path}/closed", batch_id)
 
     return (
         closed_hours(feed, delay)

@@ -24,6 +24,15 @@ def folders(spark: SparkSession, root: str, prefix: str) -> list:
     return [int(n) if n.isdigit() else n for n in found]
 
 
+def drop_before(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Remove what no repeated batch can read any more: all but the last folder before it."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    earlier = sorted(n for n in folders(spark, root, "batch=") if n < batch_id)
+    for n in earlier[:-1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(batch_path(root, n))
+        folder.getFileSystem(configuration).delete(folder, True)
+
+
 def latest_before(spark: SparkSession, root: str, batch_id: int) -> str | None:
     """Folder of the latest batch below ``batch_id``, None if there is none."""
     earlier = [n for n in folders(spark, root, "batch=") if n < batch_id]
