@@ -90,8 +90,13 @@ def compare_offers(
 
 
 def product_alerts(pairs: DataFrame) -> DataFrame:
-    """Whether any competitor of a product raises an alert, from compared pairs."""
-    return pairs.groupBy("product_key").agg(F.bool_or("alert").alias("has_alert"))
+    """Whether any competitor of a product raises an alert, from compared pairs.
+
+    Pairs that come from product groups lie together by base key already, so grouping on it
+    as well needs no shuffle.
+    """
+    grouped = pairs.groupBy("base_key", "product_key")
+    return grouped.agg(F.bool_or("alert").alias("has_alert")).drop("base_key")
 
 
 def _entry(i: int, field: str) -> Column:

@@ -2,6 +2,9 @@
 
 Runs are hours, so tables with one row per run (or per run and source) are bounded by the
 calendar, not by the data; windows are taken over those tables only.
+
+Offers per run and alerts are each read more than once here. Pass them materialized (see
+``session.materialize``) where they are expensive to compute.
 """
 
 from __future__ import annotations

@@ -19,6 +19,7 @@ from ..functions.labels import (
 )
 from ..functions.text import drop_spaces, truthy
 from ..functions.titles import is_apple
+from ..session import materialize
 from .details import lookup
 
 # ---- relational form -------------------------------------------------------------------
@@ -82,6 +83,7 @@ def sim_storage_pairs(sim_options: DataFrame, storage_options: DataFrame) -> Dat
 
 def variants_or_simple(variants: DataFrame, simple: DataFrame, key: str = "page") -> DataFrame:
     """Variants where a page has any, its simple offer otherwise."""
+    variants = materialize(variants)
     with_variants = variants.select(key).distinct()
     return variants.unionByName(simple.join(with_variants, key, "left_anti"))
 

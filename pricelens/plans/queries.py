@@ -22,7 +22,7 @@ from ..operators import variants as V
 from ..operators.dedup import dedup_by_title, first_wins
 from ..operators.numbering import number_alerts
 from ..schema import ATTRIBUTES, CATALOG_PAGE, DEFAULT_SOURCES, Source
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import alerts as alert_sink_module
 from ..sources import catalog, detail, listing, snapshots
 from ..sources.tables import EVENT_SOURCES, choose, feed_from_events, offers, price_feed, table
@@ -825,9 +825,9 @@ def _run_name(c):
 
 
 def _feed_alerts(spark, sf):
-    best = I.hourly_runs(price_feed(spark, sf))
+    best = materialize(I.hourly_runs(price_feed(spark, sf)))
     hours = best.select("run").distinct()
-    return I.run_alerts(best, hours, flat=FEED_FLAT), hours
+    return materialize(I.run_alerts(best, hours, flat=FEED_FLAT)), hours
 
 
 @query
@@ -838,7 +838,7 @@ def run_classes(spark, sf):
 
 @query
 def asof_snapshots(spark, sf):
-    best = I.hourly_runs(price_feed(spark, sf))
+    best = materialize(I.hourly_runs(price_feed(spark, sf)))
     seen = I.asof_snapshots(best.select("run"), best)
     return seen.select(
         _run_name("run").alias("run"), "source", _run_name("snapshot_run").alias("snapshot_run")
