@@ -27,9 +27,9 @@ def lookup(facts: DataFrame, rows: DataFrame, on: str, how: str) -> DataFrame:
     """Join facts to at most one row per key, also when few keys hold most of the facts.
 
     A lookup side below the broadcast threshold is left to Spark's broadcast join. Beyond
-    it, the facts of the most frequent keys are spread over several tasks and only those
-    keys' lookup rows are copied there. All other keys join as usual, so nothing is dropped
-    whichever keys are chosen.
+    it, the facts (narrow rows in all uses) are written down, those of the most frequent
+    keys are spread over several tasks, and only those keys' lookup rows are copied there.
+    All other keys join as usual, so nothing is dropped whichever keys are chosen.
     """
     if 0 <= plan_bytes(rows) <= broadcast_limit(rows):
         return facts.join(rows, on, how)
@@ -37,6 +37,7 @@ def lookup(facts: DataFrame, rows: DataFrame, on: str, how: str) -> DataFrame:
 
 
 def salted_lookup(facts: DataFrame, rows: DataFrame, on: str, how: str) -> DataFrame:
+    facts = materialize(facts)
     # At most HOT_KEYS rows, hence broadcast. Written down, because both sides must see the
     # same choice. A key with more than 1/HOT_KEYS of the facts is always among them.
     hot = materialize(

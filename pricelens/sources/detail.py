@@ -12,7 +12,7 @@ from ..functions.prices import (
     int_prefix,
     round_price,
 )
-from ..functions.text import S, non_empty
+from ..functions.text import S, bind, non_empty
 from ..functions.vocabulary import RAM_LABELS, VARIANT_LABELS
 from ..schema import ATTRIBUTES, OPTION_PRICES
 from .html import all_tags, attribute, element_bodies, elements, first_body, first_tag
@@ -79,11 +79,47 @@ def variant_links(
     return pages.select("page_id", "url", F.posexplode(links).alias("pos", "link"))
 
 
+def first_object(text: Column) -> Column:
+    """``text`` up to the first closing brace that balances all braces before it.
+
+    Braces are counted as characters, also inside strings. Empty if they never balance.
+    """
+    braces = F.split(F.regexp_replace(text, "[^{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"), F.lit(0).alias("end"))
+
+    def step(acc: Column, brace: Column) -> Column:
+        closes = (brace == "}").cast("int")
+        depth = acc["depth"] + (brace == "{").cast("int") - closes
+        closed = acc["closed"] + closes
+        balanced = (acc["end"] == 0) & (brace == "}") & (depth == 0)
+        return F.struct(
+            depth.alias("depth"),
+            closed.alias("closed"),
+            F.when(balanced, closed).otherwise(acc["end"]).alias("end"),
+        )
+
+    def cut(end: Column) -> Column:
+        upto = F.call_function("substring_index", text, F.lit("}"), end)
+        return F.when(end > 0, F.concat(upto, F.lit("}"))).otherwise(F.lit(""))
+
+    return bind(F.aggregate(braces, start, step)["end"], cut)
+
+
+def whole_json(text: Column, schema: str) -> Column:
+    """A JSON object, null unless it is all of the text.
+
+    The parser would stop at the end of the first value; inside an array it cannot.
+    """
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    return F.get(F.from_json(wrapped, f"array<{schema}>", _JSON_OPTIONS), F.lit(0))
+
+
 def extract_variant_config(pages: DataFrame) -> DataFrame:
     """Add ``attributes``, ``option_prices`` and ``ok`` from the JSON embedded in a page.
 
-    The attribute object is read from its marker to its own closing brace, the price object
-    from its marker to the next one. Anything missing or malformed gives ``ok = false``.
+    The attribute object is read from its marker to where its braces balance, the price
+    object from its marker to the next one. Anything missing or malformed gives
+    ``ok = false``.
     """
     html = F.col("html")
     placed = pages.withColumns(
@@ -96,20 +132,16 @@ def extract_variant_config(pages: DataFrame) -> DataFrame:
     found = (F.col("_a") > 0) & (F.col("_o") > 0) & (F.col("_p") > 0)
     attribute_text = html.substr(F.col("_a"), F.greatest(F.col("_o") - F.col("_a"), F.lit(0)))
     price_text = html.substr(F.col("_o"), F.greatest(F.col("_p") - F.col("_o"), F.lit(0)))
-    # The parser stops at the end of the first object, so text behind it does no harm.
-    attribute_json = F.regexp_replace(attribute_text, rf'^"attributes"{S}*:{S}*', "")
-    # A wrapping array makes it an error if anything follows the price object.
+    attribute_json = first_object(
+        F.regexp_replace(attribute_text, rf'^"attributes"{S}*:{S}*', "")
+    )
     price_json = F.regexp_replace(
         F.regexp_replace(price_text, rf'^"optionPrices"{S}*:{S}*', ""), rf",{S}*\z", ""
     )
-    wrapped = F.concat(F.lit("["), price_json, F.lit("]"))
     parsed = placed.withColumns(
         {
-            "attributes": F.when(found, F.from_json(attribute_json, ATTRIBUTES, _JSON_OPTIONS)),
-            "option_prices": F.get(
-                F.when(found, F.from_json(wrapped, f"array<{OPTION_PRICES}>", _JSON_OPTIONS)),
-                F.lit(0),
-            ),
+            "attributes": F.when(found, whole_json(attribute_json, ATTRIBUTES)),
+            "option_prices": F.when(found, whole_json(price_json, OPTION_PRICES)),
         }
     )
     ok = F.col("attributes").isNotNull() & F.col("option_prices").isNotNull()
