@@ -750,7 +750,7 @@ def snapshot_keep_old(spark, sf):
 def stored_report(spark, sf):
     """Collect every source into the store, then report from it, twice: nothing new remains."""
     root = scratch_path(spark, "runs")
-    rows = spark.read.parquet(_staged_offers(spark, sf))
+    rows = materialize(offers(spark, sf).withColumn("ord", F.col("ord").dropFields("rank")))
     found = {
         s.id: lambda s=s: rows.where(F.col("source") == s.id) for s in DEFAULT_SOURCES
     }
@@ -761,12 +761,6 @@ def stored_report(spark, sf):
     return marked.select("run", "n", "product_key", "alert_key")
 
 
-def _staged_offers(spark, sf) -> str:
-    path = scratch_path(spark, "offers")
-    offers(spark, sf).withColumn("ord", F.col("ord").dropFields("rank")).write.parquet(path)
-    return path
-
-
 @query
 def snapshot_clear(spark, sf):
     path = _store(spark, sf)
@@ -808,9 +802,7 @@ def alert_sink(spark, sf):
     """Alerts of two halves of the report appended to one table."""
     path = scratch_path(spark, "alerts")
     messages = C.build_messages(_groups(spark, sf)).select("product_key", "has_alert", "message")
-    stored = scratch_path(spark, "messages")
-    messages.write.parquet(stored)
-    alerts = C.alerts_only(spark.read.parquet(stored)).drop("has_alert")
+    alerts = C.alerts_only(materialize(messages)).drop("has_alert")
     apple = F.col("product_key").startswith("iphone")
     alert_sink_module.write_alerts(alerts.where(apple), path)
     alert_sink_module.write_alerts(alerts.where(~apple), path)

@@ -11,7 +11,6 @@ import logging
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.vocabulary import FLAT_LIMIT, SHARE_LIMIT
 from ..operators.incremental import only_new

@@ -54,11 +54,13 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/pricelens/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from there.
 
-    For narrow tables that several later steps read; the source is not scanned again, and a
-    lost executor costs no more than reading the written part again.
+    For narrow tables that several later steps read: their source is not scanned again,
+    their size is known to the planner, and a lost executor costs no more than reading the
+    written part again.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from ..functions.prices import (
 from ..functions.text import S, bind, non_empty
 from ..functions.vocabulary import RAM_LABELS, VARIANT_LABELS
 from ..schema import ATTRIBUTES, OPTION_PRICES
-from .html import all_tags, attribute, element_bodies, elements, first_body, first_tag
+from .html import all_tags, attribute, elements, first_body, first_tag
 from .html import has_attribute, inner_text, opening
 from .listing import regular_price
 

@@ -17,7 +17,7 @@ from ..functions.prices import parse_price_text
 from ..functions.text import non_empty, trim_all
 from ..functions.vocabulary import OUT_OF_STOCK_TEXT
 from ..schema import LISTING
-from .html import all_tags, attribute, element_bodies, elements, first_body, first_tag
+from .html import all_tags, attribute, element_bodies, first_body, first_tag
 from .html import inner_text, opening, scope
 
 # Workers get the page reader with the task; they need not have this package installed.
@@ -103,7 +103,7 @@ def regular_price(html: Column) -> Column:
     priced = rf"(?is){opening(tag, 'price')}.*?{opening('(' + tag + ')', 'regular')}(.*?)</\1\s*>"
     bodies = F.regexp_extract_all(html, F.lit(priced), F.lit(2))
     text = F.regexp_replace(F.array_join(bodies, ""), r"(?is)<span\b[^>]*>.*?(?:</span\s*>|\z)", "")
-    return parse_price_text(inner_text(text))
+    return F.when(html.contains("regular"), parse_price_text(inner_text(text)))
 
 
 def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
