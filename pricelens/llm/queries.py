@@ -3,10 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import similarity
-from .tables import table
+from . import contamination, media, mixing, pii, quality, sharding, similarity, token_counts, toxicity, urls
+from .tables import bucket, table
+
+#: The rules of the URL query: verdict, host, beginning of the path.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def _folded(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(bucket("doc_id", folds) == held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(bucket("doc_id", 3) != 1)
+    return _folded(quality.score(docs, quality.train(docs, labels)), 3, 1)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents, with the totals that they reach and should reach."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    labels = mixing.domain(table(spark, sf_dir, "labels"))
+    rates, reached, goal = mixing.mixed(docs, labels)
+    shares = [F.round(F.get("posteriors", F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(reached)]
+    sums = [F.lit(float(v[d])).alias(f"{n}_{d}") for n, v in (("total", reached), ("target", goal)) for d in v]
+    return rates.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), *sums)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(bucket("doc_id", 5) != 0)
+    return _folded(toxicity.score(docs, toxicity.train(docs, labels)), 5, 0)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +72,71 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return contamination.report(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after a clean-up of their first and last lines."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = docs.withColumn("edits", token_counts.line_edits())
+    return token_counts.counted(edited).drop("sums")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
+    "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
+    "op6_url_filter": op6_url_filter,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_media": op8_media,
+    "op9_decontamination": op9_decontamination,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+_HOST_PATH = """
+    SELECT page_id,
+           CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_url_filter": f"""
+WITH cut AS ({_HOST_PATH}),
+parts AS (
+    SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^?#]*') AS body FROM cut
+),
+urls AS (
+    SELECT page_id,
+           translate(regexp_extract(body, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz') AS host,
+           substr(body, length(regexp_extract(body, '^[^/]*')) + 1) AS path
+    FROM parts
+)
+SELECT page_id, host, path,
+       CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org'))
+                 AND starts_with(path, '/es/') THEN 'example.org/es/'
+            WHEN (host = 'example.org' OR ends_with(host, '.example.org'))
+                 AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+            WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
+            WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+            WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+       END AS rule,
+       CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org'))
+                 AND (starts_with(path, '/es/') OR starts_with(path, '/en/1')) THEN 'block'
+            WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM urls
+""",
+}
