@@ -75,8 +75,10 @@ def run_alerts(
     :func:`hourly_runs`.
     """
     seen = asof_snapshots(runs, best, sources)
+    # One row per run and source, bounded by the calendar: sent to the offers, which stay where
+    # they are instead of meeting in a few keys per hour.
     offers = best.withColumnRenamed("run", "snapshot_run").join(
-        seen, ["source", "snapshot_run"]
+        F.broadcast(seen), ["source", "snapshot_run"]
     )
     entry = F.struct("cash_price", "installment_price")
     slots = [
@@ -104,7 +106,7 @@ def _not_in_previous(alerts: DataFrame, runs: DataFrame, earlier: DataFrame, key
     """Alerts missing from the run before; matched on run and key, so no key is hot."""
     known = earlier.select(F.col("run").alias("previous_run"), key).distinct()
     return (
-        alerts.join(runs, "run")
+        alerts.join(F.broadcast(runs), "run")
         .join(known, ["previous_run", key], "left_anti")
         .select(*alerts.columns)
     )
@@ -141,7 +143,7 @@ def alerts_by_schedule(alerts: DataFrame, runs: DataFrame, key: str = "product_k
         .where(F.col("run_class").isin(FULL, NEW_ONLY))
     )
     ordered = previous_runs(reporting, "_day")
-    classed = alerts.join(ordered.select("run", "run_class"), "run")
+    classed = alerts.join(F.broadcast(ordered.select("run", "run_class")), "run")
     full = classed.where(F.col("run_class") == FULL)
     fresh = _not_in_previous(
         classed.where(F.col("run_class") == NEW_ONLY),

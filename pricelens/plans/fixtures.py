@@ -251,6 +251,19 @@ SIM_VALUES = [
 ]
 
 
+DAMAGED = 211  # every page whose event is divisible by this is cut off in the middle
+
+
+def damaged_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``brand, value``: catalog pages of many brands that say their number in their text."""
+    pages = catalog_pages(spark, sf_dir)
+    whole = _text('{"page":', F.col("page"), ",", F.expr("substring(value, 2)"))
+    cut_off = F.substring(whole, 1, 40)
+    brand = F.concat("brand", F.lit("-"), (F.col("page") % 60).cast("string"))
+    value = F.when(F.col("page") % DAMAGED == 0, cut_off).otherwise(whole)
+    return pages.select(brand.alias("brand"), value.alias("value"))
+
+
 def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``brand, page, value`` where value is the JSON text of a catalog page, from events.
 
@@ -273,6 +286,6 @@ def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return events.select(
         F.col("event_type").alias("brand"),
-        F.col("event_id").cast("int").alias("page"),
+        F.col("event_id").alias("page"),
         value.alias("value"),
     )

@@ -592,7 +592,7 @@ ORACLE["button_variants"] = (
 _CATALOG = f"""ev AS (SELECT *, cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 sims AS (SELECT *, {pick(f'k % {len(fixtures.SIM_VALUES)}', fixtures.SIM_VALUES)} AS sim,
  'Phone ' || user_id || CASE WHEN k % 3 = 0 THEN ' eSIM' ELSE '' END AS raw FROM ev),
-rows AS (SELECT event_type AS brand, cast(event_id AS INTEGER) AS page, 0 AS pos,
+rows AS (SELECT event_type AS brand, event_id AS page, 0 AS pos,
   raw || CASE WHEN contains(lower(raw), 'esim') THEN '' ELSE {catalog_sim('sim')} END AS name, raw,
   nullif(value, 0) AS price, nullif(value, 0) AS cash_price,
   cast(CASE WHEN k % 2 = 0 OR k = 0 THEN NULL ELSE k END AS DOUBLE) AS installment_price FROM sims
@@ -606,10 +606,24 @@ ORACLE["catalog_flatten"] = (
 ORACLE["catalog_read"] = f"""WITH {_CATALOG} SELECT brand, page, cast(pos AS INTEGER) AS pos, raw AS name,
  CASE WHEN pos = 0 THEN cast(value AS VARCHAR) ELSE ' ' || k || ' ' END AS cash_price
 FROM rows JOIN ev ON page = event_id"""
+ORACLE["catalog_rejects"] = """WITH p AS (SELECT event_type || '-' || (event_id % 60) AS brand,
+ event_id AS page, event_id % 211 = 0 AS bad FROM events),
+b AS (SELECT brand, count(*) AS pages, count(*) FILTER (WHERE bad) AS rejected,
+ min(page) FILTER (WHERE bad) AS first_rejected FROM p GROUP BY brand)
+SELECT brand, pages, rejected, first_rejected,
+ CASE WHEN rejected > 0 THEN 'not json' END AS reason,
+ CASE WHEN rejected > 0 THEN 0 ELSE 2 * pages END AS products FROM b"""
 ORACLE["page_coverage"] = """WITH p AS (SELECT event_type || '-' || (user_id % 40) AS brand,
- cast(json_extract_string(props, '$.k') AS INTEGER) % 25 + 1 AS page, user_id % 20 + 10 AS last_page FROM events)
-SELECT brand, max(last_page) AS pages_claimed, count(DISTINCT page) AS pages_held,
- count(DISTINCT page) >= max(last_page) AS complete FROM p GROUP BY brand"""
+ cast(json_extract_string(props, '$.k') AS BIGINT) % 25 + 1 AS page, user_id % 20 + 10 AS last_page FROM events),
+c AS (SELECT brand, max(last_page) AS claimed FROM p GROUP BY brand),
+h AS (SELECT DISTINCT p.brand, page FROM p JOIN c ON c.brand = p.brand WHERE page BETWEEN 1 AND claimed),
+e AS (SELECT brand, page FROM h UNION ALL SELECT brand, 0 FROM c UNION ALL SELECT brand, claimed + 1 FROM c),
+g AS (SELECT brand, page, lead(page) OVER (PARTITION BY brand ORDER BY page) AS following FROM e),
+m AS (SELECT brand, string_agg((page + 1) || '-' || (following - 1), ',' ORDER BY page) AS missing
+ FROM g WHERE following - page > 1 GROUP BY brand)
+SELECT c.brand, claimed AS pages_claimed, count(h.page) AS pages_held, count(h.page) >= claimed AS complete,
+ coalesce(any_value(missing), '') AS missing
+FROM c LEFT JOIN h ON h.brand = c.brand LEFT JOIN m ON m.brand = c.brand GROUP BY c.brand, claimed"""
 
 ORACLE["job_ram_config"] = f"""WITH {_config_job('ram')}
 SELECT page_id, name, cash_price, installment_price, 'shop_b' AS source FROM joined"""

@@ -574,6 +574,24 @@ def catalog_read(spark, sf):
     return rows.select("brand", "page", "pos", "name", "cash_price")
 
 
+@query
+def catalog_rejects(spark, sf):
+    """A catalog with cut-off pages, read from files: pages, rejected ones and products by brand."""
+    path = scratch_path(spark, "damaged")
+    fixtures.damaged_catalog(spark, sf).write.partitionBy("brand").text(path)
+    pages = catalog.read_catalog_pages(spark, path, multi_line=False)
+    total = pages.groupBy("brand").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(F.col("data").isNull().cast("int")).alias("without")
+    )
+    rejected = catalog.rejected_pages(pages).groupBy("brand").agg(
+        F.count(F.lit(1)).alias("rejected"), F.min("page").alias("first_rejected"),
+        F.max("reason").alias("reason"),
+    )
+    products = catalog.flatten_catalog(pages).groupBy("brand").agg(F.count(F.lit(1)).alias("products"))
+    joined = total.drop("without").join(rejected, "brand", "left").join(products, "brand", "left")
+    return joined.fillna(0, ["rejected", "products"])
+
+
 @query
 def page_coverage(spark, sf):
     events = table(spark, sf, "events")

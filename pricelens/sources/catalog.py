@@ -16,25 +16,52 @@ SIM_ATTRIBUTE = 19  # fixed value: the catalog attribute that describes the SIM
 
 
 def read_catalog_pages(
-    spark: SparkSession, *paths: str, multi_line: bool = True
+    spark: SparkSession, *paths: str, multi_line: bool = True, skip_unreadable: bool = False
 ) -> DataFrame:
-    """``brand, page, data`` from JSON files laid out as ``brand=<b>/page=<n>/…``.
+    """``brand, page, data, damaged`` from JSON files laid out as ``brand=<b>/page=<n>/…``.
 
     Either may also be a field of the page itself; with ``multi_line=False`` a file holds
-    one page per line. An unreadable brand is skipped, the others are kept.
+    one page per line. ``damaged`` is the text of a page that is no JSON, which is kept as a row.
+    Files that cannot be read at all are an error, unless ``skip_unreadable`` is set.
     """
-    schema = f"{CATALOG_PAGE}, brand string, page int"
-    return (
+    schema = f"{CATALOG_PAGE}, brand string, page bigint, damaged string"
+    pages = (
         spark.read.schema(schema)
         .option("multiLine", str(multi_line).lower())
-        .option("ignoreCorruptFiles", "true")
+        .option("columnNameOfCorruptRecord", "damaged")
+        .option("ignoreCorruptFiles", str(skip_unreadable).lower())
         .json(list(paths))
     )
+    # A damaged page still says where it belongs, in its path or at the start of its text.
+    brand = F.regexp_extract("damaged", r'"brand"\s*:\s*"([^"]*)"', 1)
+    page = F.regexp_extract("damaged", r'"page"\s*:\s*(\d+)', 1).try_cast("bigint")
+    lost = F.col("data").isNull()
+    return pages.withColumns(
+        {
+            "brand": F.when(lost, F.coalesce("brand", F.nullif(brand, F.lit("")))).otherwise(F.col("brand")),
+            "page": F.when(lost, F.coalesce("page", page)).otherwise(F.col("page")),
+        }
+    )
+
+
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """``brand, page, reason`` of the pages that hold no list of products."""
+    damaged = F.col("damaged").isNotNull() if "damaged" in pages.columns else F.lit(False)
+    reason = F.when(damaged, "not json").when(
+        F.col("data.products.data").isNull(), "no products"
+    )
+    return pages.select("brand", "page", reason.alias("reason")).where("reason is not null")
 
 
 def flatten_catalog(pages: DataFrame) -> DataFrame:
-    """One row per product, positioned by brand, page and place on the page."""
-    products = pages.select("brand", "page", F.posexplode("data.products.data"))
+    """One row per product, positioned by brand, page and place on the page.
+
+    A brand with a rejected page is left out as a whole: half a brand would look like products
+    that are no longer sold. :func:`rejected_pages` says which brands and why.
+    """
+    rejected = rejected_pages(pages).select("brand").distinct()
+    whole = pages.join(rejected, "brand", "left_anti")
+    products = whole.select("brand", "page", F.posexplode("data.products.data"))
     return products.select("brand", "page", "pos", "col.*")
 
 
@@ -43,12 +70,34 @@ def read_catalog(spark: SparkSession, *paths: str, multi_line: bool = True) -> D
 
 
 def page_coverage(pages: DataFrame, listing: str = "brand") -> DataFrame:
-    """Pages a listing claims to have against the pages held; complete if none is missing."""
-    held = pages.groupBy(listing, "page").agg(F.max("last_page").alias("last_page"))
-    counts = held.groupBy(listing).agg(
-        F.max("last_page").alias("pages_claimed"), F.count(F.lit(1)).alias("pages_held")
+    """The pages 1 to the last one that a listing claims to have, against those held.
+
+    ``missing`` names the gaps as ranges like ``3-3,7-12``; pages beyond the claimed last one
+    do not count.
+    """
+    seen = pages.groupBy(listing).agg(
+        F.max("last_page").cast("bigint").alias("pages_claimed"),
+        F.sort_array(F.collect_set(F.col("page").cast("bigint"))).alias("seen"),
+    )
+    held = F.filter("seen", lambda p: p.between(F.lit(1), F.col("pages_claimed")))
+    edges = F.concat(
+        F.array(F.lit(0).cast("bigint")), F.col("held"), F.array(F.col("pages_claimed") + 1)
+    )
+    steps = F.transform(
+        "edges", lambda e, i: F.struct(e.alias("a"), F.get(F.col("edges"), i + 1).alias("b"))
+    )
+    gaps = F.transform(
+        F.filter(steps, lambda s: s["b"] - s["a"] > 1),
+        lambda s: F.concat_ws("-", (s["a"] + 1).cast("string"), (s["b"] - 1).cast("string")),
+    )
+    counted = seen.withColumn("held", held).withColumn("edges", edges)
+    return counted.select(
+        listing,
+        "pages_claimed",
+        F.size("held").cast("bigint").alias("pages_held"),
+        (F.size("held") >= F.col("pages_claimed")).alias("complete"),
+        F.array_join(gaps, ",").alias("missing"),
     )
-    return counts.withColumn("complete", F.col("pages_held") >= F.col("pages_claimed"))
 
 
 def catalog_offers(

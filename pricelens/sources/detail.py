@@ -15,8 +15,8 @@ from ..functions.prices import (
 from ..functions.text import S, bind, non_empty
 from ..functions.vocabulary import RAM_LABELS, VARIANT_LABELS
 from ..schema import ATTRIBUTES, OPTION_PRICES
-from .html import all_tags, attribute, elements, first_body, first_tag
-from .html import has_attribute, inner_text, opening
+from .html import NAME, TAG, all_tags, attribute, element, elements, first_body, first_tag
+from .html import has_attribute, inner_text, inside, opening, visible
 from .listing import regular_price
 
 # Strict JSON only: what a browser would refuse to parse counts as a failure here too.
@@ -34,14 +34,14 @@ def page_title(html: Column) -> Column:
 
 def credit_price(html: Column) -> Column:
     """Installment price on the first link of the credit calculator."""
-    block = opening("[a-zA-Z][a-zA-Z0-9]*", "credit_calc_link")
-    link = F.regexp_extract(html, rf"(?is){block}.*?({opening('a')})", 1)
+    block = inside(element(html, opening(NAME, "credit_calc_link")))
+    link = first_tag(block, opening("a"))
     return int_prefix(attribute(link, "data-price"))
 
 
 def extract_detail(pages: DataFrame, *extra: Column) -> DataFrame:
     """``page_id, url, name, cash_price, installment_price`` as the page itself states them."""
-    html = F.col("html")
+    html = visible(F.col("html"))
     return pages.select(
         "page_id",
         "url",
@@ -61,7 +61,7 @@ def links_of(html: Column, product_path: str, labels: list[str] | None = None) -
     pairs = F.transform(
         anchors,
         lambda a: F.struct(
-            attribute(F.regexp_extract(a, "^<[^>]*>", 0), "href").alias("href"),
+            attribute(F.regexp_extract(a, f"(?s)^{TAG}", 0), "href").alias("href"),
             inner_text(a).alias("text"),
         ),
     )
@@ -75,7 +75,7 @@ def variant_links(
     pages: DataFrame, product_path: str, labels: list[str] | None = None
 ) -> DataFrame:
     """``page_id, url, pos, link`` for every variant a page links to."""
-    links = links_of(F.col("html"), product_path, labels)
+    links = links_of(visible(F.col("html")), product_path, labels)
     return pages.select("page_id", "url", F.posexplode(links).alias("pos", "link"))
 
 
@@ -150,7 +150,7 @@ def extract_variant_config(pages: DataFrame) -> DataFrame:
 
 def disabled_products(html: Column, attributes: Column) -> Column:
     """Ids of all products that belong to an option the page marks as empty."""
-    swatches = all_tags(html, opening("[a-zA-Z][a-zA-Z0-9]*", "swatch-option"))
+    swatches = all_tags(visible(html), opening(NAME, "swatch-option"))
     empty = F.filter(swatches, lambda t: attribute(t, "data-option-empty") == "true")
     ids = F.transform(empty, lambda t: attribute(t, "data-option-id"))
     options = F.flatten(F.transform(F.map_values(attributes), lambda a: a["options"]))
@@ -169,18 +169,15 @@ def simple_offer(html: Column, installment: str = "button") -> Column:
     The installment price is an attribute of the loan button or the text of the credit
     price element, depending on the shop.
     """
-    any_tag = "[a-zA-Z][a-zA-Z0-9]*"
-    price_tag = first_tag(html, opening(any_tag, attr=r"""data-price-type\s*=\s*["']finalPrice["']"""))
-    cash = int_prefix(attribute(price_tag, "data-price-amount"))
+    html = visible(html)
+    final = r"""data-price-type\s*=\s*(?:["']finalPrice["']|finalPrice(?=[\s/>]))"""
+    cash = int_prefix(attribute(first_tag(html, opening(NAME, attr=final)), "data-price-amount"))
     if installment == "button":
         raw = attribute(first_tag(html, opening("button", "loan_price")), "data-price")
         second = round_price(float_prefix_or_zero(raw))
     else:
-        pattern = (
-            rf"(?is){opening(any_tag, 'credit_price')}.*?"
-            rf"{opening('(' + any_tag + ')', 'price')}(.*?)</\1\s*>"
-        )
-        second = digits_price(inner_text(F.regexp_extract(html, pattern, 2)))
+        block = inside(element(html, opening(NAME, "credit_price")))
+        second = digits_price(inner_text(element(block, opening(NAME, "price"))))
     return F.struct(cash.alias("cash_price"), second.alias("installment_price"))
 
 
@@ -189,7 +186,7 @@ def _buttons(html: Column, cls: str) -> Column:
     buttons = F.regexp_extract_all(html, F.lit(rf"(?is)({pattern}.*?</button\s*>)"), F.lit(1))
 
     def read(b: Column) -> Column:
-        tag = F.regexp_extract(b, "^<[^>]*>", 0)
+        tag = F.regexp_extract(b, f"(?s)^{TAG}", 0)
         return F.struct(
             inner_text(b).alias("label"),
             float_prefix(attribute(tag, "data-price")).alias("price"),
@@ -203,18 +200,12 @@ def _buttons(html: Column, cls: str) -> Column:
 
 def static_ram(html: Column) -> Column:
     """Value of the first spec item that is about RAM, null if there is none."""
-    items = elements(html, opening("div", "flex", "items-center", "gap-4"), "div")
-
-    def spec_text(item: Column, cls: str) -> Column:
-        tag = "[a-zA-Z][a-zA-Z0-9]*"
-        pattern = rf"(?is){opening('(' + tag + ')', cls)}(.*?)</\1\s*>"
-        return inner_text(F.regexp_extract(item, pattern, 2))
-
+    items = elements(html, opening(NAME, "flex", "items-center", "gap-4"))
     specs = F.transform(
         items,
         lambda i: F.struct(
-            spec_text(i, r"text-\[\#8C8C8C\]").alias("label"),
-            spec_text(i, "font-semibold").alias("value"),
+            inner_text(element(i, opening(NAME, r"text-\[\#8C8C8C\]"))).alias("label"),
+            inner_text(element(i, opening(NAME, "font-semibold"))).alias("value"),
         ),
     )
     about_ram = F.filter(
@@ -231,7 +222,7 @@ def extract_buttons(rendered: DataFrame) -> DataFrame:
     that was selected when the page was stored, ``state`` being its label (null for pages
     without).
     """
-    html = F.col("html")
+    html = visible(F.col("html"))
     kept = [c for c in rendered.columns if c != "html"]
     read = rendered.select(
         *kept,

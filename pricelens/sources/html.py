@@ -6,70 +6,93 @@ by counting its opening and closing tags inside the row.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, trim_all
 
-# Fixed values. Named entities that occur in prices, names and links.
-_ENTITIES = {
-    "&nbsp;": chr(0xA0), "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'",
-    "&copy;": "©", "&middot;": "·", "&amp;": "&",
-}
+NAME = r"[a-zA-Z][a-zA-Z0-9]*"
+
+# What may stand in a tag behind its name; a quoted value may hold ">".
+_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_BEFORE = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*?(?<=[\s"'/])"""
+TAG = rf"<[/!]?[a-zA-Z]{_REST}>"
 
+# The characters of all named entities of HTML that end in a semicolon, as one JSON text.
+_NAMED = json.dumps({n: c for n, c in html5.items() if n.endswith(";")})
 
-def opening(tag: str = r"[a-zA-Z][a-zA-Z0-9]*", *classes: str, attr: str | None = None) -> str:
+
+def opening(tag: str = NAME, *classes: str, attr: str | None = None) -> str:
     """Pattern of an opening tag that has all ``classes`` and, if given, an attribute."""
-    looks = "".join(
-        rf"""(?=[^>]*[\s"']class\s*=\s*["'][^"'>]*(?<![\w-]){c}(?![\w-]))""" for c in classes
-    )
+    looks = ""
+    for c in classes:
+        word = rf"(?<![\w-]){c}(?![\w-])"
+        value = rf"""(?:"[^"]*{word}[^"]*"|'[^']*{word}[^']*'|[^\s"'>]*{word})"""
+        looks += rf"(?={_BEFORE}class\s*=\s*{value})"
     if attr:
-        looks += rf"(?=[^>]*(?<![\w-]){attr})"
-    return rf"<{tag}(?=[\s/>]){looks}[^>]*>"
+        looks += rf"(?={_BEFORE}{attr})"
+    return rf"<{tag}(?=[\s/>]){looks}{_REST}>"
 
 
-def decode_entities(c: Column) -> Column:
-    """Numeric and common named entities as characters; most texts have none."""
-
-    def numeric(text: Column) -> Column:
-        def decode(piece: Column, i: Column) -> Column:
-            number = F.regexp_extract(piece, r"^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
-            is_hex = number.startswith("x") | number.startswith("X")
-            code = F.when(is_hex, F.substring(number, 2, 6)).otherwise(
-                F.hex(number.try_cast("bigint"))
-            )
-            char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-            rest = piece.substr(F.length(number) + 2, F.length(piece))
-            return (
-                F.when(i == 0, piece)
-                .when(number == "", F.concat(F.lit("&#"), piece))
-                .otherwise(F.concat(char, rest))
-            )
+def visible(html: Column) -> Column:
+    """Html without comments and without the text of scripts."""
+    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)", "")
 
-        return F.array_join(F.transform(F.split(text, "&#"), decode), "")
+
+def decode_entities(c: Column) -> Column:
+    """Numeric and named entities as characters; most texts have none.
+
+    A number that names no character (0, a surrogate, beyond 10FFFF) gives U+FFFD. An unknown
+    name, and a name without its semicolon, stays as it is.
+    """
+    names = F.from_json(F.lit(_NAMED), "map<string,string>")  # folded to one constant
+
+    def one(piece: Column, i: Column) -> Column:
+        body = F.regexp_extract(piece, r"^(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        digits = F.regexp_replace(body, r"^#[xX]?0*", "")
+        is_hex = F.substring(body, 2, 1).isin("x", "X")
+        # More digits than any character has: the number is too large, whatever it is.
+        number = F.when(F.length(digits) > 8, F.lit(-1).cast("bigint")).otherwise(
+            F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        )
+        good = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        code = F.lpad(F.hex(F.when(good, number).otherwise(F.lit(0xFFFD))), 8, "0")
+        char = F.when(
+            body.startswith("#"), F.decode(F.unhex(code), "UTF-32")
+        ).otherwise(F.try_element_at(names, F.concat(body, F.lit(";"))))
+        rest = piece.substr(F.length(body) + 2, F.length(piece))
+        return (
+            F.when(i == 0, piece)
+            .when((body == "") | char.isNull(), F.concat(F.lit("&"), piece))
+            .otherwise(F.concat(char, rest))
+        )
 
     def decoded(text: Column) -> Column:
-        named = numeric(text)
-        for entity, char in _ENTITIES.items():
-            named = F.replace(named, F.lit(entity), F.lit(char))
-        return F.when(~text.contains("&"), text).otherwise(named)
+        whole = F.array_join(F.transform(F.split(text, "&"), one), "")
+        return F.when(~text.contains("&"), text).otherwise(whole)
 
     return bind(c, decoded)
 
 
 def inner_text(fragment: Column) -> Column:
     """Text of an html fragment: tags removed, entities decoded, spaces at the ends cut."""
-    return trim_all(decode_entities(F.regexp_replace(fragment, "<[^>]*>", "")))
+    return trim_all(decode_entities(F.regexp_replace(fragment, TAG, "")))
 
 
 def attribute(tag_text: Column, name: str) -> Column:
     """Value of an attribute of an opening tag, empty if it is absent."""
-    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(["'])(.*?)\1"""
-    return decode_entities(F.regexp_extract(tag_text, pattern, 2))
+    value = rf"""(?is)^<{NAME}{_BEFORE}{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    plain = F.regexp_replace(F.regexp_extract(tag_text, value, 1), r"""(?s)^(["'])(.*)\1\z""", "$2")
+    return decode_entities(plain)
 
 
 def has_attribute(tag_text: Column, name: str) -> Column:
-    return tag_text.rlike(rf"(?i)\s{name}(?=[\s=/>])")
+    """Whether a tag has an attribute, whatever stands inside the values of others."""
+    bare = F.regexp_replace(tag_text, r"""(?s)"[^"]*"|'[^']*'""", '""')
+    return bare.rlike(rf"""(?i)[\s"'/]{name}(?=[\s=/>])""")
 
 
 def first_tag(html: Column, pattern: str) -> Column:
@@ -90,24 +113,38 @@ def first_body(html: Column, pattern: str, tag: str) -> Column:
     return F.regexp_extract(html, rf"(?is){pattern}(.*?)</{tag}\s*>", 1)
 
 
-def elements(html: Column, pattern: str, tag: str) -> Column:
-    """Every matching element with its content, ended by its own closing tag."""
+def elements(html: Column, pattern: str) -> Column:
+    """Every matching element with its content, ended by its own closing tag.
+
+    An element inside another matching one is cut off from it and follows on its own.
+    """
     chunks = F.split(html, f"(?i)(?={pattern})")
     found = F.filter(chunks, lambda c: c.rlike(f"(?i)^{pattern}"))
-    return F.transform(found, lambda c: scope(c, tag))
+    return F.transform(found, scope)
+
+
+def element(html: Column, pattern: str) -> Column:
+    """The first matching element with all that is inside it, empty if there is none."""
+    return scope(F.regexp_extract(html, f"(?is){pattern}.*", 0))
+
+
+def inside(element_html: Column) -> Column:
+    """The content of an element that :func:`scope` has cut."""
+    return F.regexp_replace(element_html, rf"(?s)^{TAG}", "")
 
 
-def scope(chunk: Column, tag: str) -> Column:
-    """``chunk``, which starts with an opening ``tag``, up to the matching closing tag."""
+def scope(chunk: Column) -> Column:
+    """``chunk``, which starts with an opening tag, up to the matching closing tag."""
+    own = F.lower(F.regexp_extract(chunk, rf"^<({NAME})", 1))
 
     def cut(pieces: Column) -> Column:
         start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
 
         def step(acc: Column, piece: Column) -> Column:
-            opens = piece.rlike(rf"(?i)^<{tag}(?=[\s/>])")
-            closes = piece.rlike(rf"(?i)^</{tag}(?=[\s>])")
-            depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-            ended = (acc["end"] == 0) & closes & (depth == 0)
+            same = F.lower(F.regexp_extract(piece, rf"^</?({NAME})(?=[\s/>])", 1)) == own
+            closes = piece.startswith("</")
+            depth = acc["depth"] + F.when(same, F.when(closes, -1).otherwise(1)).otherwise(0)
+            ended = (acc["end"] == 0) & same & closes & (depth == 0)
             return F.struct(
                 (acc["i"] + 1).alias("i"),
                 depth.alias("depth"),
@@ -118,4 +155,4 @@ def scope(chunk: Column, tag: str) -> Column:
         kept = F.when(end > 0, F.slice(pieces, F.lit(1), end)).otherwise(pieces)
         return F.array_join(kept, "")
 
-    return bind(F.split(chunk, rf"(?i)(?=</?{tag}[\s/>])"), cut)
+    return bind(F.split(chunk, r"(?=</?[a-zA-Z])"), cut)

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import absolute_url, strip_prefix
 from ..functions.prices import parse_price_text
-from ..functions.text import non_empty, trim_all
+from ..functions.text import bind, non_empty, trim_all
 from ..functions.vocabulary import OUT_OF_STOCK_TEXT
 from ..schema import LISTING
-from .html import all_tags, attribute, element_bodies, first_body, first_tag
-from .html import inner_text, opening, scope
+from .html import NAME, all_tags, attribute, element, element_bodies, first_tag
+from .html import inner_text, inside, opening, scope, visible
 
 # Workers get the page reader with the task; they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +27,7 @@ _ANCHOR = opening("a", attr="href")
 
 
 def hrefs(html: Column) -> Column:
-    return F.transform(all_tags(html, _ANCHOR), lambda t: attribute(t, "href"))
+    return F.transform(all_tags(visible(html), _ANCHOR), lambda t: attribute(t, "href"))
 
 
 def page_count(html: Column, mark: str = "?page=", number: str = r"page=(\d+)") -> Column:
@@ -45,7 +45,7 @@ def listing_page_count(pages: DataFrame, style: str = "page") -> DataFrame:
 
 def has_next_page(html: Column) -> Column:
     """Whether an active "next" link exists."""
-    following = all_tags(html, opening("a", "action", "next"))
+    following = all_tags(visible(html), opening("a", "action", "next"))
     inactive = F.exists(following, lambda t: t.rlike(r"""(?<![\w-])inactive(?![\w-])"""))
     return (F.size(following) > 0) & ~inactive
 
@@ -53,7 +53,7 @@ def has_next_page(html: Column) -> Column:
 def extract_links(pages: DataFrame, base: str = "") -> DataFrame:
     """``page_id, pos, name, url`` for every link with a text, in page order."""
     pattern = rf"(?is)({_ANCHOR}.*?</a\s*>)"
-    links = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+    links = F.regexp_extract_all(visible(F.col("html")), F.lit(pattern), F.lit(1))
     rows = pages.select("page_id", F.posexplode(links).alias("pos", "link"))
     named = rows.select(
         "page_id",
@@ -84,31 +84,35 @@ class CardSpec:
 
 # The three regular card layouts. Pass ``base`` for shops with relative links.
 CARD_IMAGE_ALT = CardSpec(
-    "div", "product-item-info", "img", "product-image-photo", "alt",
+    NAME, "product-item-info", NAME, "product-image-photo", "alt",
     ("product-item-photo",), buy_word=True,
 )
 CARD_LINK_TEXT = CardSpec(
-    "div", "product-item-info", "a", "product-item-link",
+    NAME, "product-item-info", NAME, "product-item-link",
     link_classes=("product-item-photo", "product-item-link"),
 )
 CARD_HEADING = CardSpec(
-    "div", "item-body", "h3", link_classes=("prod-item-img",), any_link=True,
+    NAME, "item-body", "h3", link_classes=("prod-item-img",), any_link=True,
     container="listitem", in_stock_price=True,
 )
 
 
 def regular_price(html: Column) -> Column:
-    """Price in the regular-price element, text of inner spans left out."""
-    tag = r"[a-zA-Z][a-zA-Z0-9]*"
-    priced = rf"(?is){opening(tag, 'price')}.*?{opening('(' + tag + ')', 'regular')}(.*?)</\1\s*>"
-    bodies = F.regexp_extract_all(html, F.lit(priced), F.lit(2))
-    text = F.regexp_replace(F.array_join(bodies, ""), r"(?is)<span\b[^>]*>.*?(?:</span\s*>|\z)", "")
-    return F.when(html.contains("regular"), parse_price_text(inner_text(text)))
+    """Price in the regular-price element inside the price block, text of inner spans left out."""
+
+    def read(block: Column) -> Column:
+        body = inside(element(block, opening(NAME, "regular")))
+        bare = F.regexp_replace(body, r"(?is)<span\b[^>]*>.*?(?:</span\s*>|\z)", "")
+        return parse_price_text(inner_text(bare))
+
+    block = inside(element(html, opening(NAME, "price")))
+    return F.when(html.contains("regular"), bind(block, read))
 
 
 def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
     """``page_id, pos, name, url, cash_price``; a card without name or link is dropped."""
     card_open = opening(spec.tag, spec.card)
+    pages = pages.withColumn("html", visible(F.col("html")))
     chunks = F.split("html", f"(?i)(?={card_open})")
     # A card's link may stand before the card, inside a common container.
     with_before = F.transform(
@@ -122,7 +126,7 @@ def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
     cards = F.filter(with_before, lambda c: c["chunk"].rlike(f"(?i)^{card_open}"))
     rows = pages.select("page_id", F.posexplode(cards).alias("pos", "c"))
     rows = rows.select(
-        "page_id", "pos", scope(F.col("c.chunk"), spec.tag).alias("card"),
+        "page_id", "pos", scope(F.col("c.chunk")).alias("card"),
         F.col("c.chunk").alias("chunk"), F.col("c.before").alias("before"),
     )
     card = F.col("card")
@@ -131,7 +135,7 @@ def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
         tag = first_tag(card, opening(spec.name_tag, spec.name_class))
         name = attribute(tag, spec.name_attr)
     elif spec.name_class:
-        name = inner_text(first_body(card, opening(spec.name_tag, spec.name_class), spec.name_tag))
+        name = inner_text(element(card, opening(spec.name_tag, spec.name_class)))
     else:
         bodies = element_bodies(card, opening(spec.name_tag), spec.name_tag)
         name = inner_text(F.array_join(bodies, ""))
@@ -144,7 +148,7 @@ def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
         opened = opening(spec.tag, spec.container)
         tail = F.regexp_extract("before", rf"(?is).*({opened}.*)", 1)
         rows = rows.withColumn("tail", tail)
-        whole = scope(F.concat("tail", "chunk"), spec.tag)
+        whole = scope(F.concat("tail", "chunk"))
         inside = (F.col("tail") != "") & (F.length(whole) > F.length("tail"))
         rows = rows.withColumn("container", F.when(inside, whole))
         links += [

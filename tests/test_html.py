@@ -22,7 +22,7 @@ def test_entities(apply):
 
 def test_scope_ends_at_own_closing_tag(apply):
     texts = ["<div>a<div>b</div>c</div>d</div>", "<div>open", "<div><divx></divx>e</div>f"]
-    assert apply(lambda c: html.scope(c, "div"), texts) == [
+    assert apply(lambda c: html.scope(c), texts) == [
         "<div>a<div>b</div>c", "<div>open", "<div><divx></divx>e",
     ]
 
@@ -151,3 +151,56 @@ def test_buttons_and_static_ram(spark):
     assert [(b.label, b.price, b.loan_price) for b in row.storage] == [("128GB", 10.0, None)]
     assert [(b.label, b.price) for b in row.modifiers] == [("8GB", 3.0)]
     assert (row.first_price, row.ram_spec) == (10.0, "6GB")
+
+
+def test_characters_of_all_entities(apply):
+    texts = ["&eacute;&euro;&ndash;", "&#00000039;", "&#9999999;", "&#xD800;&#0;", "&#99999999999999999999;",
+             "&nosuch; & &amp", "&NotEqualTilde;", "&#x1F600;"]
+    assert apply(html.decode_entities, texts) == [
+        "é€–", "'", "�", "��", "�", "&nosuch; & &amp", "≂̸", "😀",
+    ]
+
+
+def test_disabled_is_an_attribute_not_a_class(apply):
+    tags = ['<button class="storage-btn disabled active">', "<button disabled>", '<button class="a"disabled>',
+            '<button title="disabled x" class=b>', "<button disabled=disabled>", "<button data-disabled>"]
+    assert apply(lambda c: html.has_attribute(c, "disabled"), tags) == [False, True, True, False, True, False]
+
+
+def test_quoted_ends_and_bare_values(apply):
+    tags = ['<img alt="A > B" class="x">', "<a href=/x class=y>", "<a title='href=\"q\"' href=\"z\">", '<a data-href="1">']
+    assert apply(lambda c: html.attribute(c, "alt"), tags[:1]) == ["A > B"]
+    assert apply(lambda c: html.attribute(c, "href"), tags[1:]) == ["/x", "z", ""]
+    assert apply(lambda c: html.first_tag(c, html.opening("a", "y")), [f"<b>{t}</b>" for t in tags]) == ["", tags[1], "", ""]
+    assert apply(html.inner_text, ['<b title="1>2">x</b> it\'s 3 < 4', "<!doctype html>y"]) == ["x it's 3 < 4", "y"]
+
+
+def test_cards_of_any_tag(spark):
+    spec = listing.CARD_IMAGE_ALT
+    page = (
+        '<!-- <li class="product-item-info"><img class="product-image-photo" alt="Old"><a class="product-item-photo" href="/o"></a></li> -->'
+        "<li class=product-item-info><a class='product-item-photo' href=/x><img alt=\"A > B\" class=\"product-image-photo\"></a></li>"
+        '<section class="product-item-info"><span class="product-image-photo" alt="C"></span><a class="product-item-photo" href="/y"></a></section>'
+    )
+    rows = listing.extract_cards(pages(spark, page), spec).orderBy("pos").collect()
+    assert [(r.name, r.url) for r in rows] == [("A > B", "/x"), ("C", "/y")]
+
+
+def test_price_must_be_inside_its_block(spark, apply):
+    outside = '<div class="price"><b>1</b></div><p class="regular">5000 դր</p>'
+    nested = '<div class="price"><div class="regular"><div>1,200 դր.</div> <span>old</span></div><i class="regular">9 դր</i></div>'
+    assert apply(listing.regular_price, [outside, nested]) == [None, 1200.0]
+    links = ['<p class="credit_calc_link">x</p><a data-price="77">', '<p class="credit_calc_link"><i><a data-price=\'88\'></a></i></p>']
+    assert apply(detail.credit_price, links) == [None, 88.0]
+
+
+def test_comments_and_scripts_are_not_content(spark):
+    page = "<!-- <h1>old</h1> --><script>var a = '<h1>js</h1>';</script><h1>new</h1>"
+    assert detail.extract_detail(pages(spark, page)).first().name == "new"
+
+
+def test_ram_spec_in_any_element(apply):
+    item = '<{0} class="flex items-center gap-4"><p class="text-[#8C8C8C]">RAM</p><div><b class="font-semibold">8 GB</b></div></{0}>'
+    label = detail.RAM_LABELS[0]
+    texts = [item.replace("RAM", label).format(t) for t in ("div", "li", "tr")]
+    assert apply(detail.static_ram, texts) == ["8 GB"] * 3

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,9 @@ def test_catalog_pages_from_files(spark, tmp_path):
         ("x", 1, '{"data":{"products":{"last_page":2,\n"data":[{"name":"A","price":0,'
          '"attributes":[{"attribute_id":19,"attribute_value":"eSIM"}]}]}}}'),
         ("y", 1, "not json"),
+        ("z", 1, '{"data":{"products":{"last_page":3,"data":[{"name":"C","cash_price":"5"}]}}}'),
+        ("z", 2, '{"data":{"products":{"last_page":3,"data":[{"name":"D","cash'),
+        ("z", 3_000_000_000, '{"data":{}}'),
     ]:
         folder = tmp_path / f"brand={brand}" / f"page={page}"
         folder.mkdir(parents=True)
@@ -123,12 +127,38 @@ def test_catalog_pages_from_files(spark, tmp_path):
     assert [(r.name, r.price, r.cash_price, r.ord) for r in rows] == [
         ("A eSim", None, None, [1, 1, 0]), ("B", None, 5.0, [1, 2, 0]),
     ]
-    pages = spark.createDataFrame(
-        [("x", 1, 3), ("x", 1, 3), ("x", 3, 3), ("y", 1, 1)], "brand string, page int, last_page int"
-    )
-    coverage = {r.brand: (r.pages_claimed, r.pages_held, r.complete)
-                for r in catalog.page_coverage(pages).collect()}
-    assert coverage == {"x": (3, 2, False), "y": (1, 1, True)}
+    rejected = catalog.rejected_pages(catalog.read_catalog_pages(spark, str(tmp_path))).collect()
+    assert sorted(map(tuple, rejected)) == [
+        ("y", 1, "not json"), ("z", 2, "not json"), ("z", 3_000_000_000, "no products"),
+    ]
+
+
+def test_page_coverage_counts_claimed_pages_only(spark):
+    rows = [("x", 1, 3), ("x", 1, 3), ("x", 3, 3), ("y", 1, 1), ("z", 1, 3), ("z", 2, 3), ("z", 9, 3), ("w", 8, 7)]
+    pages = spark.createDataFrame(rows, "brand string, page int, last_page int")
+    coverage = {r.brand: tuple(r)[1:] for r in catalog.page_coverage(pages).collect()}
+    assert coverage == {
+        "x": (3, 2, False, "2-2"), "y": (1, 1, True, ""), "z": (3, 2, False, "3-3"), "w": (7, 0, False, "1-7"),
+    }
+
+
+@pytest.mark.parametrize("limit", ["-1", "10485760"])
+def test_calendar_tables_are_sent_to_the_alerts(spark, limit):
+    """No exchange of offers or alerts on the run, whatever the broadcast limit is."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = [(START + dt.timedelta(minutes=20 * k), f"p{k % 3}", s, 100.0 * (1 + (k + j) % 4), None, 10 * k + j)
+                for k in range(40) for j, s in enumerate(("anchor", "shop_b"))]
+        feed = spark.createDataFrame([(t, s, p, c, i, o) for t, p, s, c, i, o in rows], FEED)
+        best = I.hourly_runs(feed)
+        alerts = I.run_alerts(best, best.select("run").distinct())
+        plan = alerts._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"BroadcastHashJoin \[source#\d+, snapshot_run", plan)
+        found = sorted(map(str, alerts.collect()))
+        assert found and found == sorted(set(found))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 FEED = "ts timestamp, source string, product_key string, cash_price double, installment_price double, ord bigint"
