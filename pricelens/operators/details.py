@@ -1,60 +1,26 @@
-"""Listing rows joined to the detail pages they point to."""
+"""Listing rows joined to the detail pages they point to.
+
+All joins are plain equi-joins with unique keys on the page side. A key (or a missing key)
+with a large share of the listing makes a skewed partition, which Spark's adaptive skew join
+splits by its measured size, whatever the key is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .dedup import first_wins
 
-SALTS = 16
-HOT_KEYS = 1000
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    return int(
-        df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    )
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a frame's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
+def latest_per_url(parsed: DataFrame, stored: str) -> DataFrame:
+    """One row per url, the one stored last; ``stored`` names the column that says when.
 
-def lookup(facts: DataFrame, rows: DataFrame, on: str, how: str) -> DataFrame:
-    """Join facts to at most one row per key, also when few keys hold most of the facts.
-
-    A lookup side below the broadcast threshold is left to Spark's broadcast join. Beyond
-    it, the facts (narrow rows in all uses) are written down, those of the most frequent
-    keys are spread over several tasks, and only those keys' lookup rows are copied there.
-    All other keys join as usual, so nothing is dropped whichever keys are chosen.
+    An argmax aggregate over parsed columns: a page stored many times keeps one row per task.
     """
-    if 0 <= plan_bytes(rows) <= broadcast_limit(rows):
-        return facts.join(rows, on, how)
-    return salted_lookup(facts, rows, on, how)
-
-
-def salted_lookup(facts: DataFrame, rows: DataFrame, on: str, how: str) -> DataFrame:
-    facts = materialize(facts)
-    # At most HOT_KEYS rows, hence broadcast. Written down, because both sides must see the
-    # same choice. A key with more than 1/HOT_KEYS of the facts is always among them.
-    hot = materialize(
-        facts.groupBy(on).count().orderBy(F.desc("count")).limit(HOT_KEYS)
-        .select(on, F.lit(True).alias("_hot"))
-    )
-    is_hot = F.coalesce("_hot", F.lit(False))
-    # The salt depends on the partition a row comes from, which a repeated task has again.
-    own = F.pmod(F.spark_partition_id(), F.lit(SALTS))
-    left = facts.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(is_hot, own).otherwise(F.lit(0))
-    )
-    every = F.array(*[F.lit(i) for i in range(SALTS)])
-    right = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
-    )
-    return left.drop("_hot").join(right.drop("_hot"), [on, "_salt"], how).drop("_salt")
+    rest = [c for c in parsed.columns if c not in ("url", stored)]
+    last = parsed.groupBy("url").agg(F.max_by(F.struct(*rest), F.col(stored)).alias("_last"))
+    return last.select("url", "_last.*")
 
 
 def listing_with_detail(listing: DataFrame, detail: DataFrame) -> DataFrame:
@@ -69,7 +35,7 @@ def listing_with_detail(listing: DataFrame, detail: DataFrame) -> DataFrame:
         F.col("cash_price").alias("_cash"),
         F.col("installment_price").alias("installment_price"),
     )
-    joined = lookup(listing.drop("installment_price"), side, "url", "left")
+    joined = listing.drop("installment_price").join(side, "url", "left")
     return joined.withColumns(
         {
             "name": F.coalesce("_name", "name"),
@@ -92,5 +58,5 @@ def variant_details(parents: DataFrame, links: DataFrame, detail: DataFrame) ->
         F.col("url").alias("link"), "name", "cash_price", "installment_price"
     )
     titled = fresh.join(parents.withColumnRenamed("name", "parent_name"), "url")
-    found = lookup(titled, targets, "link", "inner")
+    found = titled.join(targets, "link")
     return found.where(~F.col("name").eqNullSafe(F.col("parent_name")))

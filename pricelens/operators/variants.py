@@ -6,7 +6,7 @@ form works on the option lists of one page inside its row, where no shuffle is n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import (
@@ -19,8 +19,6 @@ from ..functions.labels import (
 )
 from ..functions.text import drop_spaces, truthy
 from ..functions.titles import is_apple
-from ..session import materialize
-from .details import lookup
 
 # ---- relational form -------------------------------------------------------------------
 
@@ -28,7 +26,7 @@ from .details import lookup
 def variant_prices(variants: DataFrame, option_prices: DataFrame) -> DataFrame:
     """Attach prices by product id; a variant without id or cash price is dropped."""
     known = variants.where(F.col("product_id").isNotNull())
-    priced = lookup(known, option_prices, "product_id", "inner")
+    priced = known.join(option_prices, "product_id")
     return priced.where(truthy(F.col("cash_price")))
 
 
@@ -82,10 +80,20 @@ def sim_storage_pairs(sim_options: DataFrame, storage_options: DataFrame) -> Dat
 
 
 def variants_or_simple(variants: DataFrame, simple: DataFrame, key: str = "page") -> DataFrame:
-    """Variants where a page has any, its simple offer otherwise."""
-    variants = materialize(variants)
-    with_variants = variants.select(key).distinct()
-    return variants.unionByName(simple.join(with_variants, key, "left_anti"))
+    """Variants where a page has any, its simple offer otherwise.
+
+    Both sides meet once on the page, so neither is computed twice or written down; a page has
+    as many rows there as it has options.
+    """
+    both = variants.withColumn("_rank", F.lit(0)).unionByName(simple.withColumn("_rank", F.lit(1)))
+    best = F.min("_rank").over(Window.partitionBy(key))
+    kept = both.withColumn("_best", best).where(F.col("_rank") == F.col("_best"))
+    return kept.drop("_rank", "_best")
+
+
+def variant_counts(variants: DataFrame, key: str = "page") -> DataFrame:
+    """How many variants each page has."""
+    return variants.groupBy(key).agg(F.count(F.lit(1)).alias("variants"))
 
 
 # ---- nested form -----------------------------------------------------------------------

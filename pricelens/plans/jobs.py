@@ -21,7 +21,7 @@ from ..functions.text import truthy
 from ..functions.vocabulary import FLAT_LIMIT, SHARE_LIMIT
 from ..operators.compare import alerts_only, build_messages
 from ..operators.dedup import dedup_by_title, dedup_by_url
-from ..operators.details import listing_with_detail, lookup, variant_details
+from ..operators.details import latest_per_url, listing_with_detail, variant_details
 from ..operators.numbering import number_alerts
 from ..operators.offers import position
 from ..operators.resolve import product_groups
@@ -42,6 +42,12 @@ def _with_ord(df: DataFrame, *extra: str | Column) -> DataFrame:
     return df.withColumn("ord", position("page_id", "pos", *extra))
 
 
+def _stored(pages: DataFrame) -> Column:
+    """When a page was stored; pages without ``stored_at`` are told apart by their text."""
+    time = F.col("stored_at") if "stored_at" in pages.columns else F.lit(0)
+    return F.struct(time.alias("at"), F.xxhash64("html").alias("text")).alias("_stored")
+
+
 def _variants_or_simple(df: DataFrame, source: str) -> DataFrame:
     """One offer per variant; the simple offer where there is no variant; else nothing."""
     simple = F.when(
@@ -68,12 +74,12 @@ def ram_config_offers(listing: DataFrame, pages: DataFrame, source: str) -> Data
     ``listing`` is ``page_id, pos, name, url``. Listed twice means offered twice: this shop
     is not deduplicated.
     """
-    parsed = extract_variant_config(pages.select("url", "html")).select(
-        "url", "attributes", "option_prices", "ok",
+    parsed = extract_variant_config(pages.select("url", "html", _stored(pages))).select(
+        "url", "attributes", "option_prices", "ok", "_stored",
         F.when(F.col("ok"), disabled_products(F.col("html"), F.col("attributes"))).alias("off"),
         simple_offer(F.col("html"), "button").alias("simple"),
     )
-    joined = lookup(listing, parsed, "url", "inner")
+    joined = listing.join(latest_per_url(parsed, "_stored"), "url")
     variants = ram_variants(
         F.col("name"), F.col("attributes"), F.col("option_prices"), F.col("off")
     )
@@ -88,11 +94,11 @@ def sim_config_offers(listing: DataFrame, pages: DataFrame, source: str) -> Data
     Urls are deduplicated before pages are read, titles afterwards; the first wins.
     """
     unique = dedup_by_url(_with_ord(listing)).drop("ord")
-    parsed = extract_variant_config(pages.select("url", "html")).select(
-        "url", "attributes", "option_prices", "ok",
+    parsed = extract_variant_config(pages.select("url", "html", _stored(pages))).select(
+        "url", "attributes", "option_prices", "ok", "_stored",
         simple_offer(F.col("html"), "text").alias("simple"),
     )
-    joined = unique.join(parsed, "url")
+    joined = unique.join(latest_per_url(parsed, "_stored"), "url")
     variants = sim_variants(F.col("name"), F.col("attributes"), F.col("option_prices"))
     offers = _variants_or_simple(
         joined.withColumn("variants", F.when(F.col("ok"), variants)), source
@@ -111,7 +117,9 @@ def detail_link_offers(
     unique = materialize(dedup_by_url(_with_ord(listing)).drop("ord"))
     links = links_of(F.col("html"), product_path, labels)
     parsed = materialize(
-        extract_detail(pages, links.alias("links")).drop("page_id")
+        latest_per_url(
+            extract_detail(pages, links.alias("links"), _stored(pages)).drop("page_id"), "_stored"
+        )
     )
     products = listing_with_detail(unique, parsed.drop("links"))
     parents = products.select("url", "name", "page_id", F.col("pos").alias("place"))

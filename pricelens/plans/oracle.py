@@ -477,7 +477,7 @@ ORACLE["format_pair"] = f"""WITH {_PAIRS}, whole AS (SELECT {_PK}, floor(cash_pr
 SELECT {_PK}, {pair_text('c', 'i', 'ac', 'ai', 'l_suppkey % 5 = 0')} AS text FROM whole"""
 
 ORACLE["dedup_url"] = r"""WITH bare AS (SELECT page_id,
- regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS url FROM pages)
+ regexp_extract(url, '^https?://[^./]*\.([^/]*/[^/?#]*)', 1) AS url FROM pages)
 SELECT url, min(page_id) AS page_id FROM bare GROUP BY url"""
 ORACLE["dedup_title"] = f"""WITH {_OFFERS}, r AS (SELECT *,
  row_number() OVER (PARTITION BY source, name ORDER BY ord) AS rn FROM offers)
@@ -543,9 +543,9 @@ ORACLE["listing_detail"] = """SELECT o_orderkey, o_custkey AS url,
  CASE WHEN c_acctbal > 5000 THEN c_acctbal + 1 END AS installment_price
 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey"""
 ORACLE["variant_detail"] = f"""WITH {_LINKS}, heads AS (SELECT page_id, {_H1} AS name,
-  '/' || split_part(lower({_H1}), ' ', 1) AS url FROM pages),
- uniq AS (SELECT url, min(page_id) AS page_id FROM heads GROUP BY url),
- own AS (SELECT u.url, u.page_id, h.name FROM uniq u JOIN heads h ON h.page_id = u.page_id),
+  '/' || split_part(lower({_H1}), ' ', 1) AS path FROM pages),
+ own AS (SELECT page_id, name, CASE WHEN page_id = min(page_id) OVER (PARTITION BY path) THEN path
+  ELSE path || '/' || page_id END AS url FROM heads WHERE path IS NOT NULL),
  outgoing AS (SELECT DISTINCT o.url, o.name AS parent, n.href AS link
   FROM own o JOIN named n ON n.page_id = o.page_id WHERE n.href <> o.url)
 SELECT g.url, g.link, t.name, cast(length(t.name) AS DOUBLE) AS cash_price
@@ -799,3 +799,6 @@ ORACLE["new_alerts"] = f"""WITH {_OFFERS},
  {groups('offers', 't')}, {groups('earlier', 'e')}, {_DIM}, {messages('t')}, {messages('e', '_e')}
 SELECT product_key, head AS alert_key FROM msgs WHERE has_alert
  AND head NOT IN (SELECT head FROM msgs_e WHERE has_alert)"""
+
+ORACLE["variant_counts"] = f"SELECT page, count(*) AS variants FROM ({ORACLE['option_intersection']}) GROUP BY page"
+ORACLE["next_page"] = "SELECT p_partkey AS page_id, p_partkey % 5 IN (0, 4) AS has_next FROM part"

@@ -247,7 +247,8 @@ def format_pair(spark, sf):
 @query
 def dedup_url(spark, sf):
     pages = table(spark, sf, "pages")
-    bare = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
+    # Host without its first label, and the first folder: many pages share one.
+    bare = F.regexp_extract("url", r"^https?://[^./]*\.([^/]*/[^/?#]*)", 1)
     return first_wins(pages.select(bare.alias("url"), "page_id"), ["url"], "page_id")
 
 
@@ -397,6 +398,23 @@ def extract_listing(spark, sf):
     return listing.extract_links(table(spark, sf, "pages"), STORE_URL)
 
 
+@query
+def next_page(spark, sf):
+    """Listing pages with an active, an inactive, a commented-out and no "next" link."""
+    key = F.col("p_partkey")
+    link = (
+        F.when(key % 5 == 0, '<a title="a > b" class=\'action next\' href=/p>')
+        .when(key % 5 == 1, '<a class="action next inactive">')
+        .when(key % 5 == 2, '<!-- <a class="action next"> -->')
+        .when(key % 5 == 3, '<a class="action previous">')
+        .otherwise('<a href="?p=2" class="next page-link action">')
+    )
+    pages = table(spark, sf, "part").select(
+        key.alias("page_id"), F.concat(F.lit("<ul>"), link, F.col("p_name"), F.lit("</a></ul>")).alias("html")
+    )
+    return pages.select("page_id", listing.has_next_page(F.col("html")).alias("has_next"))
+
+
 @query
 def absolute_urls(spark, sf):
     pages = table(spark, sf, "pages")
@@ -446,14 +464,16 @@ def listing_detail(spark, sf):
 
 @query
 def variant_detail(spark, sf):
-    """Nav links as variant links: a page is a variant if its path starts with the word."""
+    """Nav links as variant links: the first page whose heading starts with a word is its target;
+    every other page has an address of its own."""
     pages = table(spark, sf, "pages").select("page_id", "html")
-    base = pages.select(
-        "page_id", "html",
-        F.concat(F.lit("/"), F.element_at(F.split(F.lower(detail.heading(F.col("html"))), " "), 1))
-        .alias("url"),
-    )
-    unique = first_wins(base, ["url"], "page_id")
+    word = F.element_at(F.split(F.lower(detail.heading(F.col("html"))), " "), 1)
+    base = pages.select("page_id", "html", F.concat(F.lit("/"), word).alias("path"))
+    firsts = base.groupBy("path").agg(F.min("page_id").alias("first"))
+    own = F.when(F.col("page_id") == F.col("first"), F.col("path")).otherwise(
+        F.concat("path", F.lit("/"), F.col("page_id").cast("string"))
+    )
+    unique = base.join(firsts, "path").select("page_id", "html", own.alias("url"))
     details = detail.extract_detail(unique).drop("page_id").withColumn(
         "cash_price", F.length("name").cast("double")
     )
@@ -683,6 +703,16 @@ def disabled_anti(spark, sf):
     return V.drop_disabled(products, _disabled(spark, sf))
 
 
+@query
+def variant_counts(spark, sf):
+    """Storage and RAM variants of each page."""
+    pairs = V.option_pairs(
+        _options(spark, sf, "l_returnflag"), _options(spark, sf, "l_linestatus"),
+        _disabled(spark, sf),
+    )
+    return V.variant_counts(pairs)
+
+
 @query
 def variant_price_join(spark, sf):
     variants = V.option_pairs(

@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.details import plan_bytes
 from ..operators.offers import with_ord
 from ..schema import DEFAULT_SOURCES, Source
 
-SPLIT_BYTES = 128 * 1024 * 1024  # Spark's default size of an input split
-
 # Columns that order the rows of lineitem totally.
 LINE_ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
@@ -24,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows over all cores when there are too few input files to keep them busy.
-
-    A file is read by one task per row group, so a table in one small file would run on one
-    core. Tables with enough files or enough data to be split are left alone: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = plan_bytes(df) < cores * SPLIT_BYTES
-    return df.repartition(cores, *keys) if small and len(df.inputFiles()) < cores else df
-
-
 def choose(index: Column, values: Sequence[str]) -> Column:
     """The value at a position computed from the row, from a fixed list of texts."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -71,7 +57,7 @@ def offers(
     spark: SparkSession, sf_dir: str, sources: Sequence[Source] = DEFAULT_SOURCES
 ) -> DataFrame:
     """Offers from lineitem and part: ``source, name, cash_price, installment_price, ord``."""
-    lines = spread(table(spark, sf_dir, "lineitem").select(*LINE_ORDER), LINE_ORDER)
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     installment = F.round(F.col("l_extendedprice") * (1 + F.col("l_tax")))

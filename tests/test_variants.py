@@ -67,33 +67,42 @@ def test_variants_or_simple(spark):
     assert sorted((r.page, r.cash_price) for r in found) == [(1, 5.0), (1, 6.0), (2, 8.0)]
 
 
-def _without_broadcast(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-
-
-def test_salted_lookup_equals_plain_join(spark):
-    """A third of the facts on one key, one key unknown, one lookup row unused."""
-    facts = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id"
-    ).repartition(7)
-    rows = spark.createDataFrame([(k, f"r{k}") for k in [*range(45), 99]], "k bigint, v string")
-    for how in ("inner", "left"):
-        plain = sorted((r.k, r.id, r.v or "") for r in facts.join(rows, "k", how).collect())
-        salted = D.salted_lookup(facts, rows, "k", how)
-        assert set(salted.columns) == {"k", "id", "v"}
-        assert sorted((r.k, r.id, r.v or "") for r in salted.collect()) == plain
-
-
-def test_lookup_beyond_the_broadcast_limit(spark):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    facts = spark.range(100).withColumnRenamed("id", "k")
-    rows = spark.range(50).select(F.col("id").alias("k"), F.col("id").alias("v"))
+def test_hot_and_missing_keys_are_split(spark):
+    """Half the listing on one url, a quarter without any: the adaptive join splits both."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        _without_broadcast(spark)
-        assert D.lookup(facts, rows, "k", "inner").count() == 50
-        assert D.lookup(facts, rows, "k", "left").count() == 100
+        key = F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 4 == 1, F.col("id").cast("string"))
+        listing = spark.range(40_000, numPartitions=8).select(
+            key.alias("url"), F.col("id").cast("string").alias("name"), F.lit(1.0).alias("cash_price"), "id"
+        )
+        detail = spark.range(40_000).select(
+            F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("url"),
+            F.lit("d").alias("name"), F.lit(2.0).alias("cash_price"), F.lit(3.0).alias("installment_price"),
+        )
+        found = D.listing_with_detail(listing, detail)
+        counts = {r.name == "d": r.n for r in found.groupBy(F.col("name") == "d").agg(
+            F.count("*").alias("n"), F.first("name").alias("name")).collect()}
+        assert counts == {True: 30_000, False: 10_000}
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_last_stored_page_of_a_url(spark):
+    rows = spark.createDataFrame([("u", 1, "a"), ("u", 3, "c"), ("u", 2, "b"), ("v", 1, "d")], "url string, at int, name string")
+    assert {tuple(r) for r in D.latest_per_url(rows, "at").collect()} == {("u", "c"), ("v", "d")}
 
 
 def test_listing_without_detail_is_kept(spark):
