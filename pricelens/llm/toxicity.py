@@ -247,8 +247,12 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return at
 
 
-def fit(texts: Texts, labels: np.ndarray) -> Net:
-    """A net of labelled texts; with one class or none, a constant score."""
+def fit(texts: Texts, labels: np.ndarray, toxic: float | None = None) -> Net:
+    """A net of labelled texts; with one class or none, a constant score.
+
+    ``toxic`` is the share of toxic rows among all labelled ones, if the given ones are balanced:
+    scores are chances under that share.
+    """
     y = (np.asarray(labels) > 0).astype(np.float32)
     rng = np.random.default_rng(SEED)
     net = Net.new(rng)
@@ -299,6 +303,9 @@ def fit(texts: Texts, labels: np.ndarray) -> Net:
             net.embedding[slots] -= 0.05 * grad / np.sqrt(squares[slots])
     found = evidence(net.logits(texts.features, at), row, len(y))
     net.curve = _curve(found[held], y[held].astype(float))
+    if toxic is not None and 0 < toxic < 1:
+        given = float(np.clip(y[held].mean(), 1e-3, 1 - 1e-3))
+        net.curve[3] += np.log(toxic / (1 - toxic)) - np.log(given / (1 - given))
     return net
 
 
@@ -319,9 +326,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     """Fit on the given labelled rows; repeated documents count once."""
     chosen = labelled(docs, labels, label, rows)
     found = sorted({(r.place, r.label, r.text or "") for r in chosen.collect()})
+    toxic = labels.where(F.col(label).isNotNull()).agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
     texts = [text.encode() for _, _, text in found]
     bounds = np.cumsum([0, *map(len, texts)])
-    return fit(Texts.of(np.frombuffer(b"".join(texts), np.uint8), bounds), np.array([y for _, y, _ in found]))
+    whole = Texts.of(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    return fit(whole, np.array([y for _, y, _ in found]), toxic)
 
 
 def score(docs: DataFrame, net: Net, text: str = "text", column: str = "score") -> DataFrame:
