@@ -25,7 +25,7 @@ def brute(rows, items):
             for size in {len(w) for w in windows}:
                 w = tuple(own[k : k + size])
                 if w in windows:
-                    hit.update(range(k, k + size))
+                    hit.update(range(k, k + len(w)))
                     met |= windows[w]
         digest = sha256(",".join(sorted(map(str, met))).encode()).hexdigest()
         out.append((d, len(own), len(hit), len(met), digest, bool(hit)))

@@ -125,3 +125,14 @@ def test_word_hashes_tell_words_apart():
     for _, _, data, bounds in words.chunks(pa.array(texts)):
         found += words.Words(data, bounds, words.NOT_SPACE).hashes().tolist()
     assert len(set(found)) == len(texts)
+
+
+@pytest.mark.parametrize("seed", [4])
+def test_long_lists_of_tokens_taken_for_rare(docs, seed, monkeypatch):
+    """No token is known to be frequent: passages make long lists, pairs meet in several."""
+    monkeypatch.setattr(similarity, "FREQUENT", 10**9)
+    monkeypatch.setattr(similarity, "LONG_LIST", 8)
+    monkeypatch.setattr(similarity, "BLOCK_TOKENS", 3000)
+    rows = corpus(seed)
+    found = similarity.jaccard_classes(docs(rows)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in found} == brute(rows)
