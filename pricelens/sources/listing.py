@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +15,10 @@ from ..functions.prices import parse_price_text
 from ..functions.text import bind, non_empty, trim_all
 from ..functions.vocabulary import OUT_OF_STOCK_TEXT
 from ..schema import LISTING
+from ..session import ship_package
 from .html import NAME, all_tags, attribute, element, element_bodies, first_tag
 from .html import inner_text, inside, opening, scope, visible
 
-# Workers get the page reader with the task; they need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _ANCHOR = opening("a", attr="href")
 
 
@@ -239,6 +235,7 @@ def extract_headings(
                 rows += [(page_id, i, n, u) for i, (n, u) in enumerate(parser.finish())]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "name", "url"])
 
+    ship_package(pages.sparkSession)  # workers need not have this package installed
     candidates = pages.where(F.col("html").contains(marker)).select("page_id", "html")
     found = candidates.mapInPandas(read, LISTING)
     return found.withColumn("url", absolute_url(F.col("url"), base))
