@@ -16,7 +16,7 @@ from ..functions.prices import (
     price_flag,
     same_price,
 )
-from ..functions.report import NO_BREAK_SPACE, anchor_pair, competitor_pair
+from ..functions.report import NO_BREAK_SPACE, alert_key, anchor_pair, competitor_pair
 from ..functions.titles import display_name
 from ..functions.vocabulary import ABSENT_TEXT, FLAT_LIMIT, SHARE_LIMIT
 from ..schema import DEFAULT_SOURCES, Source
@@ -110,13 +110,17 @@ def build_messages(
     share: float = SHARE_LIMIT,
     group_sep: str = NO_BREAK_SPACE,
 ) -> DataFrame:
-    """``base_key, product_key, first_ord, has_alert, message`` per anchored product."""
+    """``base_key, product_key, first_ord, has_alert, alert_key, message`` per anchored product.
+
+    ``alert_key`` comes from the title line alone, so who needs only keys formats no message.
+    """
     ac, ai = F.col("anchor.cash_price"), F.col("anchor.installment_price")
     title = display_name(F.col("anchor.name"))
     anchor_line = F.concat(
         F.lit(f"{sources[0].label} - "), anchor_pair(ac, ai, group_sep)
     )
-    lines, alerts = [F.concat(F.lit("*"), title, F.lit("*")), anchor_line], []
+    title_line = F.concat(F.lit("*"), title, F.lit("*"))
+    lines, alerts = [title_line, anchor_line], []
     for i, s in enumerate(sources[1:], start=1):
         cash, installment = _entry(i, "cash_price"), _entry(i, "installment_price")
         pair = competitor_pair(cash, installment, ac, ai, flat, share, group_sep)
@@ -131,6 +135,7 @@ def build_messages(
         "product_key",
         "first_ord",
         F.coalesce(reduce(or_, alerts, F.lit(False)), F.lit(False)).alias("has_alert"),
+        alert_key(title_line).alias("alert_key"),
         F.concat_ws("\n", *lines).alias("message"),
     )
 

@@ -16,7 +16,7 @@ from ..functions.labels import (
     title_with_spec,
     variant_price,
 )
-from ..functions.report import NO_BREAK_SPACE, alert_key
+from ..functions.report import NO_BREAK_SPACE
 from ..functions.text import truthy
 from ..functions.vocabulary import FLAT_LIMIT, SHARE_LIMIT
 from ..operators.compare import alerts_only, build_messages
@@ -219,6 +219,4 @@ def report(
     groups = product_groups(offers, sources)
     messages = alerts_only(build_messages(groups, sources, flat, share, group_sep))
     numbered = number_alerts(messages)
-    return numbered.select(
-        "n", "product_key", alert_key(F.col("message")).alias("alert_key"), "message"
-    )
+    return numbered.select("n", "product_key", "alert_key", "message")
