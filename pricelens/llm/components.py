@@ -45,8 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     no row. A step costs two small shuffles with partial aggregation, and the number of steps
     grows with the logarithm of the longest path. Hubs are split by the adaptive skew join.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null and a != b").distinct()
-    edges = cut(_small_star(edges))
+    edges = edges.select("a", "b").where("a is not null and b is not null and a != b")
+    edges = cut(_small_star(cut(edges.distinct())))
     while not _done(edges):
         edges = cut(_small_star(_large_star(edges)))
     leaves = edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))

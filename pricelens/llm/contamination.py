@@ -257,7 +257,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDOWS) -
         lists = spots.groupBy("doc_id").agg(
             F.collect_list(F.struct("start", "words", "items")).alias("spots")
         )
-        joined = docs.join(lists, "doc_id", "left").select("text", "spots", "doc_id")
+        joined = docs.join(lists.hint("shuffle_hash"), "doc_id", "left").select("text", "spots", "doc_id")
     schema = "n_words bigint, hit array<int>, items array<bigint>"
     return over_batches(joined, _verify, schema, ["doc_id"])
 

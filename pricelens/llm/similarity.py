@@ -11,14 +11,14 @@ o = ceil(0.8 n) must be shared with any partner, so:
   to each other in both orders: neighbours are indexed as combinations of two tokens.
 
 The index therefore grows in proportion to the documents. A short posting list gives pairs
-with counts, which must reach the overlap that the prefixes leave open; a long one joins its
-documents to one block group instead of listing their pairs. Block groups are verified in
+with counts; these and what is left of both documents behind the last shared token must
+reach the overlap that the pair needs. A long list joins its documents to one block group instead of listing their pairs. Block groups are verified in
 blocks of bounded size by counting shared tokens, and give links as spanning forests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,13 @@ from .components import components
 from .tables import cut, mapped
 from .words import chunks, mix, shingle_sets
 
-FREQUENT = 48  # documents from which a token is of the frequent class
+FREQUENT = 12  # documents from which a token is of the frequent class
 TOP_TOKENS = 200_000  # frequent tokens that are sent to all tasks (3.2 MB); others count as rare
 LONG_LIST = 48  # documents from which a posting list gives no pairs but a block group
 SPLIT = 4096  # documents of a combination that are indexed in one place
-BLOCK_TOKENS = 1 << 20  # tokens of one block while verifying
+BLOCK_TOKENS = 1 << 17  # tokens of one block while verifying
 SHINGLE = 5
+POSITION = 1 << 32  # size * POSITION + position of the token
 
 _COMBINED = np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -148,8 +149,9 @@ def index_entries(
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """The index: ``key, node, n, parent``. n is negative for prefixes that reach the frequent
-    class; parent is not 0 where one combination is kept in several places."""
+    """The index: ``key, node, n, parent``. n holds the size of the set and, in the low half, the
+    position of a single token; it is negative for prefixes that reach the frequent class.
+    parent is not 0 where one combination is kept in several places."""
 
     def make():
         seen: set[int] = set()
@@ -172,12 +174,13 @@ def postings(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray) -> Data
                     parents += [np.zeros(len(single), np.uint64), np.where(places > 1, pair, 0)]
                     nodes.append(node)
                     counts.append(len(single) + len(pair))
-                    sizes.append(-len(tokens) if reaches else len(tokens))
+                    place = np.append(np.arange(1, len(single) + 1), np.zeros(len(pair), np.int64))
+                    sizes.append((len(tokens) * POSITION + place) * (-1 if reaches else 1))
                 if keys:
                     yield {
                         "key": pa.array(np.concatenate(keys).view(np.int64)),
                         "node": pa.array(np.repeat(np.array(nodes, np.int64), counts)),
-                        "n": pa.array(np.repeat(np.array(sizes, np.int64), counts)),
+                        "n": pa.array(np.concatenate(sizes).astype(np.int64)),
                         "parent": pa.array(np.concatenate(parents).astype(np.uint64).view(np.int64)),
                     }
 
@@ -216,10 +219,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b", "n_a", "n_b", "shared"]
+    names = ["a", "b", "n_a", "n_b", "shared", "rest"]
 
-    def out(a, b, n_a, n_b, shared):
-        columns = [pa.array(np.asarray(x, np.int64)) for x in (a, b, n_a, n_b, shared)]
+    def out(*values):
+        columns = [pa.array(np.asarray(x, np.int64)) for x in values]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     for key, node, n, parent in _lists(batches):
@@ -229,33 +232,49 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         center = np.repeat(node[first], length)
         zero = np.zeros(int(wide.sum()), np.int64)
         if wide.any():
-            yield out(node[wide], center[wide], zero, zero, zero)
+            alone = n % POSITION != 0  # lists of single tokens; of combinations else
+            other = np.where(alone, key, center)[wide]
+            yield out(node[wide], other, zero, alone[wide], zero, zero)
             kept = first[parent[first] != 0]
             none = np.zeros(len(kept), np.int64)
-            yield out(node[kept], parent[kept], none, none, none)
+            yield out(node[kept], parent[kept], none, none, none, none)
         for size in np.unique(length[(length > 1) & (length <= LONG_LIST)]).tolist():
             at = first[(length == size) & (parent[first] == 0)]
             left, right = np.triu_indices(size, 1)
             for part in np.array_split(at, len(at) * len(left) // 500_000 + 1):
                 a, b = (part[:, None] + left).ravel(), (part[:, None] + right).ravel()
-                n_a, n_b = np.abs(n[a]), np.abs(n[b])
+                n_a, n_b = np.abs(n[a]) // POSITION, np.abs(n[b]) // POSITION
                 fits = np.minimum(n_a, n_b) >= overlap_needed(np.maximum(n_a, n_b))
-                a, b = a[fits], b[fits]
-                yield out(node[a], node[b], n[a], n[b], np.ones(len(a), np.int64))
+                a, b, n_a, n_b = a[fits], b[fits], n_a[fits], n_b[fits]
+                rest = np.minimum(n_a - np.abs(n[a]) % POSITION, n_b - np.abs(n[b]) % POSITION)
+                one = np.ones(len(a), np.int64)
+                yield out(node[a], node[b], n_a * np.sign(n[a]), n_b * np.sign(n[b]), one, rest)
 
 
-def candidate_edges(index: DataFrame) -> DataFrame:
-    """``a, b``: pairs of sets that may be partners, and the stars of long posting lists."""
+def candidates(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges ``a, b``: pairs of sets that may be partners, and stars of long combination lists;
+    and ``node, root``: the sets of each long list of a single token, equal lists once."""
     dealt = index.repartition("key").sortWithinPartitions("key", "node")
-    found = dealt.mapInArrow(_candidates, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
-    found = found.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+    schema = "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint, rest bigint"
+    found = dealt.mapInArrow(_candidates, schema).groupBy("a", "b", "n_a", "n_b")
+    found = found.agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"))
     small, large = F.least(F.abs("n_a"), F.abs("n_b")), F.greatest(F.abs("n_a"), F.abs("n_b"))
-    # Shared tokens needed: the smallest s with 100 s >= 80 (n_a + n_b - s).
+    # The smallest s with 100 s >= 80 (n_a + n_b - s).
     needed = F.ceil((small + large) * 4 / F.lit(9))
-    open_ = needed - F.ceil(large * 4 / F.lit(5)) + 1
+    # Tokens behind the last shared one, and behind the prefix that ends first.
+    more = F.least(F.col("rest"), F.ceil(large * 4 / F.lit(5)) - 1)
     reach = (F.col("n_a") < 0) & (F.col("n_b") < 0)
-    star = F.col("n_a") == 0
-    return found.where(star | reach | (F.col("shared") >= open_)).select("a", "b")
+    wide = F.col("n_a") == 0
+    kept = found.where(wide | reach | (F.col("shared") + more >= needed))
+    kept = cut(kept.select("a", "b", (wide & (F.col("n_b") == 1)).alias("listed")))
+    members = kept.where("listed").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct()
+    # Tokens of one passage have the same documents: such lists are checked once.
+    lists = members.groupBy("key").agg(
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("content"), F.count(F.lit(1)).alias("size")
+    )
+    first = lists.groupBy("content", "size").agg(F.min("key").alias("key")).select("key")
+    members = members.join(first, "key").select("node", F.col("key").alias("root"))
+    return kept.where("not listed").select("a", "b"), members
 
 
 def _count_shared(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,12 +288,17 @@ def _count_shared(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
 
 
 def block_links(
-    members: list[np.ndarray], weight: np.ndarray, first: np.ndarray, second: np.ndarray
+    members: list[np.ndarray],
+    weight: np.ndarray,
+    first: np.ndarray,
+    second: np.ndarray,
+    here: Callable[[int, int], bool] = lambda x, y: True,
 ) -> tuple[list[tuple[int, int]], np.ndarray]:
     """All linked pairs between the sets of two sides: a spanning forest, and the weight of
     the partners of each set.
 
     ``first`` and ``second`` say which sets belong to which side; within one block both do.
+    ``here`` says of a linked pair whether it is counted in this group.
     """
     sizes = np.array([len(m) for m in members])
     label = np.arange(len(members))
@@ -293,7 +317,7 @@ def block_links(
         shared = np.bincount(by_token[spots], minlength=len(members))
         partner = second & linked(shared, sizes[x], sizes) & (shared > 0)
         partner[first] &= np.flatnonzero(first) > x  # a pair inside one block is taken once
-        found = np.flatnonzero(partner)
+        found = np.array([y for y in np.flatnonzero(partner).tolist() if here(x, y)], np.int64)
         degree[x] += weight[found].sum()
         degree[found] += weight[x]
         apart = found[label[found] != label[x]]
@@ -304,7 +328,7 @@ def block_links(
 
 
 def _verify(table: pa.Table) -> pa.Table:
-    nodes, copies, sides, members = [], [], [], []
+    nodes, copies, sides, members, homes, lists = [], [], [], [], [], []
     seen = set()
     for batch in table.to_batches():
         named = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -312,16 +336,26 @@ def _verify(table: pa.Table) -> pa.Table:
         found = []
         for _, _, data, bounds in chunks(named["text"]):
             found += shingle_sets(data, bounds, SHINGLE)
-        rows = zip(*(named[c].to_pylist() for c in ("node", "copies", "block")), found, strict=True)
-        for node, count, block, tokens in rows:
+        root, listed = named["root"][0].as_py(), named["listed"][0].as_py()
+        columns = (named[c].to_pylist() for c in ("node", "copies", "block", "home", "lists"))
+        for node, count, block, home, own, tokens in zip(*columns, found, strict=True):
             if (node, set_key(tokens)) not in seen:  # else the same row once more
                 seen.add((node, set_key(tokens)))
                 nodes.append(node)
                 copies.append(count)
                 sides.append(block)
                 members.append(tokens)
+                homes.append(home)
+                lists.append(set(own or ()))
+
+    def here(x: int, y: int) -> bool:
+        """A pair that meets in several groups counts in its block group, else its first list."""
+        if not listed:
+            return True
+        return (homes[x] is None or homes[x] != homes[y]) and min(lists[x] & lists[y]) == root
+
     side, named_nodes = np.array(sides), np.array(nodes, np.int64)
-    forest, degree = block_links(members, np.array(copies), side == i, side == j)
+    forest, degree = block_links(members, np.array(copies), side == i, side == j, here)
     ends = np.array(forest, np.int64).reshape(-1, 2)
     some = np.flatnonzero(degree)
     columns = {
@@ -332,17 +366,21 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
 
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, lists: DataFrame) -> DataFrame:
     """``a, b, links``: forests of links between sets, and (a = b) the links of each set."""
-    member = groups.join(classes, "node")
+    home = groups.select("node", F.col("root").alias("home"))
+    own = lists.groupBy("node").agg(F.collect_set("root").alias("lists"))  # at most the prefix
+    member = groups.withColumn("listed", F.lit(False)).unionByName(lists.withColumn("listed", F.lit(True)))
+    member = member.join(classes, "node").join(home, "node", "left").join(own, "node", "left")
     sizes = member.groupBy("root").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets"))
     blocks = F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)).cast("int")
     sizes = sizes.where("sets > 1").select("root", blocks.alias("blocks"))
     placed = member.join(sizes, "root").withColumn("block", F.expr("cast(pmod(node, blocks) as int)"))
     others = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) as i, greatest(block, k) as j))")
-    spread = placed.select("doc_id", "node", "root", "copies", "block", F.explode(others).alias("to"))
-    texts = docs.select("doc_id", "text").join(spread, "doc_id")
-    texts = texts.select("root", "to.i", "to.j", "block", "node", "copies", "text")
+    kept = ["node", "root", "listed", "copies", "block", "home", "lists"]
+    spread = placed.select("doc_id", *kept, F.explode(others).alias("to"))
+    texts = docs.select("doc_id", "text").join(spread.hint("shuffle_hash"), "doc_id")
+    texts = texts.select(*kept, "to.i", "to.j", "text")
     return texts.groupBy("root", "i", "j").applyInArrow(_verify, "a bigint, b bigint, links bigint")
 
 
@@ -362,9 +400,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     )
     texts = docs.where("doc_id is not null")
     frequent, weights = frequent_tokens(texts)
-    edges = candidate_edges(postings(texts, frequent, weights))
+    edges, lists = candidates(postings(texts, frequent, weights))
     groups = components(edges).select(F.col("vertex").alias("node"), "root")
-    checked = cut(verified(docs, classes, groups))
+    checked = cut(verified(docs, classes, groups, lists))
     # Vertices are doc_ids from here on: sets stand for their smallest document.
     first = classes.select("node", F.col("doc_id").alias("first"))
     forest = checked.where("a != b").select("a", "b")
