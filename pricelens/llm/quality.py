@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .tables import fresh, over_batches, quoted
 from .words import NOT_SPACE, Words, chunks, mix
 
-FIT_ROWS = 6000  # most labelled rows that a model is fitted on
+FIT_ROWS = 4000  # most labelled rows that a model is fitted on
 SPACE = 1 << 17  # hashed features
 EPOCHS = 8
 COST = 1.0
