@@ -41,7 +41,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = similarity.jaccard_classes(docs)
     id_, other = fresh(docs, "_id"), F.col("component_id") != F.col("doc_id")
     losers = found.where(other).select(F.col("doc_id").alias(id_)).distinct()
-    kept = docs.join(losers, docs.doc_id == F.col(id_), "left_anti")
+    kept = docs.join(losers.hint("shuffle_hash"), docs.doc_id == F.col(id_), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"])
 
 
@@ -51,7 +51,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = contamination.report(docs, table(spark, sf_dir, "benchmark"))
     id_ = fresh(docs, "_id")
     losers = found.where("contaminated").select(F.col("doc_id").alias(id_)).distinct()
-    return docs.join(losers, docs.doc_id == F.col(id_), "left_anti")
+    return docs.join(losers.hint("shuffle_hash"), docs.doc_id == F.col(id_), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
