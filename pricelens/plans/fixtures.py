@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import choose, table
+from ..sources.tables import choose, dealt, table
 
 SHOP = "https://shop.example"
 
@@ -31,7 +31,7 @@ def _ids(*suffixes: str) -> Column:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    return rows
+    return dealt(rows, "p_partkey")
 
 
 def _option(id_: str, label: str, *suffixes: str) -> Column:
@@ -270,7 +270,7 @@ def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each event is a page with two products; ``k`` of its properties chooses the SIM text and
     the number of pages the brand claims to have.
     """
-    events = table(spark, sf_dir, "events")
+    events = dealt(table(spark, sf_dir, "events"), "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     sim = choose(k % len(SIM_VALUES), SIM_VALUES)
     first = _text(

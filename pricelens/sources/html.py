@@ -39,7 +39,9 @@ def opening(tag: str = NAME, *classes: str, attr: str | None = None) -> str:
 
 def visible(html: Column) -> Column:
     """Html without comments and without the text of scripts."""
-    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)", "")
+    hidden = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
+    some = html.contains("<!--") | F.lower(html).contains("<script")
+    return F.when(some, F.regexp_replace(html, hidden, "")).otherwise(html)
 
 
 def decode_entities(c: Column) -> Column:

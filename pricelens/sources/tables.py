@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A stand-in table dealt over the session's parallelism, as shop data comes in many files.
+
+    The given tables are single files; the same plan is used at every size.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def choose(index: Column, values: Sequence[str]) -> Column:
     """The value at a position computed from the row, from a fixed list of texts."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -57,7 +65,7 @@ def offers(
     spark: SparkSession, sf_dir: str, sources: Sequence[Source] = DEFAULT_SOURCES
 ) -> DataFrame:
     """Offers from lineitem and part: ``source, name, cash_price, installment_price, ord``."""
-    lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
+    lines = dealt(table(spark, sf_dir, "lineitem").select(*LINE_ORDER), *LINE_ORDER[:2])
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     installment = F.round(F.col("l_extendedprice") * (1 + F.col("l_tax")))
