@@ -68,6 +68,13 @@ def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> bool:
+    """Remove a folder of intermediate tables, on whatever file system it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(folder, True)
+
+
 _shipped: set[str] = set()
 
 
