@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import contamination, media, mixing, pii, quality, sharding, similarity, token_counts, toxicity, urls
+from . import contamination, media, mixing, pii, quality, repeats, sharding, similarity, token_counts, toxicity, urls
 from .tables import bucket, table
 
 #: The rules of the URL query: verdict, host, beginning of the path.
@@ -92,6 +92,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(edited).drop("sums")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _HOST_PATH = """

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import drop_folder, scratch_path, shared_dir
 
 Row = dict[str, pa.Array]
 
@@ -23,6 +23,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Workspace:
+    """The written tables of one operator, below ``spark.checkpoint.dir``.
+
+    :meth:`last` writes the table that the lazy result is read from, and removes all others.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.root, self.made = spark, scratch_path(spark, purpose), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        found = self.table(df)
+        for k in range(self.made - 1):
+            drop_folder(self.spark, f"{self.root}/{k}")
+        return found
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet, in any letter case."""
     taken, found, k = {c.lower() for c in df.columns}, name, 0

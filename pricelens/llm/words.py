@@ -41,8 +41,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text column, and where each row begins; null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """All bytes of a text or binary column, and where each row begins; null counts as empty."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary()).fill_null(b"")
+    else:
+        column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
