@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import contamination, media, mixing, pii, quality, repeats, sharding, similarity, token_counts, toxicity, urls
+from . import collocations, contamination, media, mixing, pii, quality, repeats, sharding, similarity, token_counts, toxicity, tries, urls
 from .tables import bucket, table
 
 #: The rules of the URL query: verdict, host, beginning of the path.
@@ -92,6 +92,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(edited).drop("sums")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return repeats.report(table(spark, sf_dir, "documents"))
@@ -108,6 +118,8 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -117,7 +129,90 @@ _HOST_PATH = """
     FROM pages
 """
 
+# The remainders of the crc32 polynomial for four bits: fixed values.
+_CRC_NIBBLES = """[0::BIGINT, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+    3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"""
+
+# Bytes of ASCII text as nibbles, low ones first; each takes one step of the remainder.
+_CRC32 = f"""(4294967295 - list_reduce(
+    [4294967295::BIGINT] || flatten([[ascii(c)::BIGINT & 15, ascii(c)::BIGINT >> 4] FOR c IN string_split(conv_id::VARCHAR, '')]),
+    lambda crc, n: xor(({_CRC_NIBBLES})[(xor(crc, n) & 15) + 1], crc >> 4)))"""
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
+    "op11_collocations": f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+counted AS (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+    FROM words, unnest(range(1, 5)) s(size), unnest(range(1, len(w) - size + 2)) p(i)
+    GROUP BY ALL
+),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE f >= 30),
+cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r,
+           (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM often WHERE size > 1) c
+    JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+    JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (
+    SELECT lang, array_to_string(w[i:i + part - 1], ' ') AS phrase, max(f) AS most
+    FROM often, unnest(range(2, size)) s(part), unnest(range(1, size - part + 2)) p(i)
+    WHERE size > 2 GROUP BY ALL
+),
+ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+    FROM scored s LEFT JOIN covered c ON c.lang = s.lang AND c.phrase = s.phrase
+    WHERE most IS NULL OR 100 * most < 80 * a
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+""",
+    "op12_prefix_trie": f"""
+WITH own AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                         ORDER BY turn NULLS FIRST, role, text) AS turns, {_CRC32} % 4 AS h
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+rebuilt AS (
+    SELECT c.conv_id, coalesce(b.turns, [])[1:c.h] || c.turns[c.h + 1:] AS turns
+    FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+),
+prefixes AS (
+    SELECT conv_id, len(turns) AS total, d, turns[1:d] AS prefix
+    FROM rebuilt, unnest(range(len(turns) + 1)) t(d)
+),
+nodes AS (
+    SELECT d AS depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+           (count(*) - 1) * coalesce(len(regexp_extract_all(prefix[d]['text'], '[^\\x20\\x09-\\x0D]+')), 0) AS saved,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = d), '')) AS ends_sha256
+    FROM prefixes GROUP BY d, prefix
+),
+children AS (
+    SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children
+    FROM nodes WHERE depth > 0 GROUP BY 1, 2
+),
+full_nodes AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, prefix)
+),
+subtrees AS (
+    SELECT a AS depth, prefix[1:a] AS prefix, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+    FROM full_nodes, unnest(range(depth + 1)) t(a) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       n.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens,
+       n.ends_sha256
+FROM full_nodes n JOIN subtrees s USING (depth, prefix)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+""",
     "op6_url_filter": f"""
 WITH cut AS ({_HOST_PATH}),
 parts AS (

@@ -52,12 +52,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole, bounds
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about CHUNK_BYTES: first row, last row + 1, bytes, local row bounds."""
+def chunks(
+    column: pa.Array, size: int = CHUNK_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of about ``size`` bytes: first row, last row + 1, bytes, local row bounds."""
     whole, bounds = text_bytes(column)
     row, rows = 0, len(column)
     while row < rows:
-        end = int(np.searchsorted(bounds, bounds[row] + CHUNK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(bounds, bounds[row] + size, side="right")) - 1
         end = min(max(end, row + 1), rows)
         yield row, end, whole[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row]
         row = end
