@@ -36,6 +36,7 @@ from ..sources.detail import (
     links_of,
     simple_offer,
 )
+from ..sources.html import with_page
 
 
 def _with_ord(df: DataFrame, *extra: str | Column) -> DataFrame:
@@ -74,10 +75,11 @@ def ram_config_offers(listing: DataFrame, pages: DataFrame, source: str) -> Data
     ``listing`` is ``page_id, pos, name, url``. Listed twice means offered twice: this shop
     is not deduplicated.
     """
-    parsed = extract_variant_config(pages.select("url", "html", _stored(pages))).select(
+    read = with_page(pages.select("url", "html", _stored(pages)), keep_html=True)
+    parsed = extract_variant_config(read).select(
         "url", "attributes", "option_prices", "ok", "_stored",
-        F.when(F.col("ok"), disabled_products(F.col("html"), F.col("attributes"))).alias("off"),
-        simple_offer(F.col("html"), "button").alias("simple"),
+        F.when(F.col("ok"), disabled_products(F.col("page"), F.col("attributes"))).alias("off"),
+        simple_offer(F.col("page"), "button").alias("simple"),
     )
     joined = listing.join(latest_per_url(parsed, "_stored"), "url")
     variants = ram_variants(
@@ -94,9 +96,10 @@ def sim_config_offers(listing: DataFrame, pages: DataFrame, source: str) -> Data
     Urls are deduplicated before pages are read, titles afterwards; the first wins.
     """
     unique = dedup_by_url(_with_ord(listing)).drop("ord")
-    parsed = extract_variant_config(pages.select("url", "html", _stored(pages))).select(
+    read = with_page(pages.select("url", "html", _stored(pages)), keep_html=True)
+    parsed = extract_variant_config(read).select(
         "url", "attributes", "option_prices", "ok", "_stored",
-        simple_offer(F.col("html"), "text").alias("simple"),
+        simple_offer(F.col("page"), "text").alias("simple"),
     )
     joined = unique.join(latest_per_url(parsed, "_stored"), "url")
     variants = sim_variants(F.col("name"), F.col("attributes"), F.col("option_prices"))
@@ -115,12 +118,10 @@ def detail_link_offers(
 ) -> DataFrame:
     """Offers of a shop whose variants are separate pages that link to each other."""
     unique = materialize(dedup_by_url(_with_ord(listing)).drop("ord"))
-    links = links_of(F.col("html"), product_path, labels)
-    parsed = materialize(
-        latest_per_url(
-            extract_detail(pages, links.alias("links"), _stored(pages)).drop("page_id"), "_stored"
-        )
-    )
+    links = links_of(F.col("page"), product_path, labels).alias("links")
+    stored = pages.select("page_id", "url", "html", _stored(pages))
+    read = extract_detail(stored, links, F.col("_stored")).drop("page_id")
+    parsed = materialize(latest_per_url(read, "_stored"))
     products = listing_with_detail(unique, parsed.drop("links"))
     parents = products.select("url", "name", "page_id", F.col("pos").alias("place"))
     own_links = parsed.select("url", F.posexplode("links").alias("pos", "link"))

@@ -25,6 +25,7 @@ from ..schema import ATTRIBUTES, CATALOG_PAGE, DEFAULT_SOURCES, Source
 from ..session import materialize, scratch_path
 from ..sources import alerts as alert_sink_module
 from ..sources import catalog, detail, listing, snapshots
+from ..sources.html import with_page
 from ..sources.tables import EVENT_SOURCES, choose, feed_from_events, offers, price_feed, table
 from ..streaming.alerts import stream_new_alerts
 from ..streaming.snapshots import stream_snapshots
@@ -260,10 +261,10 @@ def dedup_title(spark, sf):
 
 @query
 def drop_incomplete(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = with_page(table(spark, sf, "pages"))
     cards = pages.select(
         "page_id",
-        detail.page_title(F.col("html")).alias("name"),
+        detail.page_title(F.col("page")).alias("name"),
         F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("url"),
         F.when(F.col("page_id") % 5 == 0, "Առկա չէ").otherwise("in stock").alias("text"),
         F.when(F.col("page_id") % 3 != 0, F.col("page_id") % 4).cast("double").alias("cash_price"),
@@ -412,25 +413,25 @@ def next_page(spark, sf):
     pages = table(spark, sf, "part").select(
         key.alias("page_id"), F.concat(F.lit("<ul>"), link, F.col("p_name"), F.lit("</a></ul>")).alias("html")
     )
-    return pages.select("page_id", listing.has_next_page(F.col("html")).alias("has_next"))
+    return with_page(pages).select("page_id", listing.has_next_page(F.col("page")).alias("has_next"))
 
 
 @query
 def absolute_urls(spark, sf):
-    pages = table(spark, sf, "pages")
-    links = F.concat(listing.hrefs(F.col("html")), F.array("url"))
+    pages = with_page(table(spark, sf, "pages"))
+    links = F.concat(listing.hrefs(F.col("page")), F.array("url"))
     rows = pages.select("page_id", F.posexplode(links).alias("pos", "href"))
     return rows.select("page_id", "pos", L.absolute_url(F.col("href"), STORE_URL).alias("url"))
 
 
 @query
 def extract_detail(spark, sf):
-    html = F.col("html")
-    return table(spark, sf, "pages").select(
+    page = F.col("page")
+    return with_page(table(spark, sf, "pages")).select(
         "page_id",
-        F.coalesce(detail.heading(html), detail.page_title(html)).alias("name"),
-        listing.regular_price(html).alias("cash_price"),
-        detail.credit_price(html).alias("installment_price"),
+        F.coalesce(detail.heading(page), detail.page_title(page)).alias("name"),
+        listing.regular_price(page).alias("cash_price"),
+        detail.credit_price(page).alias("installment_price"),
     )
 
 
@@ -466,8 +467,8 @@ def listing_detail(spark, sf):
 def variant_detail(spark, sf):
     """Nav links as variant links: the first page whose heading starts with a word is its target;
     every other page has an address of its own."""
-    pages = table(spark, sf, "pages").select("page_id", "html")
-    word = F.element_at(F.split(F.lower(detail.heading(F.col("html"))), " "), 1)
+    pages = with_page(table(spark, sf, "pages").select("page_id", "html"), keep_html=True)
+    word = F.element_at(F.split(F.lower(detail.heading(F.col("page"))), " "), 1)
     base = pages.select("page_id", "html", F.concat(F.lit("/"), word).alias("path"))
     firsts = base.groupBy("path").agg(F.min("page_id").alias("first"))
     own = F.when(F.col("page_id") == F.col("first"), F.col("path")).otherwise(
@@ -477,7 +478,7 @@ def variant_detail(spark, sf):
     details = detail.extract_detail(unique).drop("page_id").withColumn(
         "cash_price", F.length("name").cast("double")
     )
-    links = unique.select("url", F.posexplode(listing.hrefs(F.col("html"))).alias("pos", "link"))
+    links = with_page(unique).select("url", F.posexplode(listing.hrefs(F.col("page"))).alias("pos", "link"))
     found = D.variant_details(details.select("url", "name"), links, details)
     return found.select("url", "link", "name", "cash_price")
 
@@ -506,9 +507,10 @@ def listing_cards(spark, sf):
 
 @query
 def variant_config(spark, sf):
-    parsed = detail.extract_variant_config(fixtures.config_pages(spark, sf, "ram"))
+    read = with_page(fixtures.config_pages(spark, sf, "ram"), keep_html=True)
+    parsed = detail.extract_variant_config(read)
     memory = L.attr_by_code(F.col("attributes"), ["memory"])
-    off = detail.disabled_products(F.col("html"), F.col("attributes"))
+    off = detail.disabled_products(F.col("page"), F.col("attributes"))
     return parsed.select(
         "page_id",
         "ok",
@@ -521,11 +523,11 @@ def variant_config(spark, sf):
 
 @query
 def simple_offer(spark, sf):
-    ram = fixtures.config_pages(spark, sf, "ram").select(
-        "page_id", detail.simple_offer(F.col("html"), "button").alias("o")
+    ram = with_page(fixtures.config_pages(spark, sf, "ram")).select(
+        "page_id", detail.simple_offer(F.col("page"), "button").alias("o")
     )
-    sim = fixtures.config_pages(spark, sf, "sim").select(
-        "page_id", detail.simple_offer(F.col("html"), "text").alias("o")
+    sim = with_page(fixtures.config_pages(spark, sf, "sim")).select(
+        "page_id", detail.simple_offer(F.col("page"), "text").alias("o")
     )
     rows = ram.withColumn("kind", F.lit("button")).unionByName(
         sim.withColumn("kind", F.lit("text"))

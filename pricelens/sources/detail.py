@@ -15,68 +15,66 @@ from ..functions.prices import (
 from ..functions.text import S, bind, non_empty
 from ..functions.vocabulary import RAM_LABELS, VARIANT_LABELS
 from ..schema import ATTRIBUTES, OPTION_PRICES
-from .html import NAME, TAG, all_tags, attribute, element, elements, first_body, first_tag
-from .html import has_attribute, inner_text, inside, opening, visible
+from .html import attribute, first, has_attribute, inside, select, text_of, with_page
 from .listing import regular_price
 
 # Strict JSON only: what a browser would refuse to parse counts as a failure here too.
 _JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def heading(html: Column) -> Column:
+def _first_closed(page: Column, tag: str) -> Column:
+    found = F.filter(select(page["elements"], tag), lambda e: e["closed"])
+    return bind(F.get(found, F.lit(0)), lambda e: non_empty(text_of(page, e)))
+
+
+def heading(page: Column) -> Column:
     """Text of the first h1, null if there is none."""
-    return non_empty(inner_text(first_body(html, opening("h1"), "h1")))
+    return _first_closed(page, "h1")
 
 
-def page_title(html: Column) -> Column:
-    return non_empty(inner_text(first_body(html, opening("title"), "title")))
+def page_title(page: Column) -> Column:
+    return _first_closed(page, "title")
 
 
-def credit_price(html: Column) -> Column:
+def credit_price(page: Column) -> Column:
     """Installment price on the first link of the credit calculator."""
-    block = inside(element(html, opening(NAME, "credit_calc_link")))
-    link = first_tag(block, opening("a"))
-    return int_prefix(attribute(link, "data-price"))
+    block = first(page["elements"], None, "credit_calc_link")
+    return bind(block, lambda b: int_prefix(attribute(first(inside(page, b), "a"), "data-price")))
 
 
 def extract_detail(pages: DataFrame, *extra: Column) -> DataFrame:
-    """``page_id, url, name, cash_price, installment_price`` as the page itself states them."""
-    html = visible(F.col("html"))
-    return pages.select(
+    """``page_id, url, name, cash_price, installment_price`` as the page itself states them.
+
+    ``extra`` columns may use all columns of ``pages`` but ``html``, and ``page``.
+    """
+    page = F.col("page")
+    return with_page(pages).select(
         "page_id",
         "url",
-        heading(html).alias("name"),
-        regular_price(html).alias("cash_price"),
-        credit_price(html).alias("installment_price"),
+        heading(page).alias("name"),
+        regular_price(page).alias("cash_price"),
+        credit_price(page).alias("installment_price"),
         *extra,
     )
 
 
-def links_of(html: Column, product_path: str, labels: list[str] | None = None) -> Column:
+def links_of(page: Column, product_path: str, labels: list[str] | None = None) -> Column:
     """Distinct hrefs below ``product_path`` whose text is one of the variant labels."""
     wanted = labels or VARIANT_LABELS
-    anchors = F.regexp_extract_all(
-        html, F.lit(rf"(?is)({opening('a', attr='href')}.*?</a\s*>)"), F.lit(1)
-    )
-    pairs = F.transform(
-        anchors,
-        lambda a: F.struct(
-            attribute(F.regexp_extract(a, f"(?s)^{TAG}", 0), "href").alias("href"),
-            inner_text(a).alias("text"),
-        ),
+    anchors = F.filter(
+        select(page["elements"], "a", attr="href"),
+        lambda a: a["closed"] & attribute(a, "href").contains(product_path) & text_of(page, a).isin(wanted),
     )
-    kept = F.filter(
-        pairs, lambda p: p["href"].contains(product_path) & p["text"].isin(wanted)
-    )
-    return F.array_distinct(F.transform(kept, lambda p: p["href"]))
+    return F.array_distinct(F.transform(anchors, lambda a: attribute(a, "href")))
 
 
 def variant_links(
     pages: DataFrame, product_path: str, labels: list[str] | None = None
 ) -> DataFrame:
     """``page_id, url, pos, link`` for every variant a page links to."""
-    links = links_of(visible(F.col("html")), product_path, labels)
-    return pages.select("page_id", "url", F.posexplode(links).alias("pos", "link"))
+    read = with_page(pages.select("page_id", "url", "html"))
+    links = links_of(F.col("page"), product_path, labels)
+    return read.select("page_id", "url", F.posexplode(links).alias("pos", "link"))
 
 
 def first_object(text: Column) -> Column:
@@ -148,65 +146,70 @@ def extract_variant_config(pages: DataFrame) -> DataFrame:
     return parsed.withColumn("ok", ok).drop("_a", "_o", "_p")
 
 
-def disabled_products(html: Column, attributes: Column) -> Column:
+def disabled_products(page: Column, attributes: Column) -> Column:
     """Ids of all products that belong to an option the page marks as empty."""
-    swatches = all_tags(visible(html), opening(NAME, "swatch-option"))
-    empty = F.filter(swatches, lambda t: attribute(t, "data-option-empty") == "true")
-    ids = F.transform(empty, lambda t: attribute(t, "data-option-id"))
+    swatches = select(page["elements"], None, "swatch-option")
+    empty = F.filter(swatches, lambda e: attribute(e, "data-option-empty") == "true")
+
     options = F.flatten(F.transform(F.map_values(attributes), lambda a: a["options"]))
-    of_empty = F.filter(options, lambda o: F.array_contains(ids, o["id"]))
-    return F.when(F.size(ids) == 0, F.array().cast("array<string>")).otherwise(
-        F.coalesce(
-            F.flatten(F.transform(of_empty, lambda o: o["products"])),
-            F.array().cast("array<string>"),
-        )
-    )
+    ids = F.transform(empty, lambda e: attribute(e, "data-option-id"))
+
+    def of_empty(both: Column) -> Column:
+        found = F.filter(both["options"], lambda o: F.array_contains(both["ids"], o["id"]))
+        none = F.array().cast("array<string>")
+        products = F.flatten(F.transform(found, lambda o: o["products"]))
+        return F.when(F.size(both["ids"]) == 0, none).otherwise(F.coalesce(products, none))
 
+    return bind(F.struct(ids.alias("ids"), options.alias("options")), of_empty)
 
-def simple_offer(html: Column, installment: str = "button") -> Column:
+
+def simple_offer(page: Column, installment: str = "button") -> Column:
     """``struct(cash_price, installment_price)`` of a page without variants.
 
     The installment price is an attribute of the loan button or the text of the credit
     price element, depending on the shop.
     """
-    html = visible(html)
-    final = r"""data-price-type\s*=\s*(?:["']finalPrice["']|finalPrice(?=[\s/>]))"""
-    cash = int_prefix(attribute(first_tag(html, opening(NAME, attr=final)), "data-price-amount"))
+    final = F.filter(page["elements"], lambda e: attribute(e, "data-price-type") == "finalPrice")
+    cash = int_prefix(attribute(F.get(final, F.lit(0)), "data-price-amount"))
     if installment == "button":
-        raw = attribute(first_tag(html, opening("button", "loan_price")), "data-price")
+        raw = attribute(first(page["elements"], "button", "loan_price"), "data-price")
         second = round_price(float_prefix_or_zero(raw))
     else:
-        block = inside(element(html, opening(NAME, "credit_price")))
-        second = digits_price(inner_text(element(block, opening(NAME, "price"))))
+        block = first(page["elements"], None, "credit_price")
+        price = bind(block, lambda b: first(inside(page, b), None, "price"))
+        second = bind(price, lambda p: digits_price(text_of(page, p)))
     return F.struct(cash.alias("cash_price"), second.alias("installment_price"))
 
 
-def _buttons(html: Column, cls: str) -> Column:
-    pattern = opening("button", cls)
-    buttons = F.regexp_extract_all(html, F.lit(rf"(?is)({pattern}.*?</button\s*>)"), F.lit(1))
+def _buttons(page: Column, cls: str) -> Column:
+    buttons = F.filter(select(page["elements"], "button", cls), lambda b: b["closed"])
+    return F.transform(
+        buttons,
+        lambda b: F.struct(
+            text_of(page, b).alias("label"),
+            float_prefix(attribute(b, "data-price")).alias("price"),
+            float_prefix(attribute(b, "data-loanprice")).alias("loan_price"),
+            attribute(b, "data-color").alias("color"),
+            has_attribute(b, "disabled").alias("disabled"),
+        ),
+    )
 
-    def read(b: Column) -> Column:
-        tag = F.regexp_extract(b, f"(?s)^{TAG}", 0)
-        return F.struct(
-            inner_text(b).alias("label"),
-            float_prefix(attribute(tag, "data-price")).alias("price"),
-            float_prefix(attribute(tag, "data-loanprice")).alias("loan_price"),
-            attribute(tag, "data-color").alias("color"),
-            has_attribute(tag, "disabled").alias("disabled"),
-        )
 
-    return F.transform(buttons, read)
+def static_ram(page: Column) -> Column:
+    """Value of the first spec item that is about RAM, null if there is none."""
 
+    def spec(items: Column, item: Column, i: Column) -> Column:
+        end = F.least(item["end"], F.coalesce(F.get(items, i + 1)["at"], item["end"]))
+        own = F.slice(page["elements"], item["at"] + 2, end - item["at"] - 1)
 
-def static_ram(html: Column) -> Column:
-    """Value of the first spec item that is about RAM, null if there is none."""
-    items = elements(html, opening(NAME, "flex", "items-center", "gap-4"))
-    specs = F.transform(
-        items,
-        lambda i: F.struct(
-            inner_text(element(i, opening(NAME, r"text-\[\#8C8C8C\]"))).alias("label"),
-            inner_text(element(i, opening(NAME, "font-semibold"))).alias("value"),
-        ),
+        def text(cls: str) -> Column:
+            return bind(first(own, None, cls), lambda e: text_of(page, e))
+
+        return F.struct(text("text-[#8C8C8C]").alias("label"), text("font-semibold").alias("value"))
+
+    specs = bind(
+        select(page["elements"], None, "flex", "items-center", "gap-4"),
+        lambda items: F.transform(items, lambda item, i: spec(items, item, i)),
     )
     about_ram = F.filter(
         specs,
@@ -222,13 +225,13 @@ def extract_buttons(rendered: DataFrame) -> DataFrame:
     that was selected when the page was stored, ``state`` being its label (null for pages
     without).
     """
-    html = visible(F.col("html"))
+    page = F.col("page")
     kept = [c for c in rendered.columns if c != "html"]
-    read = rendered.select(
+    read = with_page(rendered).select(
         *kept,
-        _buttons(html, "storage-btn").alias("all_storage"),
-        _buttons(html, "modifier-btn").alias("all_modifiers"),
-        static_ram(html).alias("ram_spec"),
+        _buttons(page, "storage-btn").alias("all_storage"),
+        _buttons(page, "modifier-btn").alias("all_modifiers"),
+        static_ram(page).alias("ram_spec"),
     )
     return read.select(
         *kept,

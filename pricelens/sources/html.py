@@ -1,160 +1,223 @@
-"""Reading stored html with Spark's own string functions.
-
-Pages never leave the JVM: tags are found with regular expressions, and an element's extent
-by counting its opening and closing tags inside the row.
+"""Stored html as data: a page is read once, into its text and an array of its elements.
+
+One linear walk over the tags gives every element its tag, classes and attributes, its place in
+page order, the place where it ends, and the part of the page's text that it covers. From
+there on selectors are filters of that array, "inside" is a slice of it, and the text of an
+element is a substring, all of them Spark's own functions.
+
+An element ends at its own closing tag: tags of other names between the two don't matter, and an
+element that is never closed reaches to the end of the page. A link or button also ends where
+the next one begins. Comments, scripts and styles are no content. A tag that the page ends
+in, or whose quote is never closed, ends the page. Entities are decoded in texts and attributes: an
+unknown name, and a name without its semicolon, stays as it is, and a number that names no
+character gives U+FFFD. Names are compared in lower case, classes as they are; of two attributes
+with one name the first counts.
 """
 
 from __future__ import annotations
 
-import json
+import re
+from collections.abc import Iterator
 from html.entities import html5
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.text import bind, trim_all
-
-NAME = r"[a-zA-Z][a-zA-Z0-9]*"
-
-# What may stand in a tag behind its name; a quoted value may hold ">".
-_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_BEFORE = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*?(?<=[\s"'/])"""
-TAG = rf"<[/!]?[a-zA-Z]{_REST}>"
-
-# The characters of all named entities of HTML that end in a semicolon, as one JSON text.
-_NAMED = json.dumps({n: c for n, c in html5.items() if n.endswith(";")})
-
-
-def opening(tag: str = NAME, *classes: str, attr: str | None = None) -> str:
-    """Pattern of an opening tag that has all ``classes`` and, if given, an attribute."""
-    looks = ""
-    for c in classes:
-        word = rf"(?<![\w-]){c}(?![\w-])"
-        value = rf"""(?:"[^"]*{word}[^"]*"|'[^']*{word}[^']*'|[^\s"'>]*{word})"""
-        looks += rf"(?={_BEFORE}class\s*=\s*{value})"
-    if attr:
-        looks += rf"(?={_BEFORE}{attr})"
-    return rf"<{tag}(?=[\s/>]){looks}{_REST}>"
-
-
-def visible(html: Column) -> Column:
-    """Html without comments and without the text of scripts."""
-    hidden = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    some = html.contains("<!--") | F.lower(html).contains("<script")
-    return F.when(some, F.regexp_replace(html, hidden, "")).otherwise(html)
-
-
-def decode_entities(c: Column) -> Column:
-    """Numeric and named entities as characters; most texts have none.
-
-    A number that names no character (0, a surrogate, beyond 10FFFF) gives U+FFFD. An unknown
-    name, and a name without its semicolon, stays as it is.
+from pyspark.sql.types import StructType
+
+from ..functions.text import trim_all
+from ..session import ship_package
+
+PAGE = (
+    "struct<text: string, elements: array<struct<tag: string, classes: array<string>, "
+    "attrs: map<string, string>, at: int, end: int, t0: int, t1: int, closed: boolean>>>"
+)
+
+_ATTRIBUTE = r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+"""
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:{_ATTRIBUTE})*+)[\s/]*+>")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*+(?:>|\Z)", re.DOTALL)
+_OPENS = re.compile(r"<(?=[a-zA-Z!?/])")
+_ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);")
+_HIDDEN = {"script", "style"}
+_ALONE = {"a", "button"}  # never inside one another
+
+
+def _character(match: re.Match) -> str:
+    name = match[1]
+    if name[0] != "#":
+        return html5.get(f"{name};", match[0])
+    digits = (name[2:] if name[1] in "xX" else name[1:]).lstrip("0") or "0"
+    if len(digits) > 8:
+        return "�"
+    code = int(digits, 16 if name[1] in "xX" else 10)
+    good = 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF
+    return chr(code) if good else "�"
+
+
+def decoded(text: str) -> str:
+    return _ENTITY.sub(_character, text) if "&" in text else text
+
+
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTES.finditer(text):
+        found.setdefault(m[1].lower(), decoded(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def read(html: str) -> tuple[str, list[list]]:
+    """Text and elements of a page, in time linear in its length."""
+    elements: list[list] = []
+    pieces: list[str] = []
+    size = at = 0
+    open_by_tag: dict[str, list[int]] = {}
+
+    def said(text: str) -> None:
+        nonlocal size
+        if text:
+            text = decoded(text)
+            pieces.append(text)
+            size += len(text)
+
+    def close(tag: str) -> None:
+        names = open_by_tag.get(tag)
+        if names:
+            element = elements[names.pop()]
+            element[4], element[6], element[7] = len(elements), size, True
+
+    while (start := _OPENS.search(html, at)) is not None:
+        said(html[at : start.start()])
+        m = _TAG.match(html, start.start())
+        if m is None:
+            other = _OTHER.match(html, start.start())
+            if other is None:  # a tag that never ends
+                at = len(html)
+                break
+            at = other.end()
+            continue
+        at, tag = m.end(), m[2].lower()
+        if m[1]:
+            close(tag)
+            continue
+        if tag in _ALONE:
+            close(tag)
+        attributes = _attributes(m[3]) if m[3] else {}
+        open_by_tag.setdefault(tag, []).append(len(elements))
+        elements.append([tag, attributes.get("class", "").split(), attributes, len(elements), None, size, None, False])
+        if tag in _HIDDEN:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
+            at = end.start() if end else len(html)
+    said(html[at:])
+    for element in elements:
+        if element[4] is None:
+            element[4], element[6] = len(elements), size
+    return "".join(pieces), elements
+
+
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    sizes = np.fromiter((len(r) for r in rows), dtype=np.int32, count=len(rows))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([v for r in rows for v in r], kind))
+
+
+def _column(pages: pa.Array) -> pa.StructArray:
+    """Arrow column of pages from one of html texts; a null text is a page without elements."""
+    texts, rows = [], []
+    for html in pages.to_pylist():
+        text, elements = read(html or "")
+        texts.append(text)
+        rows.append(elements)
+    flat = [e for r in rows for e in r]
+    keys = _lists([list(e[2]) for e in flat], pa.string())
+    attributes = pa.MapArray.from_arrays(keys.offsets, keys.values, pa.array([v for e in flat for v in e[2].values()], pa.string()))
+    names = ["tag", "classes", "attrs", "at", "end", "t0", "t1", "closed"]
+    columns = [
+        pa.array([e[0] for e in flat], pa.string()), _lists([e[1] for e in flat], pa.string()), attributes,
+        *(pa.array([e[k] for e in flat], pa.int32()) for k in (3, 4, 5, 6)),
+        pa.array([e[7] for e in flat], pa.bool_()),
+    ]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), listed], ["text", "elements"])
+
+
+def with_page(pages: DataFrame, keep_html: bool = False) -> DataFrame:
+    """``pages`` with a column ``page`` instead of ``html`` (or beside it).
+
+    A step of its own, so that nothing later reads a page again.
     """
-    names = F.from_json(F.lit(_NAMED), "map<string,string>")  # folded to one constant
-
-    def one(piece: Column, i: Column) -> Column:
-        body = F.regexp_extract(piece, r"^(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
-        digits = F.regexp_replace(body, r"^#[xX]?0*", "")
-        is_hex = F.substring(body, 2, 1).isin("x", "X")
-        # More digits than any character has: the number is too large, whatever it is.
-        number = F.when(F.length(digits) > 8, F.lit(-1).cast("bigint")).otherwise(
-            F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
-        )
-        good = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        code = F.lpad(F.hex(F.when(good, number).otherwise(F.lit(0xFFFD))), 8, "0")
-        char = F.when(
-            body.startswith("#"), F.decode(F.unhex(code), "UTF-32")
-        ).otherwise(F.try_element_at(names, F.concat(body, F.lit(";"))))
-        rest = piece.substr(F.length(body) + 2, F.length(piece))
-        return (
-            F.when(i == 0, piece)
-            .when((body == "") | char.isNull(), F.concat(F.lit("&"), piece))
-            .otherwise(F.concat(char, rest))
-        )
-
-    def decoded(text: Column) -> Column:
-        whole = F.array_join(F.transform(F.split(text, "&"), one), "")
-        return F.when(~text.contains("&"), text).otherwise(whole)
-
-    return bind(c, decoded)
-
-
-def inner_text(fragment: Column) -> Column:
-    """Text of an html fragment: tags removed, entities decoded, spaces at the ends cut."""
-    return trim_all(decode_entities(F.regexp_replace(fragment, TAG, "")))
+    ship_package(pages.sparkSession)  # workers need not have this package installed
+    kept = [f for f in pages.schema.fields if keep_html or f.name != "html"]
+    names = [f.name for f in kept]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            html = batch.column(batch.schema.get_field_index("html"))
+            same = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*same, _column(html)], names=[*names, "page"])
 
-def attribute(tag_text: Column, name: str) -> Column:
-    """Value of an attribute of an opening tag, empty if it is absent."""
-    value = rf"""(?is)^<{NAME}{_BEFORE}{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    plain = F.regexp_replace(F.regexp_extract(tag_text, value, 1), r"""(?s)^(["'])(.*)\1\z""", "$2")
-    return decode_entities(plain)
+    schema = StructType([*kept, *StructType.fromDDL(f"page {PAGE}").fields])
+    return pages.mapInArrow(run, schema)
 
 
-def has_attribute(tag_text: Column, name: str) -> Column:
-    """Whether a tag has an attribute, whatever stands inside the values of others."""
-    bare = F.regexp_replace(tag_text, r"""(?s)"[^"]*"|'[^']*'""", '""')
-    return bare.rlike(rf"""(?i)[\s"'/]{name}(?=[\s=/>])""")
-
-
-def first_tag(html: Column, pattern: str) -> Column:
-    """The first opening tag that matches, empty if there is none."""
-    return F.regexp_extract(html, f"(?i){pattern}", 0)
-
+def _matches(e: Column, tag: str | None, classes: tuple[str, ...], attr: str | None) -> Column:
+    tests = [F.array_contains(e["classes"], c) for c in classes]
+    if tag:
+        tests.append(e["tag"] == tag)
+    if attr:
+        tests.append(F.map_contains_key(e["attrs"], F.lit(attr)))
+    found = F.lit(True)
+    for test in tests:
+        found = found & test
+    return found
 
-def all_tags(html: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(f"(?i)({pattern})"), F.lit(1))
 
+def select(elements: Column, tag: str | None = None, *classes: str, attr: str | None = None) -> Column:
+    """The elements with a tag, all ``classes`` and an attribute, as far as they are given."""
+    return F.filter(elements, lambda e: _matches(e, tag, classes, attr))
 
-def element_bodies(html: Column, pattern: str, tag: str) -> Column:
-    """Inner html of every matching element that does not nest its own tag."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is){pattern}(.*?)</{tag}\s*>"), F.lit(1))
 
+def first(elements: Column, tag: str | None = None, *classes: str, attr: str | None = None) -> Column:
+    """The first such element, null if there is none."""
+    return F.get(select(elements, tag, *classes, attr=attr), F.lit(0))
 
-def first_body(html: Column, pattern: str, tag: str) -> Column:
-    return F.regexp_extract(html, rf"(?is){pattern}(.*?)</{tag}\s*>", 1)
 
+def inside(page: Column, element: Column) -> Column:
+    """All elements inside an element; none if that is null."""
+    found = F.slice(page["elements"], element["at"] + 2, element["end"] - element["at"] - 1)
+    return F.coalesce(found, F.slice(page["elements"], 1, 0))
 
-def elements(html: Column, pattern: str) -> Column:
-    """Every matching element with its content, ended by its own closing tag.
 
-    An element inside another matching one is cut off from it and follows on its own.
-    """
-    chunks = F.split(html, f"(?i)(?={pattern})")
-    found = F.filter(chunks, lambda c: c.rlike(f"(?i)^{pattern}"))
-    return F.transform(found, scope)
+def text_between(page: Column, start: Column, end: Column) -> Column:
+    return F.substring(page["text"], start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def element(html: Column, pattern: str) -> Column:
-    """The first matching element with all that is inside it, empty if there is none."""
-    return scope(F.regexp_extract(html, f"(?is){pattern}.*", 0))
+def text_of(page: Column, element: Column) -> Column:
+    """Text of an element and all inside it, spaces at the ends cut; empty if it is null."""
+    return F.coalesce(trim_all(text_between(page, element["t0"], element["t1"])), F.lit(""))
 
 
-def inside(element_html: Column) -> Column:
-    """The content of an element that :func:`scope` has cut."""
-    return F.regexp_replace(element_html, rf"(?s)^{TAG}", "")
+def text_without(page: Column, element: Column, tag: str) -> Column:
+    """Text of an element without that of the ``tag`` elements inside it."""
+    start = F.struct(element["t0"].alias("at"), F.lit("").alias("text"))
 
+    def step(done: Column, gap: Column) -> Column:
+        return F.struct(
+            F.greatest(done["at"], gap["t1"]).alias("at"),
+            F.concat(done["text"], text_between(page, done["at"], gap["t0"])).alias("text"),
+        )
 
-def scope(chunk: Column) -> Column:
-    """``chunk``, which starts with an opening tag, up to the matching closing tag."""
-    own = F.lower(F.regexp_extract(chunk, rf"^<({NAME})", 1))
+    before = F.aggregate(select(inside(page, element), tag), start, step)
+    rest = text_between(page, before["at"], element["t1"])
+    return F.coalesce(trim_all(F.concat(before["text"], rest)), F.lit(""))
 
-    def cut(pieces: Column) -> Column:
-        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
 
-        def step(acc: Column, piece: Column) -> Column:
-            same = F.lower(F.regexp_extract(piece, rf"^</?({NAME})(?=[\s/>])", 1)) == own
-            closes = piece.startswith("</")
-            depth = acc["depth"] + F.when(same, F.when(closes, -1).otherwise(1)).otherwise(0)
-            ended = (acc["end"] == 0) & same & closes & (depth == 0)
-            return F.struct(
-                (acc["i"] + 1).alias("i"),
-                depth.alias("depth"),
-                F.when(ended, acc["i"]).otherwise(acc["end"]).alias("end"),
-            )
+def attribute(element: Column, name: str) -> Column:
+    """Value of an attribute, empty if it (or the element) is absent."""
+    return F.coalesce(F.try_element_at(element["attrs"], F.lit(name)), F.lit(""))
 
-        end = F.aggregate(pieces, start, step)["end"]
-        kept = F.when(end > 0, F.slice(pieces, F.lit(1), end)).otherwise(pieces)
-        return F.array_join(kept, "")
 
-    return bind(F.split(chunk, r"(?=</?[a-zA-Z])"), cut)
+def has_attribute(element: Column, name: str) -> Column:
+    return F.coalesce(F.map_contains_key(element["attrs"], F.lit(name)), F.lit(False))

@@ -16,19 +16,16 @@ from ..functions.text import bind, non_empty, trim_all
 from ..functions.vocabulary import OUT_OF_STOCK_TEXT
 from ..schema import LISTING
 from ..session import ship_package
-from .html import NAME, all_tags, attribute, element, element_bodies, first_tag
-from .html import inner_text, inside, opening, scope, visible
+from .html import attribute, first, inside, select, text_between, text_of, text_without, with_page
 
-_ANCHOR = opening("a", attr="href")
 
+def hrefs(page: Column) -> Column:
+    return F.transform(select(page["elements"], "a", attr="href"), lambda a: attribute(a, "href"))
 
-def hrefs(html: Column) -> Column:
-    return F.transform(all_tags(visible(html), _ANCHOR), lambda t: attribute(t, "href"))
 
-
-def page_count(html: Column, mark: str = "?page=", number: str = r"page=(\d+)") -> Column:
+def page_count(page: Column, mark: str = "?page=", number: str = r"page=(\d+)") -> Column:
     """Largest page number among the links that contain ``mark``, at least 1."""
-    links = F.filter(hrefs(html), lambda h: h.contains(mark))
+    links = F.filter(hrefs(page), lambda h: h.contains(mark))
     numbers = F.transform(links, lambda h: F.regexp_extract(h, number, 1).try_cast("int"))
     return F.greatest(F.lit(1), F.coalesce(F.array_max(numbers), F.lit(1)))
 
@@ -36,38 +33,37 @@ def page_count(html: Column, mark: str = "?page=", number: str = r"page=(\d+)")
 def listing_page_count(pages: DataFrame, style: str = "page") -> DataFrame:
     """``page_id, page_count`` by ``?page=N`` links or by ``p=N`` parameters."""
     mark, number = ("?page=", r"page=(\d+)") if style == "page" else ("p=", r"[?&]p=(\d+)")
-    return pages.select("page_id", page_count(F.col("html"), mark, number).alias("page_count"))
+    read = with_page(pages.select("page_id", "html"))
+    return read.select("page_id", page_count(F.col("page"), mark, number).alias("page_count"))
 
 
-def has_next_page(html: Column) -> Column:
+def has_next_page(page: Column) -> Column:
     """Whether an active "next" link exists."""
-    following = all_tags(visible(html), opening("a", "action", "next"))
-    inactive = F.exists(following, lambda t: t.rlike(r"""(?<![\w-])inactive(?![\w-])"""))
+    following = select(page["elements"], "a", "action", "next")
+    inactive = F.exists(following, lambda a: F.array_contains(a["classes"], "inactive"))
     return (F.size(following) > 0) & ~inactive
 
 
 def extract_links(pages: DataFrame, base: str = "") -> DataFrame:
     """``page_id, pos, name, url`` for every link with a text, in page order."""
-    pattern = rf"(?is)({_ANCHOR}.*?</a\s*>)"
-    links = F.regexp_extract_all(visible(F.col("html")), F.lit(pattern), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(links).alias("pos", "link"))
-    named = rows.select(
-        "page_id",
-        "pos",
-        inner_text(F.col("link")).alias("name"),
-        attribute(first_tag(F.col("link"), _ANCHOR), "href").alias("href"),
+    page = F.col("page")
+    links = F.transform(
+        F.filter(select(page["elements"], "a", attr="href"), lambda a: a["closed"]),
+        lambda a: F.struct(text_of(page, a).alias("name"), attribute(a, "href").alias("href")),
     )
-    kept = named.where((F.col("name") != "") & (F.col("href") != ""))
+    read = with_page(pages.select("page_id", "html"))
+    rows = read.select("page_id", F.posexplode(links).alias("pos", "link"))
+    kept = rows.select("page_id", "pos", "link.*").where((F.col("name") != "") & (F.col("href") != ""))
     return kept.select("page_id", "pos", "name", absolute_url(F.col("href"), base).alias("url"))
 
 
 @dataclass(frozen=True)
 class CardSpec:
-    """Where a shop keeps the name and the link of a product card."""
+    """Where a shop keeps the name and the link of a product card; no tag means any."""
 
-    tag: str
+    tag: str | None
     card: str
-    name_tag: str
+    name_tag: str | None
     name_class: str | None = None
     name_attr: str | None = None
     link_classes: tuple[str, ...] = ()
@@ -80,96 +76,90 @@ class CardSpec:
 
 # The three regular card layouts. Pass ``base`` for shops with relative links.
 CARD_IMAGE_ALT = CardSpec(
-    NAME, "product-item-info", NAME, "product-image-photo", "alt",
+    None, "product-item-info", None, "product-image-photo", "alt",
     ("product-item-photo",), buy_word=True,
 )
 CARD_LINK_TEXT = CardSpec(
-    NAME, "product-item-info", NAME, "product-item-link",
+    None, "product-item-info", None, "product-item-link",
     link_classes=("product-item-photo", "product-item-link"),
 )
 CARD_HEADING = CardSpec(
-    NAME, "item-body", "h3", link_classes=("prod-item-img",), any_link=True,
+    None, "item-body", "h3", link_classes=("prod-item-img",), any_link=True,
     container="listitem", in_stock_price=True,
 )
 
 
-def regular_price(html: Column) -> Column:
-    """Price in the regular-price element inside the price block, text of inner spans left out."""
-
-    def read(block: Column) -> Column:
-        body = inside(element(block, opening(NAME, "regular")))
-        bare = F.regexp_replace(body, r"(?is)<span\b[^>]*>.*?(?:</span\s*>|\z)", "")
-        return parse_price_text(inner_text(bare))
-
-    block = inside(element(html, opening(NAME, "price")))
-    return F.when(html.contains("regular"), bind(block, read))
+def regular_price(page: Column, among: Column | None = None) -> Column:
+    """Price in the regular-price element inside the first price block, text of inner spans left
+    out. ``among`` are the elements to look in, all of the page if it is not given."""
+
+    def read(regular: Column) -> Column:
+        return parse_price_text(text_without(page, regular, "span"))
+
+    block = first(page["elements"] if among is None else among, None, "price")
+    return bind(block, lambda b: bind(first(inside(page, b), None, "regular"), read))
+
+
+def _card(spec: CardSpec, page: Column, cards: Column, card: Column, i: Column) -> Column:
+    """What a card says; it ends where it is closed or where the next card begins."""
+    following = F.get(cards, i + 1)
+    end = F.least(card["end"], F.coalesce(following["at"], card["end"]))
+    last = F.least(card["t1"], F.coalesce(following["t0"], card["t1"]))
+
+    def read(own: Column) -> Column:
+        if spec.name_attr:
+            name = attribute(first(own, spec.name_tag, spec.name_class), spec.name_attr)
+        else:
+            classes = (spec.name_class,) if spec.name_class else ()
+            named = select(own, spec.name_tag, *classes)
+            # One element with the class, but all headings.
+            named = F.slice(named, 1, 1) if classes else F.filter(named, lambda e: e["closed"])
+            texts = F.transform(named, lambda e: text_between(page, e["t0"], F.least(e["t1"], last)))
+            name = F.array_join(texts, "")
+        if spec.buy_word:
+            name = strip_prefix(trim_all(name))
+
+        among = own
+        if spec.container:
+            # A card's link may stand before the card: in a container opened after the last card.
+            since = F.coalesce(F.get(cards, i - 1)["at"], F.lit(-1))
+            around = F.filter(
+                F.slice(page["elements"], since + 2, card["at"] - since - 1),
+                lambda e: F.array_contains(e["classes"], spec.container),
+            )
+            box = F.try_element_at(around, F.lit(-1))
+            among = bind(
+                F.when(box["end"] > card["at"], box),
+                lambda b: F.slice(page["elements"], b["at"] + 1, F.least(
+                    b["end"], F.coalesce(following["at"], b["end"])) - b["at"]),
+            )
+        links = [non_empty(attribute(first(among, "a", c), "href")) for c in spec.link_classes]
+        if spec.any_link:
+            links.append(non_empty(attribute(first(own, "a"), "href")))
+        price = regular_price(page, own) if spec.in_stock_price else F.lit(None).cast("double")
+        return F.struct(
+            trim_all(name).alias("name"),
+            F.coalesce(*links).alias("href"),
+            price.alias("cash_price"),
+            text_between(page, card["t0"], last).contains(OUT_OF_STOCK_TEXT).alias("sold"),
+        )
+
+    return bind(F.slice(page["elements"], card["at"] + 1, end - card["at"]), read)
 
 
 def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
     """``page_id, pos, name, url, cash_price``; a card without name or link is dropped."""
-    card_open = opening(spec.tag, spec.card)
-    pages = pages.withColumn("html", visible(F.col("html")))
-    chunks = F.split("html", f"(?i)(?={card_open})")
-    # A card's link may stand before the card, inside a common container.
-    with_before = F.transform(
-        chunks,
-        lambda c, i: F.struct(
-            c.alias("chunk"),
-            F.coalesce(F.get(chunks, i - 1), F.lit("")).alias("before") if spec.container
-            else F.lit("").alias("before"),
-        ),
-    )
-    cards = F.filter(with_before, lambda c: c["chunk"].rlike(f"(?i)^{card_open}"))
-    rows = pages.select("page_id", F.posexplode(cards).alias("pos", "c"))
-    rows = rows.select(
-        "page_id", "pos", scope(F.col("c.chunk")).alias("card"),
-        F.col("c.chunk").alias("chunk"), F.col("c.before").alias("before"),
-    )
-    card = F.col("card")
-
-    if spec.name_attr:
-        tag = first_tag(card, opening(spec.name_tag, spec.name_class))
-        name = attribute(tag, spec.name_attr)
-    elif spec.name_class:
-        name = inner_text(element(card, opening(spec.name_tag, spec.name_class)))
-    else:
-        bodies = element_bodies(card, opening(spec.name_tag), spec.name_tag)
-        name = inner_text(F.array_join(bodies, ""))
-    if spec.buy_word:
-        name = strip_prefix(name)
-    name = trim_all(name)
-
-    links = []
-    if spec.container:
-        opened = opening(spec.tag, spec.container)
-        tail = F.regexp_extract("before", rf"(?is).*({opened}.*)", 1)
-        rows = rows.withColumn("tail", tail)
-        whole = scope(F.concat("tail", "chunk"))
-        inside = (F.col("tail") != "") & (F.length(whole) > F.length("tail"))
-        rows = rows.withColumn("container", F.when(inside, whole))
-        links += [
-            non_empty(attribute(first_tag(F.col("container"), opening("a", c)), "href"))
-            for c in spec.link_classes
-        ]
-    else:
-        links += [
-            non_empty(attribute(first_tag(card, opening("a", c)), "href"))
-            for c in spec.link_classes
-        ]
-    if spec.any_link:
-        links.append(non_empty(attribute(first_tag(card, opening("a")), "href")))
-
-    price = regular_price(card) if spec.in_stock_price else F.lit(None).cast("double")
-    kept = rows if not spec.in_stock_price else rows.where(
-        ~inner_text(card).contains(OUT_OF_STOCK_TEXT)
-    )
-    found = kept.select(
-        "page_id", "pos", name.alias("name"), F.coalesce(*links).alias("href"),
-        price.alias("cash_price"),
-    ).where((F.col("name") != "") & F.col("href").isNotNull())
+    page = F.col("page")
+    found = bind(
+        select(page["elements"], spec.tag, spec.card),
+        lambda cards: F.transform(cards, lambda c, i: _card(spec, page, cards, c, i)),
+    )
+    read = with_page(pages.select("page_id", "html"))
+    rows = read.select("page_id", F.posexplode(found).alias("pos", "card")).select("page_id", "pos", "card.*")
+    rows = rows.where((F.col("name") != "") & F.col("href").isNotNull())
     if spec.in_stock_price:
-        found = found.where(F.col("cash_price").isNotNull())
-    return found.select(
+        rows = rows.where(~F.col("sold") & F.col("cash_price").isNotNull())
+    return rows.select(
         "page_id", "pos", "name", absolute_url(F.col("href"), spec.base).alias("url"),
         "cash_price",
     )

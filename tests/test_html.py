@@ -1,5 +1,8 @@
 """Reading pages: tags, extents, cards, details and embedded variant tables."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens.functions.labels import attr_by_code
@@ -13,27 +16,76 @@ def pages(spark, *texts):
     )
 
 
-def test_entities(apply):
+@pytest.fixture(scope="module")
+def on_pages(spark):
+    """Evaluate a function of the page column on html texts."""
+
+    def run(fn, texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, html string")
+        rows = html.with_page(df).select("i", fn(F.col("page")).alias("r")).collect()
+        return [r.r for r in sorted(rows, key=lambda r: r.i)]
+
+    return run
+
+
+def tag(name, *classes, attr=None):
+    """The opening of the first element that matches, as its tag and attributes."""
+
+    def find(page):
+        found = html.first(page["elements"], name, *classes, attr=attr)
+        return F.when(found.isNotNull(), F.struct(found["tag"], found["attrs"]))
+
+    return find
+
+
+def test_entities(on_pages):
     texts = ["a&amp;b", "&#x2B;&#43; &lt;", "&#8212;", "plain", "&#;x&amp;#43;", "R&amp;amp;D"]
-    assert apply(html.decode_entities, texts) == [
-        "a&b", "++ <", "—", "plain", "&#;x&#43;", "R&amp;D",
-    ]
+    assert on_pages(lambda p: p["text"], texts) == ["a&b", "++ <", "—", "plain", "&#;x&#43;", "R&amp;D"]
 
 
-def test_scope_ends_at_own_closing_tag(apply):
+def test_element_ends_at_own_closing_tag(on_pages):
     texts = ["<div>a<div>b</div>c</div>d</div>", "<div>open", "<div><divx></divx>e</div>f"]
-    assert apply(lambda c: html.scope(c), texts) == [
-        "<div>a<div>b</div>c", "<div>open", "<div><divx></divx>e",
-    ]
 
+    assert on_pages(lambda p: html.text_of(p, html.first(p["elements"], "div")), texts) == ["abc", "open", "e"]
+
+
+def test_elements_and_what_is_inside():
+    read, found = html.read('x<ul class=" a  B "><li>1<li>2</ul><p><b></p>y</b><img src=i><a href=1>p<a href=2>q</a>')
+    names = [e[0] for e in found]
+    assert (read, names) == ("x12ypq", ["ul", "li", "li", "p", "b", "img", "a", "a"])
+    assert found[0][1] == ["a", "B"] and found[5][2] == {"src": "i"}
+    spans = {(e[0], e[3]): (e[4], e[5], e[6], e[7]) for e in found}
+    assert spans["ul", 0] == (3, 1, 3, True)
+    assert spans["li", 1] == (8, 1, 6, False)  # never closed
+    assert spans["p", 3] == (5, 3, 3, True) and spans["b", 4] == (5, 3, 4, True)
+    assert spans["a", 6] == (7, 4, 5, True) and spans["a", 7] == (8, 5, 6, True)
+
+
+def test_hostile_pages_take_linear_time(on_pages):
+    bare = "<div data-x=" + "a" * 100_000 + " class=c>ok</div>"
+    many = "<div class='d'>" + "<p class=q><b>x</b></p>" * 20_000 + "</div>"
+    unclosed = ["<a b" * 50_000, "<a b='" * 50_001, "<!--" * 50_000, "<script>" * 20_000, "<" * 100_000, "</" * 50_000]
+    quotes = "<a title=\"x>" * 20_001
+    start = time.perf_counter()
+    assert html.read(bare)[1][0][1] == ["c"]
+    read, found = html.read(many)
+    assert (len(read), len(found), found[0][4]) == (20_000, 40_001, 40_001)
+    for page in [*unclosed, quotes]:
+        html.read(page)
+    nested = "<div class=e>" * 20_000
+    assert len(html.read(nested)[1]) == 20_000
+    assert time.perf_counter() - start < 10
 
-def test_class_and_attribute_names_match_whole(apply):
-    tag = html.opening("a", "card")
+    assert on_pages(lambda p: F.size(html.inside(p, html.first(p["elements"], None, "d"))), [many, bare, None]) == [40_000, 0, 0]
+
+
+def test_class_and_attribute_names_match_whole(on_pages):
     texts = ['<a class="card">', '<a class="x card y">', '<a class="cards">', '<a class="my-card">',
              '<a data-class="card">', "<a class='card'>", '<abbr class="card">']
-    found = apply(lambda c: html.first_tag(c, tag), texts)
-    assert [bool(f) for f in found] == [True, True, False, False, False, True, False]
-    assert apply(lambda c: html.attribute(c, "price"), ['<a data-price="1" price="2">']) == ["2"]
+    found = on_pages(tag("a", "card"), texts)
+    assert [f is not None for f in found] == [True, True, False, False, False, True, False]
+    [found] = on_pages(tag("a"), ['<A data-price="1" PRICE="2" price=3>'])
+    assert found.attrs == {"data-price": "1", "price": "2"}
 
 
 def test_page_count(spark):
@@ -49,9 +101,9 @@ def test_page_count(spark):
     assert by == {0: 1, 1: 1, 2: 7}
 
 
-def test_next_page(apply):
+def test_next_page(on_pages):
     texts = ['<a class="action next" href="#">', '<a class="action next inactive">', "<a>"]
-    assert apply(listing.has_next_page, texts) == [True, False, False]
+    assert on_pages(listing.has_next_page, texts) == [True, False, False]
 
 
 def test_heading_cards(spark):
@@ -153,26 +205,32 @@ def test_buttons_and_static_ram(spark):
     assert (row.first_price, row.ram_spec) == (10.0, "6GB")
 
 
-def test_characters_of_all_entities(apply):
+def test_characters_of_all_entities(on_pages):
     texts = ["&eacute;&euro;&ndash;", "&#00000039;", "&#9999999;", "&#xD800;&#0;", "&#99999999999999999999;",
              "&nosuch; & &amp", "&NotEqualTilde;", "&#x1F600;"]
-    assert apply(html.decode_entities, texts) == [
+    assert on_pages(lambda p: p["text"], texts) == [
         "é€–", "'", "�", "��", "�", "&nosuch; & &amp", "≂̸", "😀",
     ]
 
 
-def test_disabled_is_an_attribute_not_a_class(apply):
+def test_disabled_is_an_attribute_not_a_class(on_pages):
     tags = ['<button class="storage-btn disabled active">', "<button disabled>", '<button class="a"disabled>',
             '<button title="disabled x" class=b>', "<button disabled=disabled>", "<button data-disabled>"]
-    assert apply(lambda c: html.has_attribute(c, "disabled"), tags) == [False, True, True, False, True, False]
+    found = on_pages(lambda p: html.has_attribute(html.first(p["elements"]), "disabled"), tags)
+    assert found == [False, True, True, False, True, False]
 
 
-def test_quoted_ends_and_bare_values(apply):
+def test_quoted_ends_and_bare_values(on_pages):
     tags = ['<img alt="A > B" class="x">', "<a href=/x class=y>", "<a title='href=\"q\"' href=\"z\">", '<a data-href="1">']
-    assert apply(lambda c: html.attribute(c, "alt"), tags[:1]) == ["A > B"]
-    assert apply(lambda c: html.attribute(c, "href"), tags[1:]) == ["/x", "z", ""]
-    assert apply(lambda c: html.first_tag(c, html.opening("a", "y")), [f"<b>{t}</b>" for t in tags]) == ["", tags[1], "", ""]
-    assert apply(html.inner_text, ['<b title="1>2">x</b> it\'s 3 < 4', "<!doctype html>y"]) == ["x it's 3 < 4", "y"]
+
+    def value(name):
+        return lambda p: html.attribute(html.first(p["elements"]), name)
+
+    assert on_pages(value("alt"), tags[:1]) == ["A > B"]
+    assert on_pages(value("href"), tags[1:]) == ["/x", "z", ""]
+    found = on_pages(tag("a", "y"), [f"<b>{t}</b>" for t in tags])
+    assert [f and f.attrs["href"] for f in found] == [None, "/x", None, None]
+    assert on_pages(lambda p: p["text"], ['<b title="1>2">x</b> it\'s 3 < 4', "<!doctype html>y"]) == ["x it's 3 < 4", "y"]
 
 
 def test_cards_of_any_tag(spark):
@@ -186,12 +244,12 @@ def test_cards_of_any_tag(spark):
     assert [(r.name, r.url) for r in rows] == [("A > B", "/x"), ("C", "/y")]
 
 
-def test_price_must_be_inside_its_block(spark, apply):
+def test_price_must_be_inside_its_block(spark, on_pages):
     outside = '<div class="price"><b>1</b></div><p class="regular">5000 դր</p>'
     nested = '<div class="price"><div class="regular"><div>1,200 դր.</div> <span>old</span></div><i class="regular">9 դր</i></div>'
-    assert apply(listing.regular_price, [outside, nested]) == [None, 1200.0]
+    assert on_pages(listing.regular_price, [outside, nested]) == [None, 1200.0]
     links = ['<p class="credit_calc_link">x</p><a data-price="77">', '<p class="credit_calc_link"><i><a data-price=\'88\'></a></i></p>']
-    assert apply(detail.credit_price, links) == [None, 88.0]
+    assert on_pages(detail.credit_price, links) == [None, 88.0]
 
 
 def test_comments_and_scripts_are_not_content(spark):
@@ -199,8 +257,8 @@ def test_comments_and_scripts_are_not_content(spark):
     assert detail.extract_detail(pages(spark, page)).first().name == "new"
 
 
-def test_ram_spec_in_any_element(apply):
+def test_ram_spec_in_any_element(on_pages):
     item = '<{0} class="flex items-center gap-4"><p class="text-[#8C8C8C]">RAM</p><div><b class="font-semibold">8 GB</b></div></{0}>'
     label = detail.RAM_LABELS[0]
     texts = [item.replace("RAM", label).format(t) for t in ("div", "li", "tr")]
-    assert apply(detail.static_ram, texts) == ["8 GB"] * 3
+    assert on_pages(detail.static_ram, texts) == ["8 GB"] * 3
