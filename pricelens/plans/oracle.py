@@ -714,6 +714,36 @@ ORACLE["stored_report"] = f"""{_M} SELECT 1::INTEGER AS run,
 ORACLE["snapshot_clear"] = f"""WITH {_OFFERS} SELECT source, count(*) AS offers FROM offers
 WHERE source NOT IN ('shop_b', 'shop_c') GROUP BY source"""
 
+_PARTS = f"""WITH {_OFFERS}, parts AS (SELECT *, year(l_shipdate) % 4 AS part, 'shop_' || ['b', 'c', 'd', 'e'][part + 1] AS left_out
+ FROM offers), kept AS (SELECT * FROM parts WHERE source <> left_out)"""
+ORACLE["store_as_of"] = f"""{_PARTS},
+runs AS (SELECT TIMESTAMP '2024-03-01 12:00:00' + to_hours(h) AS run, least(h // 24, 3) AS last
+ FROM unnest(range(0, 108, 6)) t(h)),
+latest AS (SELECT run, last, source, max(part) AS part FROM runs JOIN (SELECT DISTINCT source, part FROM kept) k
+ ON k.part <= last GROUP BY ALL)
+SELECT strftime(run, '%Y-%m-%d %H:%M') AS run, last + 1 AS version, source, count(*) AS offers, min(cash_price) AS lowest
+FROM latest JOIN kept USING (source, part) GROUP BY ALL"""
+
+
+def _job(name: str, source: str, page: str = "page_id", place: str = "place") -> str:
+    """Offers of a job's SQL with their place, of which every offer has one number."""
+    with_, select = ORACLE[name].rsplit("SELECT", 1)
+    rows = select.split("FROM", 1)[1]
+    return (
+        f"(SELECT * FROM ({with_} SELECT {lit(source)} AS source, name, cash_price, installment_price,"
+        f" {page}::BIGINT AS a, {place}::BIGINT AS b FROM {rows}))"
+    )
+
+
+_CATALOG_JOB = f"""(SELECT * FROM (WITH {_CATALOG} SELECT 'shop_c' AS source, name, cash_price, installment_price,
+ page::BIGINT AS a, pos::BIGINT AS b FROM rows))"""
+_PAGE_OFFERS = f"""offers AS (SELECT *, row_number() OVER (ORDER BY source, a, b) AS ord FROM (
+ {_job('job_detail_links', 'anchor', 'k')} UNION ALL {_job('job_ram_config', 'shop_b')}
+ UNION ALL {_CATALOG_JOB} UNION ALL {_job('job_sim_config', 'shop_d')} UNION ALL {_job('job_buttons', 'shop_e')}))"""
+ORACLE["pages_to_report"] = f"""WITH {_PAGE_OFFERS}, {groups()}, {_DIM}, {messages()}, numbered AS (
+ SELECT row_number() OVER (ORDER BY first_ord) AS n, * FROM msgs WHERE has_alert)
+SELECT n, product_key, head AS alert_key, cast(n AS VARCHAR) || '. ' || message AS message FROM numbered"""
+
 _FEED = f"""feed AS (SELECT ts, date_trunc('hour', ts) AS run,
  CASE event_type {' '.join(f"WHEN '{e}' THEN '{s}'" for e, s in zip(EVENT_SOURCES, SOURCE_IDS, strict=True))}
  END AS source, 'product ' || (user_id % 20) AS product_key, value AS cash_price, event_id AS ord

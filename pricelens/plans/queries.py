@@ -24,7 +24,7 @@ from ..operators.numbering import number_alerts
 from ..schema import ATTRIBUTES, CATALOG_PAGE, DEFAULT_SOURCES, Source
 from ..session import materialize, scratch_path
 from ..sources import alerts as alert_sink_module
-from ..sources import catalog, detail, listing, snapshots
+from ..sources import catalog, detail, listing, snapshots, versions
 from ..sources.html import with_page
 from ..sources.tables import EVENT_SOURCES, choose, feed_from_events, offers, price_feed, table
 from ..streaming.alerts import stream_new_alerts
@@ -820,6 +820,68 @@ def snapshot_clear(spark, sf):
     )
 
 
+def _page_jobs(spark, sf) -> dict:
+    """One job for each shop over its stored pages; the shop with detail pages is the anchor."""
+
+    def cards(kind, layout):
+        spec = listing.CardSpec(**{**vars(layout), "base": fixtures.SHOP})
+        return listing.extract_cards(fixtures.card_pages(spark, sf, kind), spec)
+
+    def catalog_job():
+        flat = catalog.flatten_catalog(_catalog(spark, sf))
+        return catalog.catalog_offers(flat, "shop_c", EVENT_SOURCES).drop("price")
+
+    def button_job():
+        names = listing.extract_headings(fixtures.card_pages(spark, sf, "button"), fixtures.SHOP)
+        rendered = fixtures.rendered_pages(spark, sf).select("url", "state", "html")
+        return jobs.button_offers(names, rendered, "shop_e")
+
+    return {
+        "anchor": lambda: jobs.detail_link_offers(
+            cards("detail", listing.CARD_HEADING), fixtures.detail_pages(spark, sf), "anchor",
+            "shop.example/store/product",
+        ),
+        "shop_b": lambda: jobs.ram_config_offers(
+            cards("ram", listing.CARD_IMAGE_ALT), fixtures.config_pages(spark, sf, "ram"), "shop_b"
+        ),
+        "shop_c": catalog_job,
+        "shop_d": lambda: jobs.sim_config_offers(
+            cards("sim", listing.CARD_LINK_TEXT), fixtures.config_pages(spark, sf, "sim"), "shop_d"
+        ),
+        "shop_e": button_job,
+    }
+
+
+@query
+def pages_to_report(spark, sf):
+    """A whole run over the pages of five shops: extraction, one version of the store, the report."""
+    root = scratch_path(spark, "pages")
+    return runs.pages_to_report(
+        spark, _page_jobs(spark, sf), f"{root}/store", f"{root}/reports", f"{STAMP}+00:00"
+    )
+
+
+@query
+def store_as_of(spark, sf):
+    """Four versions of the store, one for each part of the offers and each without another source;
+    what runs between them see."""
+    root = scratch_path(spark, "versions")
+    rows = materialize(offers(spark, sf).withColumn("part", F.year("ord.l_shipdate") % 4))
+    for k in range(4):
+        at = f"2024-03-0{k + 1} 12:00:00"
+        part = rows.where((F.col("part") == k) & (F.col("source") != DEFAULT_SOURCES[k + 1].id))
+        versions.write_version(
+            part.drop("part"), root, F.lit(at).cast("timestamp"), f"{at}+00:00"
+        )
+    hours = spark.range(-6, 108, 6).select(
+        (F.lit("2024-03-01 12:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("run")
+    )
+    seen = versions.offers_seen(spark, root, hours)
+    return seen.groupBy("run", "version", "source").agg(
+        F.count(F.lit(1)).alias("offers"), F.min("cash_price").alias("lowest")
+    ).withColumn("run", _run_name("run"))
+
+
 def _history(spark, sf) -> DataFrame:
     return price_feed(spark, sf).withColumnRenamed("ts", "scraped_at")
 

@@ -38,10 +38,12 @@ _ATTRIBUTE = r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|
 _ATTRIBUTES = re.compile(_ATTRIBUTE)
 _TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:{_ATTRIBUTE})*+)[\s/]*+>")
 _OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*+(?:>|\Z)", re.DOTALL)
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)>")
 _OPENS = re.compile(r"<(?=[a-zA-Z!?/])")
 _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);")
 _HIDDEN = {"script", "style"}
 _ALONE = {"a", "button"}  # never inside one another
+_NOTHING: dict[str, str] = {}
 
 
 def _character(match: re.Match) -> str:
@@ -73,43 +75,39 @@ def read(html: str) -> tuple[str, list[list]]:
     pieces: list[str] = []
     size = at = 0
     open_by_tag: dict[str, list[int]] = {}
-
-    def said(text: str) -> None:
-        nonlocal size
-        if text:
-            text = decoded(text)
+    for start in iter(lambda: _OPENS.search(html, at), None):
+        start = start.start()
+        if start > at:
+            text = decoded(html[at:start])
             pieces.append(text)
             size += len(text)
-
-    def close(tag: str) -> None:
-        names = open_by_tag.get(tag)
-        if names:
-            element = elements[names.pop()]
-            element[4], element[6], element[7] = len(elements), size, True
-
-    while (start := _OPENS.search(html, at)) is not None:
-        said(html[at : start.start()])
-        m = _TAG.match(html, start.start())
+        m = _BARE_TAG.match(html, start) or _TAG.match(html, start)
         if m is None:
-            other = _OTHER.match(html, start.start())
-            if other is None:  # a tag that never ends
-                at = len(html)
-                break
-            at = other.end()
+            other = _OTHER.match(html, start)
+            at = other.end() if other else len(html)  # a tag that never ends
             continue
         at, tag = m.end(), m[2].lower()
-        if m[1]:
-            close(tag)
-            continue
-        if tag in _ALONE:
-            close(tag)
-        attributes = _attributes(m[3]) if m[3] else {}
-        open_by_tag.setdefault(tag, []).append(len(elements))
-        elements.append([tag, attributes.get("class", "").split(), attributes, len(elements), None, size, None, False])
+        if m[1] or tag in _ALONE:
+            names = open_by_tag.get(tag)
+            if names:
+                element = elements[names.pop()]
+                element[4], element[6], element[7] = len(elements), size, True
+            if m[1]:
+                continue
+        attributes = _attributes(m[3]) if m.re is _TAG and m[3] else _NOTHING
+        if tag in open_by_tag:
+            open_by_tag[tag].append(len(elements))
+        else:
+            open_by_tag[tag] = [len(elements)]
+        classes = attributes["class"].split() if "class" in attributes else []
+        elements.append([tag, classes, attributes, len(elements), None, size, None, False])
         if tag in _HIDDEN:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
             at = end.start() if end else len(html)
-    said(html[at:])
+    if at < len(html):
+        text = decoded(html[at:])
+        pieces.append(text)
+        size += len(text)
     for element in elements:
         if element[4] is None:
             element[4], element[6] = len(elements), size
