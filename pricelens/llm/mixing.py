@@ -2,29 +2,36 @@
 
 Domains are classes of the labelled table. One classifier for each domain, normalized to sum
 1, gives every document its posteriors p; a document of n tokens and rate r adds r n p_k
-expected tokens to domain k. Rates begin at 1 and are fitted by projected-gradient least
-squares on the totals: r <- max(0, r - p . M^-1 (totals - targets)), with M = sum of n p p^T,
-the curvature, so few steps are needed. Each step is one aggregation over all documents
-that moves a number for each domain; what is sent back is a list of steps, and a document's
-rate is the fold of the steps over its posteriors.
+expected tokens to domain k. Rates begin at 1 and are fitted by accelerated projected-gradient
+least squares on the totals: y = r + b (r - last r), r <- max(0, y - p . P (totals(y) - targets)).
+With M = sum of n p p^T, the curvature, P is M^-1 first, for which 1 is the step of the largest
+eigenvalue; reachable targets are met so in few steps. If they can't be met, P becomes the plain
+step 1 / (largest eigenvalue of M) until the sum of squares no longer falls. The momentum b is
+reset whenever that sum rises. Each step is one aggregation over all documents that moves a few
+numbers for each domain; what is sent back is a list of steps, and a document's rate is the fold
+of the steps over its posteriors. The fold is written down every ``FOLD`` steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import Model, features, fit
-from .tables import cut, fresh, over_batches, quoted
+from .tables import Workspace, cut, fresh, over_batches, quoted
 from .words import NOT_SPACE, Words, chunks
 
 FIT_ROWS = 3000  # most labelled rows that the classifier is fitted on
-STEPS = 20
+STEPS = 1000  # passes at most; nearly always fewer than 30 are needed
+FOLD = 40  # most steps that a task folds
 CLOSE = 1e-6  # of the targets' total
+FLAT = 1e-6  # fall of the sum of squares over WINDOW steps that counts as none
+WINDOW = 20
 SEED = 13
 
 DOMAINS = ("clean", "low", "toxic")
@@ -91,24 +98,66 @@ def _described(docs: DataFrame, models: list[Model] | None, keep: list[str], tex
     return over_batches(with_copy, make, schema, keep)
 
 
-def rate(p: Column, steps: list[np.ndarray]) -> Column:
-    """The rate of a document with posteriors ``p`` after the given steps."""
-    if not steps:
-        return F.lit(1.0)
-    lists = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+class Step(NamedTuple):
+    """One move of all rates: the momentum, and what is taken off for each domain."""
 
-    def one(r: Column, step: Column) -> Column:
-        moved = F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return F.greatest(F.lit(0.0), r - moved)
+    momentum: float
+    move: np.ndarray
 
-    return F.aggregate(lists, F.lit(1.0), one)
 
+def folded(p: np.ndarray, r: np.ndarray, last: np.ndarray, steps: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates, and those one step before, after ``steps``; a row of ``p`` is a document."""
+    for momentum, move in steps:
+        r, last = np.maximum(0.0, r + momentum * (r - last) - p @ move), r
+    return r, last
 
-def totals(narrow: DataFrame, domains: int, steps: list[np.ndarray]) -> np.ndarray:
-    """Expected tokens of each domain after the given steps; one pass, partial sums in tasks."""
-    weight = F.col("tokens") * rate(F.col("p"), steps)
-    sums = [F.sum(weight * F.get("p", F.lit(k))) for k in range(domains)]
-    return np.array([x or 0.0 for x in narrow.agg(*sums).first()])
+
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Tokens, posteriors, rates and last rates of a batch; rates begin at 1."""
+    names = batch.schema.names
+    tokens = batch.column(names.index("tokens")).to_numpy().astype(np.float64)
+    lists = batch.column(names.index("p"))
+    p = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), -1)
+    rates = [batch.column(names.index(c)).to_numpy() if c in names else np.ones(len(tokens)) for c in ("_r", "_last")]
+    return tokens, p, *rates
+
+
+def totals(narrow: DataFrame, domains: int, steps: list[Step], momentum: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain after ``steps``, and at the point that ``momentum`` leads to.
+
+    One pass over the documents; a task sends two numbers for each domain.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, domains))
+        for batch in batches:
+            tokens, p, r, last = _rows(batch)
+            if len(tokens):
+                r, last = folded(p, r, last, steps)
+                sums += np.stack([(tokens * r) @ p, (tokens * (r + momentum * (r - last))) @ p])
+        yield pa.RecordBatch.from_arrays([pa.array([s]) for s in sums.ravel().tolist()], names=names)
+
+    names = [f"s{k}" for k in range(2 * domains)]
+    parts = narrow.mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    row = parts.agg(*[F.sum(n) for n in names]).first()
+    found = np.array([x or 0.0 for x in row]).reshape(2, domains)
+    return found[0], found[1]
+
+
+def with_rates(narrow: DataFrame, steps: list[Step], names: dict[str, str], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and the folded ``rate`` and ``last`` under the given names."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            _, p, r, last = _rows(batch)
+            if len(r):
+                r, last = folded(p, r, last, steps)
+            found = {"rate": r, "last": last}
+            return {name: pa.array(found[which], pa.float64()) for which, name in names.items()}
+
+        return work
+
+    return over_batches(narrow, make, ", ".join(f"{quoted(n)} double" for n in names.values()), keep)
 
 
 def curvature(narrow: DataFrame, domains: int) -> np.ndarray:
@@ -129,21 +178,62 @@ def targets_of(held: np.ndarray, shares: np.ndarray, grow: bool = True) -> np.nd
     return wanted if grow else np.minimum(wanted, held)
 
 
-def fitted(narrow: DataFrame, targets: np.ndarray, steps: int = STEPS) -> list[np.ndarray]:
-    """The steps of the projected-gradient fit over ``tokens, p``."""
-    made: list[np.ndarray] = []
-    matrix = curvature(narrow, len(targets))
-    scale = max(float(targets.sum()), 1.0)
-    inverse = np.linalg.pinv(matrix + 1e-9 * max(float(np.trace(matrix)), 1.0) * np.eye(len(targets)))
-    last = np.inf
-    for _ in range(steps):
-        residual = totals(narrow, len(targets), made) - targets
-        size = float(np.abs(residual).sum())
-        if size <= CLOSE * scale or size > 0.999 * last:
+class Solver:
+    """The steps of the fit, given what each of them finds; where the documents are is not its matter."""
+
+    def __init__(self, matrix: np.ndarray, targets: np.ndarray):
+        k = len(targets)
+        self.targets, self.scale = targets, max(float(targets.sum()), 1.0)
+        self.inverse = np.linalg.pinv(matrix + 1e-12 * max(float(np.trace(matrix)), 1.0) * np.eye(k))
+        self.plain = np.eye(k) / max(float(np.linalg.eigvalsh(matrix)[-1]), 1.0)
+        self._restart(self.inverse)
+
+    def _restart(self, p: np.ndarray) -> None:
+        self.p, self.sums, self.pace, self.before = p, [], 1.0, np.inf
+
+    def momentum(self) -> float:
+        """How far the next step looks ahead."""
+        following = (1 + np.sqrt(1 + 4 * self.pace**2)) / 2
+        return (self.pace - 1) / following
+
+    def step(self, reached: np.ndarray, ahead: np.ndarray) -> Step | None:
+        """The next step from totals at the rates and ahead of them; None at the optimum."""
+        residual = reached - self.targets
+        if np.abs(residual).sum() <= CLOSE * self.scale:
+            return None
+        square = float(residual @ self.p @ residual)
+        self.sums.append(square)
+        if len(self.sums) > WINDOW and square > self.sums[-WINDOW] * (1 - FLAT):
+            if self.p is self.plain:
+                return None
+            self._restart(self.plain)
+            return Step(0.0, self.p @ residual)
+        momentum = self.momentum()
+        if square > self.before:  # too far: go on from the rates themselves
+            self.pace, momentum, ahead = 1.0, 0.0, reached
+        self.pace = (1 + np.sqrt(1 + 4 * self.pace**2)) / 2
+        self.before = square
+        return Step(momentum, self.p @ (ahead - self.targets))
+
+
+def fitted(narrow: DataFrame, targets: np.ndarray) -> tuple[list[Step], np.ndarray]:
+    """Projected-gradient fit over ``tokens, p``: all steps, and the totals they reach."""
+    solver = Solver(curvature(narrow, len(targets)), targets)
+    made: list[Step] = []
+    late: list[Step] = []  # those that the table doesn't hold yet
+    reached, _ = totals(narrow, len(targets), late)
+    ahead = reached
+    for _ in range(STEPS):
+        step = solver.step(reached, ahead)
+        if step is None:
             break
-        last = size
-        made.append(inverse @ residual)
-    return made
+        made.append(step)
+        late.append(step)
+        if len(late) == FOLD:
+            narrow = cut(with_rates(narrow, late, {"rate": "_r", "last": "_last"}, ["tokens", "p"]))
+            late = []
+        reached, ahead = totals(narrow, len(targets), late, solver.momentum())
+    return made, reached
 
 
 def mixed(
@@ -155,18 +245,18 @@ def mixed(
 ) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
     """``doc_id, tokens, posteriors, rate`` of each row, and totals: reached ones, and targets.
 
-    Null and empty texts have no tokens; they get posteriors of a row without features and the
-    rate that follows. Null ids stay null, repeated rows count as often as they come, extra
+    Targets that rates can meet are met to CLOSE of their total; of others the squares of the
+    differences of the totals are least. Null and empty texts have no tokens; they get posteriors
+    of a row without features and the rate that follows. Null ids stay null, repeated rows count as often as they come, extra
     columns are ignored. Of an empty table all totals are 0.
     """
     shares = shares or TARGETS
     names = tuple(shares)
     models = train(docs, labels, names, rows)
     narrow = cut(_described(docs.select("doc_id", "text"), models, ["doc_id"]))
-    goal = targets_of(totals(narrow, len(names), []), np.array(list(shares.values())), grow)
-    steps = fitted(narrow, goal)
-    reached = totals(narrow, len(names), steps)
-    table = narrow.select("doc_id", "tokens", F.col("p").alias("posteriors"), rate(F.col("p"), steps).alias("rate"))
+    goal = targets_of(totals(narrow, len(names), [])[0], np.array(list(shares.values())), grow)
+    steps, reached = fitted(narrow, goal)
+    table = with_rates(narrow, steps, {"rate": "rate"}, ["doc_id", "tokens", "p"]).withColumnRenamed("p", "posteriors")
     return table, dict(zip(names, reached.tolist(), strict=True)), dict(zip(names, goal.tolist(), strict=True))
 
 
@@ -187,11 +277,15 @@ def thinned(
     names = tuple(shares)
     models = train(docs, labels, names, rows)
     columns = docs.columns
-    named = _described(docs, models, columns)
-    tokens, p = named.columns[-2:]
-    narrow = cut(named.select(F.col(quoted(tokens)).alias("tokens"), F.col(quoted(p)).alias("p")))
-    goal = targets_of(totals(narrow, len(names), []), np.array(list(shares.values())), grow=False)
-    steps = fitted(narrow, goal)
+    work = Workspace(docs.sparkSession, "mixture")
+    named = work.table(_described(docs, models, columns))  # every document is scored once
+    tokens, p = (quoted(c) for c in named.columns[-2:])
+    narrow = named.select(F.col(tokens).alias("tokens"), F.col(p).alias("p"))
+    goal = targets_of(totals(narrow, len(names), [])[0], np.array(list(shares.values())), grow=False)
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    kept = named.where(draw * whole < rate(F.col(quoted(p)), steps))
-    return kept.select(*[F.col(quoted(c)) for c in columns])
+    drawn = named.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns)],
+                         F.col(tokens).alias("tokens"), F.col(p).alias("p"), draw.alias("_draw"))
+    steps, _ = fitted(narrow, goal)
+    own = [f"c{k}" for k in range(len(columns))]
+    rated = with_rates(drawn, steps, {"rate": "_rate"}, [*own, "_draw"]).where(F.col("_draw") * whole < F.col("_rate"))
+    return rated.select(*[F.col(o).alias(c) for o, c in zip(own, columns, strict=True)])

@@ -36,13 +36,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of all documents, with the totals that they reach and should reach."""
+    """Rates of all documents, with the totals that they reach and should reach.
+
+    ``residual`` is the sum of all differences as a share of the targets."""
     ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     labels = mixing.domain(table(spark, sf_dir, "labels"))
     rates, reached, goal = mixing.mixed(docs, labels)
     shares = [F.round(F.get("posteriors", F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(reached)]
     sums = [F.lit(float(v[d])).alias(f"{n}_{d}") for n, v in (("total", reached), ("target", goal)) for d in v]
+    off = sum(abs(reached[d] - goal[d]) for d in goal) / max(sum(goal.values()), 1.0)
+    sums.append(F.lit(off).alias("residual"))
     return rates.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), *sums)
 
 

@@ -146,6 +146,84 @@ def test_rates_meet_targets(spark, docs, clashing):
     assert all(abs(sum(r.posteriors) - 1) < 1e-9 for r in found)
 
 
+def solved(p, n, targets):
+    """The fit over arrays: rates, and how many passes it took."""
+    solver = mixing.Solver((p * n[:, None]).T @ p, targets)
+    r = last = np.ones(len(n))
+    for passes in range(mixing.STEPS):
+        ahead = r + solver.momentum() * (r - last)
+        step = solver.step((n * r) @ p, (n * ahead) @ p)
+        if step is None:
+            break
+        r, last = mixing.folded(p, r, last, [step])
+    return r, passes
+
+
+def least_squares(p, n, targets):
+    """Nonnegative least squares by many plain steps."""
+    matrix = (p * n[:, None]).T @ p
+    size, r = 1 / np.linalg.eigvalsh(matrix)[-1], np.ones(len(n))
+    y, pace = r, 1.0
+    for _ in range(20000):
+        moved = np.maximum(0, y - size * (p @ ((n * y) @ p - targets)))
+        following = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        if (moved - r) @ (n * (y - moved)) > 0:
+            following = 1.0
+        y, r, pace = moved + (pace - 1) / following * (moved - r) * (following > 1), moved, following
+    return r
+
+
+def test_reachable_targets_are_reached():
+    rng = np.random.default_rng(6)
+    took = []
+    for _ in range(200):
+        k, rows = rng.integers(2, 7), rng.integers(20, 300)
+        p = rng.dirichlet(rng.choice([0.05, 0.3, 1, 5]) * rng.uniform(0.1, 3, k), rows)
+        n = rng.integers(0, 2000, rows).astype(float)
+        targets = (n * rng.gamma(rng.choice([0.03, 0.3, 2]), 1, rows)) @ p
+        r, passes = solved(p, n, targets)
+        assert (r >= 0).all() and np.abs((n * r) @ p - targets).sum() <= 1e-4 * max(targets.sum(), 1)
+        took.append(passes)
+    assert np.median(took) < 10 and max(took) < mixing.STEPS - 1
+
+
+def test_other_targets_get_least_squares():
+    rng = np.random.default_rng(7)
+    for _ in range(25):
+        k, rows = rng.integers(2, 5), rng.integers(20, 60)
+        p = rng.dirichlet(rng.uniform(2, 6, k), rows)
+        n = rng.integers(1, 200, rows).astype(float)
+        targets = rng.dirichlet(np.full(k, 0.3)) * n.sum()  # mostly beyond any mixture of rows
+        errors = [((n * r) @ p - targets) @ ((n * r) @ p - targets) for r in (solved(p, n, targets)[0], least_squares(p, n, targets))]
+        assert errors[0] <= errors[1] * 1.001 + 1e-8 * targets.sum() ** 2
+
+
+@pytest.mark.parametrize("fold", [2, 40])
+def test_mixture_over_tables(spark, docs, monkeypatch, fold):
+    """The same rates as the fit over arrays, also where the fold is written down between."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.2, 0.1, 0.1], 300)
+    n = rng.integers(0, 300, 300)
+    targets = (n * rng.gamma(0.1, 1, 300)) @ p
+    wanted, passes = solved(p, n.astype(float), targets)
+    monkeypatch.setattr(mixing, "FOLD", fold)
+    rows = [(i, int(t), [float(x) for x in row]) for i, (t, row) in enumerate(zip(n, p, strict=True))]
+    narrow = spark.createDataFrame(rows, "doc_id int, tokens bigint, p array<double>").repartition(3)
+    steps, reached = mixing.fitted(narrow, targets)
+    assert len(steps) == passes and np.abs(reached - targets).sum() <= 1e-6 * targets.sum()
+    found = mixing.with_rates(narrow, steps, {"rate": "rate"}, ["doc_id"]).orderBy("doc_id").collect()
+    assert np.allclose([r.rate for r in found], wanted, atol=1e-6)
+
+
+def test_mixture_of_long_texts(spark, docs):
+    rows, labels = labelled_rows()
+    table = mixing.domain(spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    long = [(5000, "word " * 400_000), (5001, "x" * 2_000_000)]
+    rates, reached, goal = mixing.mixed(docs([*rows, *long]), table, {"clean": 0.6, "low": 0.3, "toxic": 0.1})
+    assert {r.doc_id: r.tokens for r in rates.where("doc_id >= 5000").collect()} == {5000: 400_000, 5001: 1}
+    assert rates.count() == len(rows) + 2 and all(r.rate >= 0 for r in rates.collect())
+
+
 def test_mixture_drops_what_has_no_room(spark, docs):
     rows, labels = labelled_rows()
     table = mixing.domain(spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
