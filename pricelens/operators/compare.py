@@ -109,8 +109,10 @@ def build_messages(
     flat: float = FLAT_LIMIT,
     share: float = SHARE_LIMIT,
     group_sep: str = NO_BREAK_SPACE,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``base_key, product_key, first_ord, has_alert, alert_key, message`` per anchored product.
+    """``base_key, product_key, first_ord, has_alert, alert_key, message`` per anchored product,
+    behind the columns ``keep`` of the groups.
 
     ``alert_key`` comes from the title line alone, so who needs only keys formats no message.
     """
@@ -131,6 +133,7 @@ def build_messages(
             | is_alert(installment_reference(ac, ai), installment, flat, share)
         )
     return anchored(groups).select(
+        *keep,
         "base_key",
         "product_key",
         "first_ord",

@@ -28,11 +28,15 @@ def _slot(i: int) -> str:
 
 
 def distinct_titles(
-    offers: DataFrame, sources: Sequence[Source] = DEFAULT_SOURCES
+    offers: DataFrame,
+    sources: Sequence[Source] = DEFAULT_SOURCES,
+    by: Sequence[str] = (),
+    first: str = "ord",
 ) -> DataFrame:
     """One row per title: the best offer of each source, and where it was seen first.
 
-    The offers of source ``i`` are in the column ``_s{i}``, null if it has none.
+    The offers of source ``i`` are in the column ``_s{i}``, null if it has none. With ``by`` there
+    is a row for each value of these columns; ``first`` holds the position that counts as seen.
     """
     offer = F.struct("cash_price", "installment_price", "ord")
     best = [
@@ -40,7 +44,7 @@ def distinct_titles(
         for i, s in enumerate(sources)
     ]
     named = offers.where(F.col("name").isNotNull())
-    return named.groupBy("name").agg(F.min("ord").alias("first_ord"), *best)
+    return named.groupBy(*by, "name").agg(F.min(first).alias("first_ord"), *best)
 
 
 def with_product_keys(df: DataFrame, name: str = "name") -> DataFrame:
@@ -57,7 +61,24 @@ def product_groups(
     does not sell the product. The number of sources is fixed, so a product is one row of
     bounded size however many offers it has, and comparing sources needs no join.
     """
-    keyed = with_product_keys(distinct_titles(offers, sources))
+    return _grouped(with_product_keys(distinct_titles(offers, sources)), sources)
+
+
+def product_groups_by(
+    offers: DataFrame, by: Sequence[str], sources: Sequence[Source] = DEFAULT_SOURCES
+) -> DataFrame:
+    """Products for each value of the columns ``by``, for instance for each run.
+
+    ``offers`` has ``first_ord`` beside ``ord``: where a title was seen first, which need not be
+    its best offer. A title is canonicalized once, however many values it occurs with.
+    """
+    titles = distinct_titles(offers, sources, by, "first_ord")
+    names = with_product_keys(titles.select("name").distinct())
+    return _grouped(titles.join(names, "name"), sources, by)
+
+
+def _grouped(keyed: DataFrame, sources: Sequence[Source], by: Sequence[str] = ()) -> DataFrame:
+    """Products of distinct titles with their keys."""
     slots = []
     for i in range(len(sources)):
         cash, ord = F.col(_slot(i))["cash_price"], F.col(_slot(i))["ord"]
@@ -66,12 +87,13 @@ def product_groups(
         sold = F.when(F.col(_slot(i)).isNotNull(), order)
         slots.append(F.min_by(entry, sold).alias(_slot(i)))
     other_key = F.min_by("key", F.when(F.col("key") != F.col("base_key"), F.col("first_ord")))
-    grouped = keyed.groupBy("base_key").agg(
+    grouped = keyed.groupBy(*by, "base_key").agg(
         F.coalesce(other_key, F.col("base_key")).alias("product_key"),
         F.min("first_ord").alias("first_ord"),
         *slots,
     )
     return grouped.select(
+        *by,
         "base_key",
         "product_key",
         "first_ord",

@@ -764,6 +764,12 @@ SELECT source FROM known LEFT JOIN s USING (source)
 WHERE seen_at IS NULL OR epoch_us(TIMESTAMP '{STAMP}') - epoch_us(seen_at) > 15 * 60 * 1000000"""
 ORACLE["alert_sink"] = f"{_M} SELECT product_key, message FROM msgs WHERE has_alert"
 
+ORACLE["alert_delivery"] = f"""{_M}, tries AS (SELECT a.attempt, product_key, head AS alert_key, length(message) AS size,
+  length(message) % a.divisor = 0 AS bad FROM msgs, (VALUES (1, 3), (2, 6), (3, 6)) AS a(attempt, divisor) WHERE has_alert)
+SELECT attempt, product_key, alert_key, CASE WHEN bad THEN 'failed' ELSE 'sent' END AS status,
+ CASE WHEN bad THEN 'ValueError: ' || size || ' characters' END AS error
+FROM tries WHERE attempt = 1 OR (attempt = 2 AND size % 3 = 0) OR (attempt = 3 AND size % 6 = 0)"""
+
 _LOCAL_HOUR = "extract(hour FROM {ts} + INTERVAL 4 HOUR)"
 
 
@@ -818,6 +824,58 @@ _CLOSED = "run + INTERVAL 1 HOUR <= (SELECT max(ts) FROM feed) - INTERVAL 1 HOUR
 ORACLE["stream_new_alerts"] = (
     f"WITH {_RUN_ALERTS} SELECT {minute('run')} AS run, product_key FROM fresh WHERE {_CLOSED}"
 )
+ORACLE["stream_new_alerts_ended"] = ORACLE["new_alerts_by_run"]
+ORACLE["stream_snapshots_ended"] = f"""WITH {_FEED},
+ latest AS (SELECT source, max(run) AS run FROM feed GROUP BY source)
+SELECT c.source, {minute('c.run')} AS run, product_key, min(cash_price) AS cash_price
+FROM feed c JOIN latest l ON c.source = l.source AND c.run = l.run GROUP BY ALL"""
+# Offers as each run sees them; the run is part of the keys, so one report is made for all runs.
+_TITLE_FEED = """feed AS (SELECT ts, date_trunc('hour', ts) AS run, CASE event_type {cases} END AS source,
+ CASE event_id % 4 WHEN 0 THEN 'Apple iPhone ' || (user_id % 20) || ' 128 ГБ'
+  WHEN 1 THEN 'iPhone ' || (user_id % 20) || ' 128GB (Nano-SIM)'
+  WHEN 2 THEN 'iphone ' || (user_id % 20) || ' 128gb Black'
+  ELSE 'iPhone ' || (user_id % 20) || ' 128GB eSIM' END AS name,
+ value AS cash_price, CASE WHEN event_id % 5 = 0 THEN value + 3 END AS installment_price, event_id AS id FROM events)""".format(
+    cases=" ".join(f"WHEN '{e}' THEN '{s}'" for e, s in zip(EVENT_SOURCES, SOURCE_IDS, strict=True))
+)
+_RUN_BEST = f"""runs AS (SELECT DISTINCT run FROM feed),
+taken AS (SELECT DISTINCT source, run AS snap FROM feed),
+seen AS (SELECT r.run, t.source, max(t.snap) AS snap FROM runs r JOIN taken t ON t.snap <= r.run GROUP BY ALL),
+{steps('feed', _RULES)},
+offers AS (SELECT s.run, f.source, f.name, f.cash_price, f.installment_price, d.rank * 1000000000000 + f.id AS ord,
+  k.v AS key, {match_key('k.v')} AS base
+ FROM seen s JOIN feed f ON f.source = s.source AND f.run = s.snap JOIN t{len(_RULES)} k ON k.name = f.name
+ JOIN dim d ON d.source = f.source),
+canon AS (SELECT run, base, coalesce(arg_min(key, ord) FILTER (WHERE key <> base), base) AS product,
+  min(ord) AS seen_first FROM offers GROUP BY run, base),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run, base, source
+  ORDER BY coalesce(cash_price, 'infinity'::DOUBLE), ord) AS rn FROM offers),
+tbest AS (SELECT r.run || '|' || base AS base_key, r.run || '|' || product AS product_key, seen_first AS first_ord,
+  source, name, cash_price, installment_price FROM ranked r JOIN canon USING (run, base) WHERE rn = 1)"""
+
+
+def flat_limit(sql: str, flat: float) -> str:
+    """The same SQL with another flat limit."""
+    return sql.replace("> 3000.0e0", f"> {flat}e0")
+
+
+ORACLE["stream_reports"] = f"""WITH {_DIM}, {_TITLE_FEED}, {_RUN_BEST}, {flat_limit(messages(), FEED_FLAT)},
+alerting AS (SELECT split_part(product_key, '|', 1)::TIMESTAMP AS run, split_part(product_key, '|', 2) AS product_key,
+  first_ord, head AS alert_key, message FROM msgs WHERE has_alert),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY first_ord) AS n FROM alerting),
+before AS (SELECT run, lag(run) OVER (ORDER BY run) AS earlier FROM runs)
+SELECT {minute('m.run')} AS run, n, product_key, alert_key, cast(n AS VARCHAR) || '. ' || message AS message
+FROM numbered m JOIN before b ON b.run = m.run
+WHERE NOT EXISTS (SELECT 1 FROM numbered p WHERE p.run = b.earlier AND p.alert_key = m.alert_key)"""
+ORACLE["stream_late_rows"] = """WITH arrived AS (SELECT event_id % 3 AS batch, event_id, ts FROM events),
+ newest AS (SELECT batch, max(ts) AS newest FROM arrived GROUP BY batch),
+ until AS (SELECT a.batch, max(b.newest) - INTERVAL 1 HOUR AS until FROM newest a
+  LEFT JOIN newest b ON b.batch < a.batch GROUP BY a.batch),
+ marked AS (SELECT *, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= until, false) AS late
+  FROM arrived JOIN until USING (batch))
+SELECT batch::INTEGER AS batch, count(*) AS rows, count(*) FILTER (WHERE late) AS late,
+ count(*) FILTER (WHERE late) AS listed, coalesce(sum(event_id) FILTER (WHERE late), 0)::BIGINT AS ids
+FROM marked GROUP BY batch"""
 ORACLE["stream_snapshots"] = f"""WITH {_FEED},
  closed AS (SELECT * FROM feed WHERE {_CLOSED}),
  latest AS (SELECT source, max(run) AS run FROM closed GROUP BY source)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,9 @@ from ..sources import alerts as alert_sink_module
 from ..sources import catalog, detail, listing, snapshots, versions
 from ..sources.html import with_page
 from ..sources.tables import EVENT_SOURCES, choose, feed_from_events, offers, price_feed, table
+from ..sources.tables import title_feed_from_events
 from ..streaming.alerts import stream_new_alerts
+from ..streaming.reports import end_mark, stream_reports, with_end_marks
 from ..streaming.snapshots import stream_snapshots
 from . import fixtures, jobs, runs
 
@@ -921,6 +924,28 @@ def alert_sink(spark, sf):
     return spark.read.parquet(path)
 
 
+def _picky(divisor: int):
+    """A messenger that refuses some messages."""
+
+    def send(row: dict) -> None:
+        if len(row["message"]) % divisor == 0:
+            raise ValueError(f"{len(row['message'])} characters")
+
+    return send
+
+
+@query
+def alert_delivery(spark, sf):
+    """All alerts sent three times: bad messages fail alone, sent ones are not sent again."""
+    path = scratch_path(spark, "deliveries")
+    messages = C.build_messages(_groups(spark, sf)).where("has_alert")
+    alerts = materialize(messages.select(F.lit("r1").alias("run"), "product_key", "alert_key", "message"))
+    for attempt, divisor in ((1, 3), (2, 6), (3, 6)):
+        alert_sink_module.deliver(alerts, path, _picky(divisor), attempt=attempt)
+    tried = alert_sink_module.deliveries(spark, path)
+    return tried.select("attempt", "product_key", "alert_key", "status", "error")
+
+
 # ---- runs ------------------------------------------------------------------------------
 
 
@@ -1014,5 +1039,67 @@ def stream_snapshots_query(spark, sf):
     return stored.select("source", _run_name("run").alias("run"), "product_key", "cash_price")
 
 
-for _name in ("stream_new_alerts", "stream_snapshots"):
+def _ended(spark, feed: DataFrame, folder: str) -> DataFrame:
+    """The feed with a mark behind its end, so that the last hours are closed too."""
+    end_mark(spark, folder, dt.datetime(2100, 1, 1))
+    return with_end_marks(feed, folder)
+
+
+@query
+def stream_new_alerts_ended(spark, sf):
+    root = scratch_path(spark, "stream-alerts")
+    feed = _ended(spark, _event_stream(spark, sf), f"{root}/marks")
+    stream_new_alerts(
+        feed, f"{root}/state", f"{root}/out", f"{root}/checkpoint", flat=FEED_FLAT
+    ).awaitTermination()
+    fresh = spark.read.parquet(f"{root}/out")
+    return fresh.select(_run_name("run").alias("run"), "product_key")
+
+
+@query
+def stream_snapshots_ended(spark, sf):
+    root = scratch_path(spark, "stream-snapshots")
+    feed = _ended(spark, _event_stream(spark, sf), f"{root}/marks")
+    stream_snapshots(feed, f"{root}/store", f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"{root}/store")
+    return stored.select("source", _run_name("run").alias("run"), "product_key", "cash_price")
+
+
+def _title_stream(spark, path: str, **options) -> DataFrame:
+    schema = spark.read.parquet(path).schema
+    return title_feed_from_events(spark.readStream.schema(schema).options(**options).parquet(path))
+
+
+@query
+def stream_reports_query(spark, sf):
+    """The run loop over raw titles, up to the last hour: numbered messages of all new alerts."""
+    root = scratch_path(spark, "stream-reports")
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    feed = _ended(spark, title_feed_from_events(events), f"{root}/marks")
+    stream_reports(feed, root, f"{root}/checkpoint", flat=FEED_FLAT).awaitTermination()
+    sent = spark.read.parquet(f"{root}/out")
+    return sent.select(_run_name("run").alias("run"), "n", "product_key", "alert_key", "message")
+
+
+@query
+def stream_late_rows(spark, sf):
+    """Events that arrive in three parts, each over all of the time: most of the later ones are late."""
+    root = scratch_path(spark, "stream-late")
+    events = table(spark, sf, "events")
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    feed = _title_stream(spark, f"{root}/events", maxFilesPerTrigger="1")
+    stream_reports(feed, root, f"{root}/checkpoint", flat=FEED_FLAT).awaitTermination()
+    late = spark.read.parquet(f"{root}/late").groupBy("batch").agg(
+        F.count(F.lit(1)).alias("listed"), F.sum("ord").alias("ids")
+    )
+    counted = spark.read.parquet(f"{root}/counts").join(late, "batch", "left")
+    return counted.select(
+        "batch", "rows", "late", F.coalesce("listed", F.lit(0)).alias("listed"),
+        F.coalesce("ids", F.lit(0)).alias("ids"),
+    )
+
+
+for _name in ("stream_new_alerts", "stream_snapshots", "stream_reports"):
     QUERIES[_name] = QUERIES.pop(f"{_name}_query")

@@ -88,18 +88,46 @@ def price_feed(
     return feed_from_events(table(spark, sf_dir, "events"), sources)
 
 
+def _event_source(sources: Sequence[Source]) -> Column:
+    source = F.when(F.col("event_type") == EVENT_SOURCES[0], sources[0].id)
+    for event, s in zip(EVENT_SOURCES[1:], sources[1:], strict=True):
+        source = source.when(F.col("event_type") == event, s.id)
+    return source
+
+
 def feed_from_events(
     events: DataFrame, sources: Sequence[Source] = DEFAULT_SOURCES
 ) -> DataFrame:
     """``ts, source, product_key, cash_price, installment_price, ord`` from an events table."""
-    source = F.when(F.col("event_type") == EVENT_SOURCES[0], sources[0].id)
-    for event, s in zip(EVENT_SOURCES[1:], sources[1:], strict=True):
-        source = source.when(F.col("event_type") == event, s.id)
     return events.select(
         F.col("ts").cast("timestamp").alias("ts"),
-        source.alias("source"),
+        _event_source(sources).alias("source"),
         F.concat(F.lit("product "), (F.col("user_id") % 20).cast("string")).alias("product_key"),
         F.col("value").alias("cash_price"),
         F.lit(None).cast("double").alias("installment_price"),
         F.col("event_id").alias("ord"),
     )
+
+
+def title_feed_from_events(
+    events: DataFrame, sources: Sequence[Source] = DEFAULT_SOURCES
+) -> DataFrame:
+    """``ts, source, name, cash_price, installment_price, ord``: the price feed as raw shop titles.
+
+    A product has several spellings, and two products of one display name.
+    """
+    number = (F.col("user_id") % 20).cast("string")
+    name = (
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Apple iPhone "), number, F.lit(" 128 ГБ")))
+        .when(F.col("event_id") % 4 == 1, F.concat(F.lit("iPhone "), number, F.lit(" 128GB (Nano-SIM)")))
+        .when(F.col("event_id") % 4 == 2, F.concat(F.lit("iphone "), number, F.lit(" 128gb Black")))
+        .otherwise(F.concat(F.lit("iPhone "), number, F.lit(" 128GB eSIM")))
+    )
+    return events.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        _event_source(sources).alias("source"),
+        name.alias("name"),
+        F.col("value").alias("cash_price"),
+        F.when(F.col("event_id") % 5 == 0, F.col("value") + 3).alias("installment_price"),
+        F.col("event_id").cast("bigint").alias("ord"),
+    )

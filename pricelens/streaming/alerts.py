@@ -51,7 +51,7 @@ def stream_new_alerts(
         spark = batch.sparkSession
         closed_path = batch_path(f"{state_path}/closed", batch_id)
         batch.write.mode("overwrite").parquet(closed_path)
-        closed = spark.read.parquet(closed_path)
+        closed = spark.read.parquet(closed_path).where("source is not null")  # no end marks
         if closed.isEmpty():
             return
         runs = closed.select("run").distinct()

@@ -23,7 +23,7 @@ def stream_snapshots(
         spark = batch.sparkSession
         closed_path = batch_path(f"{state_path}/closed", batch_id)
         batch.write.mode("overwrite").parquet(closed_path)
-        closed = spark.read.parquet(closed_path)
+        closed = spark.read.parquet(closed_path).where("source is not null")  # no end marks
         latest = closed.groupBy("source").agg(F.max("run").alias("run"))
         replaced = closed.join(latest, ["source", "run"], "left_semi")
         (
