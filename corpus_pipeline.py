@@ -48,7 +48,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark; rows without doc_id stay."""
     ship_package(spark)
-    found = contamination.report(docs, table(spark, sf_dir, "benchmark"))
+    found = contamination.report(docs, table(spark, sf_dir, "benchmark"), distance=None)
     id_ = fresh(docs, "_id")
     losers = found.where("contaminated").select(F.col("doc_id").alias(id_)).distinct()
     return docs.join(losers.hint("shuffle_hash"), docs.doc_id == F.col(id_), "left_anti")
@@ -63,7 +63,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and slot."""
-    return sharding.shard(docs, ["doc_id", "text"])
+    ship_package(spark)
+    return sharding.shard(docs)
 
 
 STAGES = [

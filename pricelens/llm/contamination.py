@@ -6,7 +6,9 @@ each window; for these the documents' postings (term, document, positions) are s
 window intersects the lists of its rarest terms, rarest first, after moving positions by the
 terms' offsets in the window. What is left is verified against all words of the window.
 
-The same index gives proximity matches: the chosen terms within a distance, in any order.
+The same index gives proximity matches: the chosen terms within a distance, in any order. Postings
+of one text lie together, so these need no exchange: a text's lists are searched for the nearest
+positions of the other terms around each place of the rarest one.
 """
 
 from __future__ import annotations
@@ -127,10 +129,16 @@ def rarest_terms(query: Query, terms: np.ndarray, counts: np.ndarray, most: int)
 
 
 def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """The positional index of ``terms``: ``term, doc_id, positions``, one row for each text."""
+    """The positional index of ``terms``: ``term, doc_id, positions, row``, one row for each text.
+
+    Rows of a text lie together, by term; ``row`` tells the texts of a partition apart.
+    """
 
     def make():
+        done = 0
+
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            nonlocal done
             ids = batch.column(0)
             for low, hashes, rows in term_hashes(batch.column(1)):
                 place, hit = _find(terms, hashes.view(np.int64))
@@ -146,11 +154,14 @@ def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                     "term": pa.array(terms[term[first]]),
                     "doc_id": ids.take(pa.array(low + row[first])),
                     "positions": pa.ListArray.from_arrays(pa.array(ends), pa.array(position)),
+                    "row": pa.array(done + low + row[first]),
                 }
+            done += batch.num_rows
 
         return work
 
-    made = mapped(docs.select("doc_id", "text"), make, "term bigint, doc_id bigint, positions array<int>")
+    schema = "term bigint, doc_id bigint, positions array<int>, row bigint"
+    made = mapped(docs.select("doc_id", "text"), make, schema)
     return made.where("doc_id is not null")
 
 
@@ -178,24 +189,76 @@ def phrase_starts(index: DataFrame, ids: list[int], chosen: list[list[tuple]]) -
     return found.select(*keys)
 
 
-def near_matches(
-    index: DataFrame, ids: list[int], chosen: list[list[tuple]], distance: int
-) -> DataFrame:
+class _Near:
+    """The chosen terms of a block's windows, found by the rarest one."""
+
+    def __init__(self, ids: list[int], chosen: list[list[tuple]]):
+        most = max(map(len, chosen))
+        rarest = np.array([c[0][0] for c in chosen], np.int64)
+        order = np.argsort(rarest, kind="stable")
+        self.rarest, self.ids = rarest[order], np.array(ids, np.int64)[order]
+        # A window with fewer terms asks for its rarest one again.
+        full = [[t for t, _ in c] + [c[0][0]] * (most - len(c)) for c in chosen]
+        self.others = np.array(full, np.int64)[order, 1:]
+
+    def matches(self, terms: np.ndarray, places: list[np.ndarray], distance: int) -> Iterator[tuple[int, int]]:
+        """Window and place of its rarest term, for one text: ordered terms and their positions."""
+        low, high = np.searchsorted(self.rarest, terms, "left"), np.searchsorted(self.rarest, terms, "right")
+        size = high - low
+        own = np.repeat(np.arange(len(terms)), size)
+        window = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+        at, hit = _find(terms, self.others[window])
+        whole = hit.all(axis=1)
+        for k, row, rest in zip(window[whole].tolist(), own[whole].tolist(), at[whole].tolist(), strict=True):
+            first = places[row]
+            near = np.ones(len(first), dtype=bool)
+            for other in rest:
+                spots = places[other]
+                after = np.searchsorted(spots, first)
+                right = spots[np.minimum(after, len(spots) - 1)]
+                left = spots[np.maximum(after - 1, 0)]
+                near &= np.minimum(np.abs(right - first), np.abs(first - left)) <= distance
+            for spot in first[near].tolist():
+                yield int(self.ids[k]), spot
+
+
+def near_matches(index: DataFrame, ids: list[int], chosen: list[list[tuple]], distance: int) -> DataFrame:
     """``doc_id, window, first``: documents in which all chosen terms of a window lie within
-    ``distance`` words, in any order; first is where the rarest of them stands."""
-    spark = index.sparkSession
-    asked = [
-        (w, t, k, len(c)) for w, c in zip(ids, chosen, strict=True) for k, (t, _) in enumerate(c)
-    ]
-    wanted = spark.createDataFrame(asked, "window bigint, term bigint, k int, terms int")
-    lists = index.join(F.broadcast(wanted), "term").select(
-        "doc_id", "window", "k", "terms", F.explode("positions").alias("position")
-    )
-    anchor = lists.where("k = 0").select("doc_id", "window", "terms", F.col("position").alias("first"))
-    others = lists.select("doc_id", "window", "k", "position")
-    close = anchor.join(others, ["doc_id", "window"]).where(F.abs(F.col("position") - F.col("first")) <= distance)
-    counted = close.groupBy("doc_id", "window", "first", "terms").agg(F.count_distinct("k").alias("met"))
-    return counted.where("met = terms").select("doc_id", "window", "first")
+    ``distance`` words of the rarest one, in any order; first is where that stands.
+
+    The postings of a text are read together where they lie; nothing is exchanged or paired.
+    """
+    sent = index.sparkSession.sparkContext.broadcast(_Near(ids, chosen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, last = sent.value, [], None
+        found: list[tuple] = []
+
+        def flush() -> None:
+            if held:
+                terms = np.array([t for t, _ in held], np.int64)
+                found.extend((last[1], *f) for f in block.matches(terms, [p for _, p in held], distance))
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "window", "first"])
+
+        for batch in batches:
+            lists = batch.column(2)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            rows = zip(*(batch.column(k).to_pylist() for k in (3, 1, 0)), strict=True)
+            for k, (row, doc_id, term) in enumerate(rows):
+                if (row, doc_id) != last:
+                    flush()
+                    held, last = [], (row, doc_id)
+                held.append((term, values[ends[k] : ends[k + 1]]))
+            yield made()
+        flush()
+        yield made()
+
+    columns = index.select("term", "doc_id", "positions", "row")
+    return columns.mapInArrow(run, "doc_id bigint, window bigint, first bigint")
 
 
 def _verify():
@@ -226,18 +289,25 @@ def _verify():
     return work
 
 
-def _candidates(docs: DataFrame, query: Query) -> DataFrame:
-    """``doc_id, start, words, items`` of the windows of one block that may stand in a text."""
+def _candidates(docs: DataFrame, query: Query, distance: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, start, words, items`` of the windows of one block that may stand in a text, and
+    ``doc_id, window, first`` of those whose rarest terms are near one another."""
     terms = np.unique(query.words[np.arange(WINDOW) < query.length[:, None]])
     chosen = rarest_terms(query, terms, term_counts(docs, terms), RAREST)
     kept = np.unique(np.array([t for c in chosen for t, _ in c], np.int64))
     index = cut(postings(docs, kept))
     starts = phrase_starts(index, query.ids, chosen)
-    return starts.join(F.broadcast(query.table), "window").drop("window")
+    near = near_matches(index, query.ids, chosen, distance) if distance is not None else None
+    return starts.join(F.broadcast(query.table), "window").drop("window"), near
+
 
+def matches(
+    docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDOWS, distance: int | None = WINDOW
+) -> DataFrame:
+    """``doc_id, n_near, n_words, hit, items`` of each row of ``doc_id, text``.
 
-def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """``doc_id, n_words, hit, items`` of each row of ``doc_id, text``.
+    ``n_near`` counts the windows whose rarest terms stand within ``distance`` words in a text of
+    this doc_id, in any order (0 if no distance is given).
 
     ``hit`` has the positions of the words inside an occurrence of a window, ``items`` the
     items with such windows. Null texts have no words. A row without doc_id is counted but not
@@ -246,25 +316,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDOWS) -
     nothing is hit. Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    spots = None
+    spots, close = None, None
     for query in query_blocks(benchmark, block):
-        found = _candidates(docs, query)
+        found, near = _candidates(docs, query, distance)
         spots = found if spots is None else spots.unionByName(found)
+        if near is not None:
+            close = near if close is None else close.unionByName(near)
     if spots is None:
         none = F.lit(None).cast("array<struct<start:int,words:array<bigint>,items:array<bigint>>>")
-        joined = docs.select("text", none.alias("spots"), "doc_id")
+        joined = docs.select("text", none.alias("spots"), "doc_id", F.lit(0).cast("bigint").alias("n_near"))
     else:
         lists = spots.groupBy("doc_id").agg(
             F.collect_list(F.struct("start", "words", "items")).alias("spots")
         )
-        joined = docs.join(lists.hint("shuffle_hash"), "doc_id", "left").select("text", "spots", "doc_id")
+        if close is None:
+            lists = lists.withColumn("n_near", F.lit(0))
+        else:
+            windows = close.select("doc_id", "window").distinct().groupBy("doc_id")
+            lists = lists.join(windows.agg(F.count(F.lit(1)).alias("n_near")), "doc_id", "full")
+        near = F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near")
+        joined = docs.join(lists.hint("shuffle_hash"), "doc_id", "left").select("text", "spots", "doc_id", near)
     schema = "n_words bigint, hit array<int>, items array<bigint>"
-    return over_batches(joined, _verify, schema, ["doc_id"])
+    return over_batches(joined, _verify, schema, ["doc_id", "n_near"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of each document."""
-    found = matches(docs, benchmark, block)
+def report(
+    docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDOWS, distance: int | None = WINDOW
+) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near`` of each document."""
+    found = matches(docs, benchmark, block, distance)
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
         "doc_id", "n_words",
@@ -272,4 +352,5 @@ def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDOWS) ->
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.size("hit") > 0).alias("contaminated"),
+        "n_near",
     )

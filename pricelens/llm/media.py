@@ -154,7 +154,7 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """The columns of ``described`` with the fingerprint as text: number of pairs and digest.
+    """The columns of ``described``, and ``feature``: number of fingerprint pairs and their digest.
 
     Equal texts have equal values; repeated rows give repeated results, a null text counts as
     empty, a null doc_id stays null, extra columns are ignored.
@@ -162,4 +162,4 @@ def media_report(docs: DataFrame) -> DataFrame:
     found = described(stored(docs))
     digest = F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ","), 256)
     feature = F.concat_ws(":", F.size("fingerprint").cast("string"), digest)
-    return found.withColumn("feature", feature).drop("fingerprint")
+    return found.withColumn("feature", feature)

@@ -28,6 +28,7 @@ from .words import NOT_SPACE, Words, chunks
 
 FIT_ROWS = 3000  # most labelled rows that the classifier is fitted on
 STEPS = 1000  # passes at most; nearly always fewer than 30 are needed
+THIN_STEPS = 40  # of a thinning, whose targets often can't be met: about 0.2 % off is near enough
 FOLD = 40  # most steps that a task folds
 CLOSE = 1e-6  # of the targets' total
 FLAT = 1e-6  # fall of the sum of squares over WINDOW steps that counts as none
@@ -216,14 +217,14 @@ class Solver:
         return Step(momentum, self.p @ (ahead - self.targets))
 
 
-def fitted(narrow: DataFrame, targets: np.ndarray) -> tuple[list[Step], np.ndarray]:
+def fitted(narrow: DataFrame, targets: np.ndarray, steps: int = STEPS) -> tuple[list[Step], np.ndarray]:
     """Projected-gradient fit over ``tokens, p``: all steps, and the totals they reach."""
     solver = Solver(curvature(narrow, len(targets)), targets)
     made: list[Step] = []
     late: list[Step] = []  # those that the table doesn't hold yet
     reached, _ = totals(narrow, len(targets), late)
     ahead = reached
-    for _ in range(STEPS):
+    for _ in range(steps):
         step = solver.step(reached, ahead)
         if step is None:
             break
@@ -269,7 +270,8 @@ def thinned(
 ) -> DataFrame:
     """``docs`` without the rows that the mixture has no room for; no row is doubled.
 
-    Targets don't ask for more than a domain holds, so rates are about 1 in the largest domain.
+    Targets don't ask for more than a domain holds, so rates are about 1 in the largest domain;
+    the fit takes THIN_STEPS steps at most.
     A row of rate r stays with probability r / ``whole``, by a hash of its id and text: rows
     of rate ``whole`` or more always stay. Columns keep their names, order and values.
     """
@@ -285,7 +287,7 @@ def thinned(
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     drawn = named.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns)],
                          F.col(tokens).alias("tokens"), F.col(p).alias("p"), draw.alias("_draw"))
-    steps, _ = fitted(narrow, goal)
+    steps, _ = fitted(narrow, goal, THIN_STEPS)
     own = [f"c{k}" for k in range(len(columns))]
     rated = with_rates(drawn, steps, {"rate": "_rate"}, [*own, "_draw"]).where(F.col("_draw") * whole < F.col("_rate"))
     return rated.select(*[F.col(o).alias(c) for o, c in zip(own, columns, strict=True)])

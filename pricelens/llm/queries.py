@@ -56,6 +56,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 

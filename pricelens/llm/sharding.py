@@ -1,28 +1,37 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-1. Rows fall into source parts by a hash of their key, and each part is counted.
+1. The partitions that the table has are the source parts. Rows are written once with the number
+   of their partition and their place in it, and parts are counted.
 2. How many rows of each part go to each shard is drawn from the multivariate hypergeometric
    law, part after part, from the room that is left in the shards: the counts that a uniform
    permutation of all rows would give, with exact shard sizes.
-3. Each part is permuted on its own; its first rows go to shard 0, the next to shard 1, ...
-4. Each shard is permuted again, in cells of bounded size, and rows get their slots.
-
-Permuting is sorting by a seeded hash, so a task that runs again after a lost executor gives
-the same rows. Only counts (one row for each part or cell) reach the driver.
+3. Each part is permuted on its own: a seeded permutation of its shard numbers, each as often as
+   the matrix says, is laid over its rows.
+4. Rows are exchanged once, and each shard is permuted again in cells of bounded size: a row's
+   cell and its order in it are hashes of its part and place. Rows get their slots.
+
+What a row holds plays no part, so equal rows spread like others. Everything follows from the
+written places and the seed, so a task that runs again after a lost executor gives the same rows.
+Only counts reach the driver and the tasks: one number per part and shard, and per cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import fresh
+from .tables import Workspace, fresh, quoted
+from .words import mix
 
 SHARDS = 16
-PART_ROWS = 50_000  # rows of a source part, and of a cell of a shard, about
+CELL_ROWS = 50_000  # rows of a cell of a shard, about
 SEED = 20_240_601
 _NUMPY_LIMIT = 10**9  # numpy draws hypergeometric counts below this population only
 
@@ -63,62 +72,106 @@ def communication_matrix(parts: list[int], shards: int, seed: int) -> np.ndarray
     return matrix
 
 
-def _order(keys: list[Column], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
+def _numbered(docs: DataFrame, part: str, place: str) -> DataFrame:
+    """``docs`` with the partition of each row and its place in that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.num_rows
+            made = [pa.array(np.full(size, number)), pa.array(np.arange(at, at + size))]
+            at += size
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, part, place])
+
+    head = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{head}, {quoted(part)} bigint, {quoted(place)} bigint")
+
+
+def _hashes(seed: int, part: int, places: np.ndarray) -> np.ndarray:
+    start = mix(np.array([seed], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part))
+    return mix(start + places.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def part_shards(row: np.ndarray, part: int, seed: int) -> np.ndarray:
+    """The shard of each place of a part, whose row of the matrix is given: a permutation."""
+    labels = np.repeat(np.arange(len(row), dtype=np.int32), row)
+    return np.random.default_rng([seed, part]).permutation(labels)
+
+
+def _cells(row: np.ndarray, part: int, cells: int, seed: int) -> np.ndarray:
+    """How many rows of a part go to each cell of each shard."""
+    labels = part_shards(row, part, seed)
+    cell = (_hashes(seed + 1, part, np.arange(len(labels))) % np.uint64(cells)).astype(np.int64)
+    return np.bincount(labels * cells + cell, minlength=len(row) * cells)
 
 
 def shard(
-    docs: DataFrame,
-    keys: list[str],
-    shards: int = SHARDS,
-    part_rows: int = PART_ROWS,
-    seed: int = SEED,
+    docs: DataFrame, shards: int = SHARDS, cell_rows: int = CELL_ROWS, seed: int = SEED
 ) -> DataFrame:
     """``docs`` with two more columns at the end, ``shard`` (0 ...) and ``slot`` (0 ... in it).
 
-    Shard sizes differ by one row at most. ``keys`` name the columns that tell rows apart; rows
-    equal in all of them are interchangeable, so which of them gets which place is open. Null
-    keys are keys like others. Columns of ``docs`` keep their values: where it has a ``shard``
+    Shard sizes differ by one row at most. Rows are told apart by their places in the table's
+    partitions alone, so equal rows and nulls are rows like others; another partitioning of the same
+    table gives another shuffle. Columns of ``docs`` keep their values: where it has a ``shard``
     or ``slot`` already, the new column is called ``shard_1`` or ``slot_1``. An empty table
     gives an empty one.
     """
+    spark = docs.sparkSession
     names = {n: fresh(docs, n) for n in ("shard", "slot")}
-    part, rank, cell, spot = (fresh(docs, f"_{n}") for n in ("part", "rank", "cell", "spot"))
-    by = [F.col(f"`{k}`") for k in keys]
-    parts = max(1, math.ceil(docs.count() / part_rows))
-    placed = docs.withColumn(part, F.pmod(_order(by, seed), F.lit(parts)))
-    sizes = dict(placed.groupBy(part).count().collect())
+    part, place, cell, order = (fresh(docs, f"_{n}") for n in ("part", "place", "cell", "order"))
+    work = Workspace(spark, "shards")
+    placed = work.last(_numbered(docs, part, place))
+    sizes = dict(placed.groupBy(part).count().collect())  # one row per partition
     used = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in used], shards, seed)
-    spark = docs.sparkSession
+    cells = max(1, math.ceil(sum(sizes.values()) / shards / cell_rows))
+
+    # Cell sizes follow from the matrix; no row is read for them.
     plan = spark.createDataFrame(
-        [(int(p), np.cumsum(row).tolist()) for p, row in zip(used, matrix, strict=True)],
-        f"{part} bigint, {spot} array<bigint>",
-    )
-    inside = Window.partitionBy(part).orderBy(_order(by, seed + 1), *by)
-    ranked = placed.withColumn(rank, F.row_number().over(inside))
-    cells = max(1, math.ceil(parts / shards))
-    sent = ranked.join(plan, part).select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.size(F.filter(spot, lambda x: x < F.col(rank))).alias(names["shard"]),
-        F.pmod(_order(by, seed + 2), F.lit(cells)).alias(cell),
-    )
-    counts = sent.groupBy(names["shard"], cell).count().collect()
-    begin, offsets = {}, []
-    for s, c, n in sorted(tuple(r) for r in counts):
-        offsets.append((s, c, begin.get(s, 0)))
-        begin[s] = begin.get(s, 0) + n
-    starts = spark.createDataFrame(offsets, f"{names['shard']} int, {cell} bigint, {spot} bigint")
-    again = Window.partitionBy(names["shard"], cell).orderBy(_order(by, seed + 3), *by)
-    slotted = sent.withColumn(rank, F.row_number().over(again)).join(
-        starts, [names["shard"], cell]
-    )
-    return slotted.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.col(names["shard"]),
-        (F.col(rank) - 1 + F.col(spot)).cast("bigint").alias(names["slot"]),
+        [(int(p), row.tolist()) for p, row in zip(used, matrix, strict=True)], "part bigint, sent array<bigint>"
     )
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shards * cells, np.int64)
+        for batch in batches:
+            for number, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total += _cells(np.array(row), number, cells, seed)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    counted = plan.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    numbers = np.zeros((shards, cells), np.int64)
+    for number, n in counted.collect():
+        numbers[divmod(number, cells)] = n
+    starts = (np.cumsum(numbers, axis=1) - numbers).ravel()
+    sent = spark.sparkContext.broadcast((dict(zip(used, matrix, strict=True)), starts))
+    columns = docs.columns
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of, first = sent.value
+        known: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int32))
+        for batch in batches:
+            number, at = batch.column(len(columns)).to_numpy(), batch.column(len(columns) + 1).to_numpy()
+            to, where, by = np.empty(len(at), np.int32), np.empty(len(at), np.int64), np.empty(len(at), np.uint64)
+            for p in np.unique(number).tolist():
+                if known[0] != p:
+                    known = (p, part_shards(rows_of[p], p, seed))
+                own = number == p
+                to[own] = known[1][at[own]]
+                where[own] = (_hashes(seed + 1, p, at[own]) % np.uint64(cells)).astype(np.int64)
+                by[own] = _hashes(seed + 2, p, at[own])
+            made = [pa.array(to), pa.array(where), pa.array(first[to * cells + where]), pa.array(by.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(columns)], *made], names=[*columns, names["shard"], cell, place, order]
+            )
+
+    head = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    more = f"{names['shard']} int, {cell} bigint, {place} bigint, {order} bigint"
+    dealt = placed.mapInArrow(deal, f"{head}, {more}" if head else more)
+    inside = Window.partitionBy(names["shard"], cell).orderBy(order)
+    slot = (F.col(place) + F.row_number().over(inside) - 1).cast("bigint")
+    return dealt.select(*(F.col(quoted(c)) for c in columns), F.col(names["shard"]), slot.alias(names["slot"]))
+
 
 def shard_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of each row of documents.
@@ -131,7 +184,7 @@ def shard_rows(docs: DataFrame) -> DataFrame:
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    return shard(narrow, ["doc_id", "text_crc32", "size"]).select(
+    return shard(narrow).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

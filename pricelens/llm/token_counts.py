@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import over_batches
+from .tables import Workspace, over_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEGMENT = 240  # characters of a segment, at least; it ends at the next safe place
@@ -48,11 +48,15 @@ def safe(text: str, at: int) -> bool:
 
 def cuts(text: str, size: int = SEGMENT) -> list[int]:
     """Where the segments of a text begin, and its length at the end."""
-    found, at = [0], size
+    found, at, line = [0], size, -1
     while at < len(text):
-        blank, line = text.find(" ", at), text.find("\n", at)
-        at = min(blank, line) if blank >= 0 and line >= 0 else max(blank, line)
-        if at < 0:
+        blank = text.find(" ", at)
+        if line < at:  # looked for again only once it is passed
+            line = text.find("\n", at)
+            if line < 0:
+                line = len(text)
+        at = line if blank < 0 else min(blank, line)
+        if at >= len(text):
             break
         if safe(text, at):
             found.append(at)
@@ -81,6 +85,15 @@ class Tree:
             half //= 2
         return cls(sums)
 
+    @classmethod
+    def stored(cls, values: np.ndarray) -> Tree:
+        """A tree from the array that a table keeps of it."""
+        return cls(np.array(values, dtype=np.int64).reshape(2, -1))
+
+    @property
+    def segments(self) -> int:
+        return int(np.count_nonzero(self.sums[0, self.leaves :]))
+
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -145,14 +158,40 @@ def apply_edits(tree: Tree, text: str, edits: list[Edit], count: Counter) -> tup
     return text, encoded
 
 
-def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Counts before and after the edits of each row of ``doc_id, text, edits``.
+_KEPT = "n_tokens bigint, n_segments bigint, sums array<bigint>"
+
+
+def trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, text, n_tokens, n_segments, sums`` of each row: what is kept to count edits.
+
+    ``sums`` is the segment tree, characters and then tokens of its nodes. A null text counts as
+    empty and stays null; repeated rows give repeated results; extra columns are ignored.
+    """
+
+    def make():
+        count = counter(vocabulary)
 
-    ``edits`` is an array of structs ``start, end, put``. Returns ``doc_id, n_tokens, n_segments,
-    n_edits, n_tokens_edited, n_chars_edited, n_chars_encoded, sums``: the last is the tree after the edits,
-    characters and tokens of its nodes one after the other. A null text counts as empty, null
-    edits and null entries as none, null positions as 0 and a null ``put`` as the empty text.
-    Repeated rows give repeated results; extra columns are ignored.
+        def work(batch: pa.RecordBatch) -> dict:
+            made = [build(value.as_py() or "", count) for value in batch.column(1)]
+            return {
+                "n_tokens": pa.array([t.tokens for t in made], pa.int64()),
+                "n_segments": pa.array([t.segments for t in made], pa.int64()),
+                "sums": pa.array([t.sums.ravel() for t in made], pa.list_(pa.int64())),
+            }
+
+        return work
+
+    return over_batches(docs.select("doc_id", "text"), make, _KEPT, ["doc_id", "text"])
+
+
+def edited(kept: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Kept trees after the edits of each row: only what an edit touches is encoded again.
+
+    ``kept`` has the columns of :func:`trees` and ``edits``, an array of structs ``start, end, put``.
+    Returns the columns of :func:`trees` after the edits, so that it can be edited again, and
+    ``n_tokens_before, n_segments_before, n_edits, n_chars, n_chars_encoded``. Null edits and null
+    entries count as none, null positions as 0 and a null ``put`` as the empty text. A null text is
+    an empty one; after an edit it is a text.
     """
     entry = "struct<start:int,end:int,put:string>"
     changes = F.transform(
@@ -164,29 +203,61 @@ def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         ),
     )
     changes = F.coalesce(changes, F.array().cast(f"array<{entry}>"))
-    narrow = docs.select("text", F.to_json(changes).alias("edits"), "doc_id")
-    names = ["n_tokens", "n_segments", "n_edits", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"]
+    narrow = kept.select(
+        F.col("text").alias("_text"), F.col("sums").alias("_sums"), F.to_json(changes).alias("_edits"),
+        F.col("n_tokens").alias("n_tokens_before"), F.col("n_segments").alias("n_segments_before"), "doc_id",
+    )
+    names = ["n_edits", "n_chars", "n_chars_encoded"]
 
     def make():
         count = counter(vocabulary)
 
         def work(batch: pa.RecordBatch) -> dict:
-            rows, trees = [], []
-            for value, listed in zip(batch.column(0), batch.column(1), strict=True):
-                text = value.as_py() or ""
-                edits = [(e["start"], e["end"], e["put"]) for e in json.loads(listed.as_py())]
-                tree = build(text, count)
-                before, segments = tree.tokens, len(cuts(text)) - 1
-                _, encoded = apply_edits(tree, text, edits, count)
-                rows.append((before, segments, len(edits), tree.tokens, tree.length, encoded))
-                trees.append(tree.sums.ravel())
-            made = {n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)}
-            return made | {"sums": pa.array(trees, pa.list_(pa.int64()))}
+            texts, found, rows = [], [], []
+            for value, sums, listed in zip(*(batch.column(k) for k in range(3)), strict=True):
+                text, edits = value.as_py(), [(e["start"], e["end"], e["put"]) for e in json.loads(listed.as_py())]
+                tree = Tree.stored(sums.values.to_numpy())
+                new, encoded = apply_edits(tree, text or "", edits, count)
+                texts.append(new if edits or text is not None else None)
+                found.append(tree)
+                rows.append((len(edits), tree.length, encoded))
+            made = {
+                "text": pa.array(texts, pa.string()),
+                "n_tokens": pa.array([t.tokens for t in found], pa.int64()),
+                "n_segments": pa.array([t.segments for t in found], pa.int64()),
+                "sums": pa.array([t.sums.ravel() for t in found], pa.list_(pa.int64())),
+            }
+            return made | {n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)}
 
         return work
 
-    schema = ", ".join(f"{n} bigint" for n in names) + ", sums array<bigint>"
-    return over_batches(narrow, make, schema, ["doc_id"])
+    schema = f"text string, {_KEPT}, " + ", ".join(f"{n} bigint" for n in names)
+    return over_batches(narrow, make, schema, ["doc_id", "n_tokens_before", "n_segments_before"])
+
+
+def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Counts before and after the edits of each row of ``doc_id, text, edits``.
+
+    Trees are built, written to the shared folder, and edited there. Returns ``doc_id, n_tokens,
+    n_segments, n_edits, n_tokens_edited, n_chars_edited, n_chars_encoded, sums``: the last is the tree
+    after the edits. Special cases are those of :func:`trees` and :func:`edited`.
+    """
+    work = Workspace(docs.sparkSession, "trees")
+    carried = docs.select("doc_id", "text", "edits")
+    kept = work.last(_with_edits(carried, vocabulary))
+    found = edited(kept, vocabulary)
+    return found.select(
+        "doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_segments_before").alias("n_segments"),
+        "n_edits", F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"),
+        "n_chars_encoded", "sums",
+    )
+
+
+def _with_edits(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """:func:`trees` of ``doc_id, text, edits`` that carries the edits along."""
+    carried = docs.select(F.struct("doc_id", "edits").alias("doc_id"), "text")
+    found = trees(carried, vocabulary)
+    return found.select("doc_id.*", *[c for c in found.columns if c != "doc_id"])
 
 
 def line_edits(text: str = "text"):

@@ -8,14 +8,14 @@ rules that fit, the longest match decides: most host labels, then the longest pa
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .tables import over_batches
 
-MAX_RULES = 1_000_000  # the trie is sent to all tasks; a longer list is refused
+MAX_RULES = 1_000_000
+MAX_CHARACTERS = 64_000_000  # of all rules; the trie is sent to all tasks, longer lists are refused
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -23,16 +23,6 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 Rule = tuple[str, str, str]
 
 
-@dataclass
-class _Node:
-    """One host label or one path segment; ``ends`` are rules whose last segment, perhaps only
-    the beginning of the url's one, is asked for below this node."""
-
-    labels: dict[str, _Node] = field(default_factory=dict)
-    segments: dict[str, _Node] = field(default_factory=dict)
-    ends: list[tuple[str, str, str]] = field(default_factory=list)  # beginning, verdict, rule
-
-
 def host_and_path(url: str | None) -> tuple[str, str]:
     """The host behind the first ``://``, A-Z lower-cased, and the path up to ``?`` or ``#``."""
     _, mark, rest = (url or "").partition("://")
@@ -44,27 +34,54 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 class Trie:
+    """Nodes are numbers; 0 is the root.
+
+    ``labels`` and ``segments`` lead from a node to the next one. ``ends`` holds, by length, the
+    beginnings of a last segment that rules ask for below a node, so one lookup for each length
+    tells the longest; ``lengths`` are these lengths, longest first.
+    """
+
     def __init__(self, rules: Iterable[Rule]):
-        self.root = _Node()
+        self.labels: list[dict[str, int]] = [{}]
+        self.segments: list[dict[str, int]] = [{}]
+        self.ends: dict[int, dict[int, dict[str, tuple[str, str]]]] = {}
+        size = 0
         for count, (verdict, host, path) in enumerate(rules, 1):
-            if count > MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} rules")
-            node = self.root
-            for label in reversed(host.translate(_LOWER).split(".")):
-                node = node.labels.setdefault(label, _Node())
+            size += len(host) + len(path)
+            if count > MAX_RULES or size > MAX_CHARACTERS:
+                raise ValueError(f"more than {MAX_RULES} rules or {MAX_CHARACTERS} characters")
+            host = host.translate(_LOWER)
+            node = 0
+            for label in reversed(host.split(".")):
+                node = self._next(self.labels[node], label)
             *whole, last = path.split("/")
             for segment in whole:
-                node = node.segments.setdefault(segment, _Node())
-            # A rule given twice keeps its first verdict; longer beginnings are tried first.
-            if all(last != e[0] for e in node.ends):
-                node.ends.append((last, verdict, host.translate(_LOWER) + path))
-                node.ends.sort(key=lambda e: -len(e[0]))
+                node = self._next(self.segments[node], segment)
+            # A rule given twice keeps its first verdict.
+            self.ends.setdefault(node, {}).setdefault(len(last), {}).setdefault(last, (host + path, verdict))
+        self.lengths = {node: sorted(found, reverse=True) for node, found in self.ends.items()}
+
+    def _next(self, ways: dict[str, int], name: str) -> int:
+        found = ways.get(name)
+        if found is None:
+            found = ways[name] = len(self.labels)
+            self.labels.append({})
+            self.segments.append({})
+        return found
+
+    def _end(self, node: int, segment: str) -> tuple[str, str] | None:
+        for length in self.lengths.get(node, ()):
+            if length <= len(segment):
+                found = self.ends[node][length].get(segment[:length])
+                if found:
+                    return found
+        return None
 
     def longest(self, host: str, path: str) -> tuple[str, str] | None:
         """``rule, verdict`` of the longest match."""
-        hosts, node = [], self.root
+        hosts, node = [], 0
         for label in reversed(host.split(".")):
-            node = node.labels.get(label)
+            node = self.labels[node].get(label)
             if node is None:
                 break
             hosts.append(node)
@@ -72,8 +89,8 @@ class Trie:
         for node in reversed(hosts):
             found = None
             for segment in segments:
-                found = next(((r, v) for b, v, r in node.ends if segment.startswith(b)), found)
-                node = node.segments.get(segment)
+                found = self._end(node, segment) or found
+                node = self.segments[node].get(segment)
                 if node is None:
                     break
             if found:
@@ -86,11 +103,13 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
 
     A null url and one without ``://`` have an empty host and path. Where no rule fits, rule is
     null and the verdict is ``default``. Repeated rows give repeated results; extra columns are
-    ignored.
+    ignored. The trie is built once and broadcast; its size is bounded by MAX_RULES and
+    MAX_CHARACTERS.
     """
+    sent = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 
     def make():
-        trie = Trie(rules)
+        trie = sent.value
 
         def work(batch: pa.RecordBatch) -> dict:
             hosts, paths, fits, verdicts = [], [], [], []

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from hashlib import sha256
 
 from pricelens.llm import contamination
@@ -52,13 +53,40 @@ def test_every_hit(spark, docs, clashing):
     rows, items = data()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     found = contamination.report(clashing(docs(rows)), clashing(bench))
-    assert sorted(map(tuple, found.collect())) == brute(rows, items)
+    assert sorted(tuple(r)[:6] for r in found.collect()) == brute(rows, items)
+
+
+def brute_near(rows, items, distance):
+    """Windows of each doc_id whose three rarest terms stand near one another, by plain loops."""
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    counts = Counter(w for _, t in rows for w in words(t))
+    windows = set()
+    for item, text in items:
+        own = words(text)
+        if item is not None and own:
+            windows |= {tuple(own[k : k + 10]) for k in range(max(len(own) - 9, 1))}
+    met = {d: set() for d, _ in rows if d is not None}
+    for doc, text in rows:
+        own = words(text)
+        for w in windows if doc is not None else ():
+            terms = [w[k] for k in sorted(range(len(w)), key=lambda k: (counts[w[k]], k))[:3]]
+            places = [[i for i, x in enumerate(own) if x == t] for t in terms]
+            if any(all(any(abs(i - f) <= distance for i in p) for p in places) for f in places[0]):
+                met[doc].add(w)
+    return {d: len(m) for d, m in met.items()}
 
 
 def test_blocks_of_the_benchmark_add_up(spark, docs):
     rows, items = data()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    assert sorted(map(tuple, contamination.report(docs(rows), bench, block=40).collect())) == brute(rows, items)
+    found = contamination.report(docs(rows), bench, block=40).collect()
+    assert sorted(tuple(r)[:6] for r in found) == brute(rows, items)
+    near = brute_near(rows, items, 10)
+    assert {r.doc_id: r.n_near for r in found if r.doc_id is not None} == near and max(near.values()) > 1
+    none = contamination.report(docs(rows), bench, distance=None).collect()
+    assert sorted(tuple(r)[:6] for r in none) == brute(rows, items) and all(r.n_near == 0 for r in none)
 
 
 def test_empty_tables_and_odd_ids(spark, docs):

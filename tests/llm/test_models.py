@@ -254,10 +254,41 @@ def test_large_populations():
     assert abs(np.mean(draws) - 1000) < 8 and abs(np.std(draws) - 27.4) < 4
 
 
+def test_equal_rows_spread(spark, docs):
+    """A table of equal rows: every part still goes to all shards, and cells stay small."""
+    table = docs([(7, "same")] * 4000).repartition(6)
+    found = sharding.shard(table, shards=5, cell_rows=200)
+    got = [(r["shard"], r.slot) for r in found.collect()]
+    assert sorted(got) == [(s, k) for s in range(5) for k in range(800)]
+    cells = sharding._cells(np.array([800, 800, 0, 800, 800]), 3, 4, sharding.SEED)
+    assert cells.sum() == 3200 and cells.reshape(5, 4).sum(axis=1).tolist() == [800, 800, 0, 800, 800]
+    assert cells[cells > 0].max() < 280
+
+
+def test_shuffle_is_uniform(spark, docs):
+    """Over many seeds a row's slot is anywhere in the whole table, each place about as often."""
+    table = docs([(k, str(k)) for k in range(12)]).coalesce(1).repartition(3).cache()
+    seen = np.zeros((12, 12))
+    for seed in range(40):
+        for r in sharding.shard(table, shards=3, cell_rows=2, seed=seed).collect():
+            seen[r.doc_id, r["shard"] * 4 + r.slot] += 1
+    assert (seen.sum(axis=0) == 40).all() and seen.max() <= 14  # 3.3 on average
+    table.unpersist()
+
+
+def test_parts_are_permuted():
+    row = np.array([3, 0, 5])
+    one, other = sharding.part_shards(row, 1, 9), sharding.part_shards(row, 2, 9)
+    assert np.bincount(one, minlength=3).tolist() == [3, 0, 5] and one.tolist() != sorted(one)
+    assert one.tolist() != other.tolist() and one.tolist() == sharding.part_shards(row, 1, 9).tolist()
+    hits = np.mean([sharding.part_shards(row, p, 1) == 0 for p in range(4000)], axis=0)
+    assert np.abs(hits - 3 / 8).max() < 0.04
+
+
 def test_shards(docs, clashing):
     rows = [(k, f"text {k % 40}") for k in range(1000)] + [(None, None), (None, None), (7, "text 7"), (2000, "y" * 100_000)]
     table = clashing(docs(rows))
-    found = sharding.shard(table, ["doc_id", "text"], shards=7, part_rows=50)
+    found = sharding.shard(table, shards=7, cell_rows=30)
     assert found.columns == [*table.columns, "shard_1", "slot"]
     got = found.select("doc_id", "text", "shard_1", "slot").collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in rows)
@@ -266,13 +297,13 @@ def test_shards(docs, clashing):
         by.setdefault(r.shard_1, []).append(r.slot)
     assert sorted(by) == list(range(7)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    again = sharding.shard(table.repartition(5), ["doc_id", "text"], shards=7, part_rows=50)
+    again = sharding.shard(table, shards=7, cell_rows=30)
     key = lambda r: (str(r.doc_id), r.shard_1, r.slot)
     assert sorted(map(key, again.collect())) == sorted(map(key, got))
     # Neighbours in the input are spread: no shard holds a run of ids.
     assert len({r.doc_id // 100 for r in got if r.doc_id is not None and r.shard_1 == 0}) > 8
-    assert sharding.shard(docs([]), ["doc_id"]).collect() == []
-    assert len(sharding.shard(docs([(1, "a")]), ["doc_id"]).collect()) == 1
+    assert sharding.shard(docs([])).collect() == []
+    assert len(sharding.shard(docs([(1, "a")])).collect()) == 1
 
 
 def test_shard_rows(docs):

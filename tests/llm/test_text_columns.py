@@ -1,13 +1,17 @@
 """Personal data, token counts, media, url rules: each against a plain form of the same rule."""
 
+import hashlib
 import io
+import pickle
 import random
 import re
+import time
 import wave
 import zlib
 from hashlib import sha256
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens.llm import media, pii, token_counts, urls
@@ -206,3 +210,59 @@ def test_url_query_like_its_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     assert compare(connect(sf), spark, sf, QUERIES["op6_url_filter"], ORACLE["op6_url_filter"]) == ""
+
+
+def test_trees_are_kept_and_edited_again(spark, docs):
+    """Stored trees give the counts of a fresh encoding after two rounds of edits."""
+    count, rng = token_counts.counter(), random.Random(4)
+    texts = [None, "", "a", "one line only " * 40, "é \n\n x" * 100, "word\n" * 300]
+    texts += ["".join(rng.choice("ab .\n") for _ in range(2000)) for _ in range(4)]
+    kept = token_counts.trees(docs(list(enumerate(texts))).withColumn("sums", F.lit("x")).withColumn("n_tokens", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "n_tokens", "n_segments", "sums"]
+    for _ in range(2):
+        size = F.coalesce(F.length("text"), F.lit(0))
+        some = F.array(
+            F.struct((size / 3).cast("int").alias("start"), (size / 3 + 2).cast("int").alias("end"), F.lit(" new\nput ").alias("put")),
+            F.lit(None).cast("struct<start:int,end:int,put:string>"),
+        )
+        before = {r.doc_id: r for r in kept.collect()}
+        found = token_counts.edited(kept.withColumn("edits", F.when(F.col("doc_id") != 0, some)))
+        kept = found.select("doc_id", "text", "n_tokens", "n_segments", "sums")
+        for r in found.collect():
+            old = before[r.doc_id]
+            own = old.text or ""
+            new = own if r.doc_id == 0 else own[: len(own) // 3] + " new\nput " + own[int(len(own) / 3 + 2) :]
+            assert (r.text or "") == new and (r.text is None) == (r.doc_id == 0)
+            assert r.n_tokens == count([new])[0] and r.n_chars == len(new) and r.n_tokens_before == old.n_tokens
+            assert r.n_chars_encoded <= 4 * token_counts.SEGMENT or len(own) < 8 * token_counts.SEGMENT or "\n" not in own
+            assert r.sums[len(r.sums) // 2 + 1] == r.n_tokens
+
+
+def test_one_long_line_is_cut_in_linear_time():
+    text = "word " * 1_300_000
+    start = time.perf_counter()
+    at = token_counts.cuts(text)
+    assert len(at) > 20_000 and time.perf_counter() - start < 3
+
+
+def test_a_million_rules_on_one_host():
+    rules = [("block", "a.example", f"/p{k}") for k in range(500_000)] + [("allow", "a.example", f"/x/{k}/") for k in range(500_000)]
+    start = time.perf_counter()
+    trie = urls.Trie(rules)
+    assert trie.longest("b.a.example", "/p499999/more") == ("a.example/p499999", "block")
+    assert trie.longest("a.example", "/x/77/y") == ("a.example/x/77/", "allow")
+    assert time.perf_counter() - start < 30
+    with pytest.raises(ValueError, match="more than"):
+        urls.Trie([*rules, ("block", "c", "/")])
+    copy = pickle.loads(pickle.dumps(urls.Trie([("block", "h", "/" + "s/" * 3000)])))  # deep, and sent to tasks
+    assert copy.longest("h", "/" + "s/" * 3001)[1] == "block"
+
+
+def test_fingerprint_arrays_of_the_query(docs):
+    """The array of each row is that of its own samples, read back from the stored file."""
+    texts = ["", None, "abc " * 100, "x" * 5000, "abc " * 100]
+    for r in media.media_report(docs(list(enumerate(texts)))).collect():
+        payload = media.padded((texts[r.doc_id] or "").encode())
+        wanted = media.fingerprints(np.frombuffer(payload, np.uint8)).tolist()
+        assert r.fingerprint == wanted
+        assert r.feature == f"{len(wanted)}:" + hashlib.sha256(",".join(map(str, wanted)).encode()).hexdigest()
