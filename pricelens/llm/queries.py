@@ -145,7 +145,93 @@ _CRC32 = f"""(4294967295 - list_reduce(
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Links between different documents that share at least one shingle, then everything reachable.
+_JACCARD = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common >= 80 * (x.n + y.n - common)
+),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+),
+"""
+
+# Windows of ten words of the benchmark (whole items that have fewer), and their places in documents.
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WINDOWS = f"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents
+),
+item_words AS (
+    SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM benchmark
+),
+windows AS (
+    SELECT DISTINCT item_id, w[i:i + 9] AS w
+    FROM item_words, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0
+),
+places AS (
+    SELECT doc_id, i, size, w[i:i + size - 1] AS w
+    FROM words, (SELECT DISTINCT len(w) AS size FROM windows) z, unnest(range(1, len(w) - size + 2)) t(i)
+),
+hits AS (SELECT DISTINCT p.doc_id, p.i, p.size, x.item_id FROM places p JOIN windows x ON x.w = p.w),
+covered AS (
+    SELECT doc_id, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + size)) t(j) GROUP BY doc_id
+),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+    FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+),
+"""
+
+# The three rarest words of each window, and documents where they stand within ten words of the rarest.
+_NEAR = """
+spots AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS at FROM words),
+frequency AS (SELECT term, count(*) AS n FROM spots GROUP BY term),
+distinct_windows AS (SELECT w, row_number() OVER () AS id FROM (SELECT DISTINCT w FROM windows)),
+asked AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM distinct_windows),
+rarest AS (
+    SELECT id, a.term, row_number() OVER (PARTITION BY id ORDER BY coalesce(n, 0), k) AS rank
+    FROM asked a LEFT JOIN frequency f ON f.term = a.term
+    QUALIFY rank <= 3
+),
+wanted AS (SELECT id, count(*) AS terms FROM rarest GROUP BY id),
+met AS (
+    SELECT x.doc_id, r.id, x.at
+    FROM rarest r JOIN spots x ON x.term = r.term AND r.rank = 1
+    JOIN rarest o ON o.id = r.id JOIN spots y ON y.doc_id = x.doc_id AND y.term = o.term AND abs(y.at - x.at) <= 10
+    JOIN wanted t ON t.id = r.id
+    GROUP BY x.doc_id, r.id, x.at, t.terms HAVING count(DISTINCT o.rank) = t.terms
+),
+near AS (SELECT doc_id, count(DISTINCT id) AS n_near FROM met GROUP BY doc_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "op7_ngram_jaccard": f"""{_JACCARD}
+components AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN components c ON c.doc_id = d.doc_id
+""",
+    "op9_decontamination": f"""{_WINDOWS}{_NEAR}
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near
+FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN items i ON i.doc_id = w.doc_id
+LEFT JOIN near n ON n.doc_id = w.doc_id
+""",
     "op11_collocations": f"""
 WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang,

@@ -49,7 +49,7 @@ def test_stages(spark, tmp_path):
 def test_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) <= names and "pipeline" in names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.ORACLE) <= set(entry.oracle_sql())
 
 
