@@ -221,9 +221,11 @@ near AS (SELECT doc_id, count(DISTINCT id) AS n_near FROM met GROUP BY doc_id)
 
 ORACLE: dict[str, str] = {
     "op7_ngram_jaccard": f"""{_JACCARD}
-components AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+components AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN components c ON c.doc_id = d.doc_id
+LEFT JOIN counted l ON l.doc_id = d.doc_id
 """,
     "op9_decontamination": f"""{_WINDOWS}{_NEAR}
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
