@@ -62,6 +62,45 @@ def asof_snapshots(
     ).select("run", "source", "snapshot_run")
 
 
+def asof_latest(
+    asked: DataFrame, taken: DataFrame, key: str, time: str = "ts", width_s: int = 3600
+) -> DataFrame:
+    """``asked`` with the columns of the last row of ``taken`` that has the same key, up to its time.
+
+    ``taken`` has ``key``, ``time`` and any value columns; of equal times the row with the largest
+    values counts. Values are null where nothing was taken before, or where a key or time is null.
+    Times are arbitrary, so one key can have very many rows; they are carried forward in two levels:
+    inside buckets of ``width_s`` seconds, which are sorted apart from one another, and from
+    bucket to bucket over one row for each bucket.
+    """
+    values = [c for c in taken.columns if c not in (key, time)]
+    bucket = F.floor(F.unix_micros(time) / (width_s * 1_000_000))
+    value = F.struct(*values)
+    marks = taken.where(F.col(time).isNotNull()).select(
+        key, F.col(time).alias("_time"), F.lit(0).alias("_asks"), value.alias("_value"), bucket.alias("_bucket"),
+        F.lit(None).cast(asked.select(F.struct("*")).schema[0].dataType).alias("_row"),
+    )
+    rows = asked.select(
+        key, F.col(time).alias("_time"), F.lit(1).alias("_asks"),
+        F.lit(None).cast(marks.schema["_value"].dataType).alias("_value"), bucket.alias("_bucket"),
+        F.struct(*[F.col(c) for c in asked.columns]).alias("_row"),
+    )
+    # Equal marks ordered by value, requests behind them.
+    inside = Window.partitionBy(key, "_bucket").orderBy("_time", "_asks", "_value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    local = marks.unionByName(rows).withColumn("_near", F.last("_value", True).over(inside)).where("_asks = 1")
+
+    ends = marks.groupBy(key, "_bucket").agg(F.max_by("_value", F.struct("_time", "_value")).alias("_value"))
+    needed = rows.select(key, "_bucket").distinct().join(ends, [key, "_bucket"], "full")
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = needed.withColumn("_far", F.last("_value", True).over(before)).select(key, "_bucket", "_far")
+    found = local.join(carried, [key, "_bucket"], "left")
+    known = F.col("_time").isNotNull() & F.col(key).isNotNull()
+    last = F.when(known, F.coalesce("_near", "_far"))
+    return found.select("_row.*", *[last[c].alias(c) for c in values])
+
+
 def run_alerts(
     best: DataFrame,
     runs: DataFrame,

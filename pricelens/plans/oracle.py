@@ -820,6 +820,15 @@ SELECT {minute('a.run + INTERVAL 4 HOUR')} AS run, a.product_key, s.run_class
 FROM alerts a JOIN sends s ON s.run = a.run
 WHERE s.run_class = 'full' OR NOT EXISTS (
  SELECT 1 FROM alerts p WHERE p.run = s.before AND p.product_key = a.product_key)"""
+ORACLE["asof_events"] = f"""WITH {_FEED}, asked AS (SELECT ts, ord, s.source FROM feed,
+  (SELECT unnest([{', '.join(lit(x) for x in SOURCE_IDS[1:])}]) AS source) s WHERE feed.source = 'anchor'),
+ taken AS (SELECT source, ts, max(ord) AS last_ord, arg_max(cash_price, ord) AS last_price FROM feed GROUP BY source, ts)
+SELECT a.ord, a.source, t.last_ord, t.last_price FROM asked a
+ASOF LEFT JOIN taken t ON t.source = a.source AND a.ts >= t.ts"""
+_CHANGED = _OFFERS.replace("offers AS (", "every_offer AS (", 1).replace("  l_shipdate,", "  l_shipdate, l_orderkey,")
+ORACLE["delta_products"] = f"""WITH {_CHANGED}, offers AS (SELECT * REPLACE (CASE WHEN source = 'shop_c'
+  THEN cash_price * 0.5e0 ELSE cash_price END AS cash_price) FROM every_offer WHERE source <> 'shop_c' OR l_orderkey % 2 = 0),
+ {groups()}, {_DIM}, {messages()} SELECT product_key, has_alert, message FROM msgs"""
 _CLOSED = "run + INTERVAL 1 HOUR <= (SELECT max(ts) FROM feed) - INTERVAL 1 HOUR"
 ORACLE["stream_new_alerts"] = (
     f"WITH {_RUN_ALERTS} SELECT {minute('run')} AS run, product_key FROM fresh WHERE {_CLOSED}"

@@ -32,7 +32,7 @@ from ..sources.tables import title_feed_from_events
 from ..streaming.alerts import stream_new_alerts
 from ..streaming.reports import end_mark, stream_reports, with_end_marks
 from ..streaming.snapshots import stream_snapshots
-from . import fixtures, jobs, runs
+from . import delta_runs, fixtures, jobs, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -974,6 +974,29 @@ def asof_snapshots(spark, sf):
     )
 
 
+@query
+def asof_events(spark, sf):
+    """The last price of every other source at each moment that the anchor shows a price."""
+    feed = price_feed(spark, sf)
+    others = F.array(*[F.lit(s.id) for s in DEFAULT_SOURCES[1:]])
+    asked = feed.where(F.col("source") == DEFAULT_SOURCES[0].id).select("ts", "ord", F.explode(others).alias("source"))
+    taken = feed.select("source", "ts", F.col("cash_price").alias("last_price"), F.col("ord").alias("last_ord"))
+    return I.asof_latest(asked, taken.select("source", "ts", "last_ord", "last_price"), "source").drop("ts")
+
+
+@query
+def delta_products(spark, sf):
+    """Products after all sources delivered and one of them again, with half its offers and lower prices."""
+    root = scratch_path(spark, "delta")
+    rows = materialize(offers(spark, sf).withColumn("ord", F.col("ord").dropFields("rank")))
+    first = {s.id: rows for s in DEFAULT_SOURCES}
+    delta_runs.run(spark, first, root, f"{STAMP}+00:00")
+    cheaper = rows.where(F.col("ord.l_orderkey") % 2 == 0).withColumn("cash_price", F.col("cash_price") * 0.5)
+    delta_runs.run(spark, {"shop_c": cheaper}, root, f"{STAMP}+00:00")
+    messages = C.build_messages(delta_runs.current_products(spark, root))
+    return messages.select("product_key", "has_alert", "message")
+
+
 @query
 def new_alerts(spark, sf):
     """Alerts of all offers against those of the offers shipped before 2000."""
