@@ -833,6 +833,9 @@ _CLOSED = "run + INTERVAL 1 HOUR <= (SELECT max(ts) FROM feed) - INTERVAL 1 HOUR
 ORACLE["stream_new_alerts"] = (
     f"WITH {_RUN_ALERTS} SELECT {minute('run')} AS run, product_key FROM fresh WHERE {_CLOSED}"
 )
+ORACLE["stream_pages"] = f"""WITH second AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(html, '<h1>', '<h1>New ')
+  ELSE html END AS html, CASE WHEN page_id % 3 = 0 AND contains(html, '<h1>') THEN 2 ELSE 1 END AS times FROM pages)
+SELECT page_id, times::BIGINT AS times, nullif({_H1}, '') AS name FROM second"""
 ORACLE["stream_new_alerts_ended"] = ORACLE["new_alerts_by_run"]
 ORACLE["stream_snapshots_ended"] = f"""WITH {_FEED},
  latest AS (SELECT source, max(run) AS run FROM feed GROUP BY source)

@@ -30,6 +30,7 @@ from ..sources.html import with_page
 from ..sources.tables import EVENT_SOURCES, choose, feed_from_events, offers, price_feed, table
 from ..sources.tables import title_feed_from_events
 from ..streaming.alerts import stream_new_alerts
+from ..streaming.pages import current_rows, stream_changed_pages
 from ..streaming.reports import end_mark, stream_reports, with_end_marks
 from ..streaming.snapshots import stream_snapshots
 from . import delta_runs, fixtures, jobs, runs
@@ -1124,5 +1125,26 @@ def stream_late_rows(spark, sf):
     )
 
 
+@query
+def stream_pages(spark, sf):
+    """Pages stored twice, every third one changed: how often each was read, and its last heading."""
+    root = scratch_path(spark, "stream-pages")
+    pages = table(spark, sf, "pages")
+    url = F.concat("url", F.lit("#"), F.col("page_id").cast("string"))
+    changed = F.replace("html", F.lit("<h1>"), F.lit("<h1>New "))
+    second = F.when(F.col("page_id") % 3 == 0, changed).otherwise(F.col("html"))
+    for k, html in enumerate((F.col("html"), second)):
+        stored = pages.select("page_id", url.alias("url"), html.alias("html"), F.lit(k).alias("stored_at"))
+        stored.coalesce(1).write.mode("append").parquet(f"{root}/pages")
+    schema = spark.read.parquet(f"{root}/pages").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/pages")
+    stream_changed_pages(
+        stream, lambda p: detail.extract_detail(p).select("page_id", "url", "name"), root, f"{root}/checkpoint"
+    ).awaitTermination()
+    read = spark.read.parquet(f"{root}/out").groupBy("page_id").agg(F.count(F.lit(1)).alias("times"))
+    last = current_rows(spark, root).select("page_id", "name")
+    return read.join(last, "page_id")
+
+
 for _name in ("stream_new_alerts", "stream_snapshots", "stream_reports"):
     QUERIES[_name] = QUERIES.pop(f"{_name}_query")
