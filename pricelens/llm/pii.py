@@ -157,8 +157,7 @@ def automaton() -> ahocorasick.Automaton:
     anchors: dict[str, tuple[str, ...]] = {"@": ("email",), "+": ("phone",)}
     anchors |= {d: ("ip", "card") for d in sorted(_DIGITS)}
     for kind, words in (("url", SCHEMES), ("account", CUES)):
-        for word in words:
-            anchors |= {w: (kind,) for w in (word, word.capitalize(), word.upper())}
+        anchors |= dict.fromkeys(words, (kind,))
     found = ahocorasick.Automaton()
     for word, kinds in anchors.items():
         found.add_word(word, (len(word), kinds))
@@ -166,11 +165,14 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[Span]]:
     """The valid spans of each kind, in order of their start."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     floor = dict.fromkeys(KINDS, 0)
-    for last, (length, kinds) in anchors.iter(text):
+    for last, (length, kinds) in anchors.iter(text.translate(_LOWER)):  # cues in any letter case
         start = last + 1 - length
         for kind in kinds:
             if start < floor[kind]:
@@ -193,7 +195,9 @@ def joined(found: dict[str, list[Span]], kinds: tuple[str, ...]) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row, and what the
+    method adds: ``n_url``, ``n_account``, ``n_spans`` (all kinds) and ``private``, whether there is
+    a span other than an address of the web.
 
     A null text counts as empty and has no spans. Rows are independent of each other: repeated
     ones give repeated results, a null doc_id stays null. Extra columns are ignored.
@@ -203,23 +207,26 @@ def personal_data(docs: DataFrame) -> DataFrame:
         anchors = automaton()
 
         def work(batch: pa.RecordBatch) -> dict:
-            counts = {k: [] for k in BASE}
+            counts = {k: [] for k in KINDS}
             digests, everything = [], []
             for text in batch.column(0):
                 found = spans(text.as_py() or "", anchors)
-                for k in BASE:
+                for k in KINDS:
                     counts[k].append(len(found[k]))
                 digests.append(sha256(joined(found, BASE).encode()).hexdigest())
                 everything.append(joined(found, KINDS))
             made = {f"n_{k}": pa.array(v, pa.int64()) for k, v in counts.items()}
+            total = [sum(n) for n in zip(*counts.values(), strict=True)]
             return made | {
                 "base_sha256": pa.array(digests, pa.string()),
                 "spans": pa.array(everything, pa.string()),
+                "n_spans": pa.array(total, pa.int64()),
+                "private": pa.array([n > u for n, u in zip(total, counts["url"], strict=True)], pa.bool_()),
             }
 
         return work
 
-    schema = "".join(f"n_{k} bigint, " for k in BASE) + "base_sha256 string, spans string"
+    schema = "".join(f"n_{k} bigint, " for k in KINDS) + "base_sha256 string, spans string, n_spans bigint, private boolean"
     return over_batches(docs.select("text", "doc_id"), make, schema, ["doc_id"])
 
 

@@ -266,3 +266,35 @@ def test_fingerprint_arrays_of_the_query(docs):
         wanted = media.fingerprints(np.frombuffer(payload, np.uint8)).tolist()
         assert r.fingerprint == wanted
         assert r.feature == f"{len(wanted)}:" + hashlib.sha256(",".join(map(str, wanted)).encode()).hexdigest()
+
+
+def test_cues_in_any_case_and_counts(docs):
+    texts = ["ApiKey: ab12cd34", "Api_Key=ab12cd34", "my TOKEN = \"11acdfb36bb72224148e6160f674b4be45601bff\"", "see https://a.b/c", "plain", None]
+    rows = {r.doc_id: r for r in pii.personal_data(docs(list(enumerate(texts)))).collect()}
+    assert [rows[k].n_account for k in range(6)] == [1, 1, 1, 0, 0, 0] and rows[3].n_url == 1
+    assert [rows[k].private for k in range(6)] == [True, True, True, False, False, False]
+    assert [rows[k].n_spans for k in range(6)] == [len(rows[k].spans.split(",")) if rows[k].spans else 0 for k in range(6)]
+
+
+def test_recall_of_planted_rows(docs):
+    """Personal data written into prose: every kind is found in all of its usual spellings."""
+    rng = random.Random(3)
+    kinds = {
+        "email": ["jane.doe+x@mail.example.org", "A_B%c@h-x.co"],
+        "ip": ["192.168.0.17", "8.8.8.8"],
+        "card": ["4111 1111 1111 1111", "5500-0055-5555-5559", "4012888888881881"],
+        "phone": ["+1 (415) 555-0132", "+374 10 123456"],
+        "account": ['token = "11acdfb36bb72224148e6160f674b4be45601bff"', "ApiKey: ab12cd34", "password=hunter22x", "IBAN DE89370400440532013000"],
+        "url": ["https://example.org/a?b=1", "ftp://x.example/file"],
+    }
+    rows, truth = [], {}
+    for k in range(300):
+        kind = rng.choice(list(kinds))
+        words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(30)]
+        words.insert(rng.randrange(30), rng.choice(kinds[kind]))
+        rows.append((k, " ".join(words)))
+        truth[k] = kind
+    found = pii.personal_data(docs(rows)).collect()
+    assert all(r[f"n_{truth[r.doc_id]}"] >= 1 for r in found)
+    clean = pii.personal_data(docs([(1, "plain words only, 12 of them. The year 1999; 3.5 kg")])).first()
+    assert clean.n_spans == 0 and not clean.private
