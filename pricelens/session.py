@@ -52,8 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared one; never reused between runs."""
-    return f"{shared_dir(spark)}/pricelens/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one, in that of this application; never reused."""
+    return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pricelens/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove all intermediate tables of this application.
+
+    For applications that live long: call it between runs, when no lazy result of an earlier one
+    is read any more. Stores, reports and stream state lie where their caller put them and stay.
+    """
+    return drop_folder(spark, scratch_root(spark))
 
 
 def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:

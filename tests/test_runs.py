@@ -267,3 +267,16 @@ def test_schedule_forgets_over_night(spark):
     assert sorted((r.run, r.run_class) for r in sent) == [
         (hours[0], "full"), (hours[4], "new_only"), (hours[6], "new_only"),
     ]
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from pyspark.sql import functions as F
+
+    from pricelens.session import clear_scratch, materialize, scratch_root
+
+    clear_scratch(spark)
+    kept = materialize(spark.range(5).withColumn("x", F.lit(1)))
+    assert kept.inputFiles()[0].split("//")[-1].lstrip("/").startswith(scratch_root(spark).split("//")[-1].lstrip("/"))
+    assert kept.count() == 5 and clear_scratch(spark)
+    assert not clear_scratch(spark)  # nothing left
+    assert materialize(spark.range(3)).count() == 3
