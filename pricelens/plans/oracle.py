@@ -625,6 +625,13 @@ SELECT c.brand, claimed AS pages_claimed, count(h.page) AS pages_held, count(h.p
  coalesce(any_value(missing), '') AS missing
 FROM c LEFT JOIN h ON h.brand = c.brand LEFT JOIN m ON m.brand = c.brand GROUP BY c.brand, claimed"""
 
+_HELD = """WITH p AS (SELECT p_brand AS brand, (p_partkey % 40 + 1)::BIGINT AS page, greatest(p_size % 25 + 1,
+ p_partkey % 40 + 1 + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS last_page FROM part),
+c AS"""
+ORACLE["listing_coverage"] = (
+    "SELECT brand AS listing, * EXCLUDE (brand) FROM (" + _HELD + ORACLE["page_coverage"].split("c AS", 1)[1] + ")"
+)
+
 ORACLE["job_ram_config"] = f"""WITH {_config_job('ram')}
 SELECT page_id, name, cash_price, installment_price, 'shop_b' AS source FROM joined"""
 ORACLE["job_sim_config"] = f"""WITH {_config_job('sim')}, r AS (SELECT *,

@@ -420,6 +420,20 @@ def next_page(spark, sf):
     return with_page(pages).select("page_id", listing.has_next_page(F.col("page")).alias("has_next"))
 
 
+@query
+def listing_coverage(spark, sf):
+    """Listings by brand: pages that link to a last page, some to a next one, some of them absent."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    link = F.when(key % 5 == 0, '<a class="action next" href="/n">').when(key % 5 == 1, '<a class="action next inactive">')
+    html = F.concat(
+        F.coalesce(link, F.lit("<a>")), F.lit('</a><a href="?page='), (size % 25 + 1).cast("string"), F.lit('">last</a>')
+    )
+    pages = table(spark, sf, "part").select(
+        F.col("p_brand").alias("listing"), (key % 40 + 1).alias("number"), html.alias("html")
+    )
+    return listing.listing_coverage(pages)
+
+
 @query
 def absolute_urls(spark, sf):
     pages = with_page(table(spark, sf, "pages"))

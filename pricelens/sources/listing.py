@@ -16,6 +16,7 @@ from ..functions.text import bind, non_empty, trim_all
 from ..functions.vocabulary import OUT_OF_STOCK_TEXT
 from ..schema import LISTING
 from ..session import ship_package
+from .catalog import page_coverage
 from .html import attribute, first, inside, select, text_between, text_of, text_without, with_page
 
 
@@ -44,6 +45,21 @@ def has_next_page(page: Column) -> Column:
     return (F.size(following) > 0) & ~inactive
 
 
+def listing_coverage(pages: DataFrame, mark: str = "?page=", number: str = r"page=(\d+)") -> DataFrame:
+    """Whether all pages of each listing are there, from ``listing, number, html`` of the held ones.
+
+    A listing claims the largest page that any of its pages links to, and one more than a page with
+    an active "next" link. Returns ``listing, pages_claimed, pages_held, complete, missing``; a
+    complete listing so ends in a page without "next".
+    """
+    read = with_page(pages.select("listing", "number", "html"))
+    page = F.col("page")
+    following = F.col("number") + has_next_page(page).cast("int")
+    claimed = F.greatest(page_count(page, mark, number), following.cast("int"))
+    rows = read.select("listing", "number", claimed.alias("last_page"))
+    return page_coverage(rows.withColumnRenamed("number", "page"), "listing")
+
+
 def extract_links(pages: DataFrame, base: str = "") -> DataFrame:
     """``page_id, pos, name, url`` for every link with a text, in page order."""
     page = F.col("page")

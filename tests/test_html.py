@@ -262,3 +262,12 @@ def test_ram_spec_in_any_element(on_pages):
     label = detail.RAM_LABELS[0]
     texts = [item.replace("RAM", label).format(t) for t in ("div", "li", "tr")]
     assert on_pages(detail.static_ram, texts) == ["8 GB"] * 3
+
+
+def test_listing_is_complete_where_next_ends(spark):
+    following, last = '<a class="action next" href="#">', '<a class="action next inactive">'
+    rows = [("a", 1, following), ("a", 2, following), ("a", 3, last), ("b", 1, following), ("b", 3, last),
+            ("c", 1, '<a href="?page=4">'), ("d", 1, following), ("e", 1, None)]
+    df = spark.createDataFrame(rows, "listing string, number int, html string")
+    found = {r.listing: (r.pages_claimed, r.complete, r.missing) for r in listing.listing_coverage(df).collect()}
+    assert found == {"a": (3, True, ""), "b": (3, False, "2-2"), "c": (4, False, "2-4"), "d": (2, False, "2-2"), "e": (1, True, "")}
