@@ -168,11 +168,17 @@ def automaton() -> ahocorasick.Automaton:
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _lowered(text: str) -> str:
+    """``text`` in lower case, every character in its place."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else text.translate(_LOWER)  # one capital has two
+
+
 def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[Span]]:
     """The valid spans of each kind, in order of their start."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     floor = dict.fromkeys(KINDS, 0)
-    for last, (length, kinds) in anchors.iter(text.translate(_LOWER)):  # cues in any letter case
+    for last, (length, kinds) in anchors.iter(_lowered(text)):  # cues in any letter case
         start = last + 1 - length
         for kind in kinds:
             if start < floor[kind]:

@@ -269,6 +269,7 @@ def test_fingerprint_arrays_of_the_query(docs):
 
 
 def test_cues_in_any_case_and_counts(docs):
+    assert pii.spans("İİ TOKEN: ab12cd34", pii.automaton())["account"] == [(10, 18)]
     texts = ["ApiKey: ab12cd34", "Api_Key=ab12cd34", "my TOKEN = \"11acdfb36bb72224148e6160f674b4be45601bff\"", "see https://a.b/c", "plain", None]
     rows = {r.doc_id: r for r in pii.personal_data(docs(list(enumerate(texts)))).collect()}
     assert [rows[k].n_account for k in range(6)] == [1, 1, 1, 0, 0, 0] and rows[3].n_url == 1
