@@ -50,7 +50,7 @@ def read(spark, root):
 
 
 def test_stream_equals_the_batch_loop(spark, tmp_path):
-    rows = offers(3, 240, 5)
+    rows = offers(3, 300, 7)
     source, marks, root = str(tmp_path / "feed"), str(tmp_path / "marks"), scratch_path(spark, "t")
 
     def run():
@@ -61,28 +61,28 @@ def test_stream_equals_the_batch_loop(spark, tmp_path):
         stream_reports(with_end_marks(feed, marks), root, f"{root}/cp").awaitTermination()
 
     spark.createDataFrame([], "ts timestamp").write.parquet(marks)
-    land(spark, rows[:80], source, "1")
+    land(spark, rows[:100], source, "1")
     run()
     first = read(spark, root)
     # Rows of a closed hour, of an open one, and without a time.
     late = (rows[0][0], "shop_b", "iPhone 1 128GB", 1.0, None, 900)
     lost = (None, "shop_b", "iPhone 1 128GB", 1.0, None, 901)
-    land(spark, [*rows[80:160], late, lost], source, "2")
+    land(spark, [*rows[100:200], late, lost], source, "2")
     run()
-    land(spark, rows[160:], source, "3")
+    land(spark, rows[200:], source, "3")
     run()
     expected = batch_loop(spark, tmp_path, rows)
     before = read(spark, root)
     assert set(first) <= set(before) < set(expected)  # the last hours are open
     end_mark(spark, marks, START + dt.timedelta(days=1))
     run()
-    assert read(spark, root) == expected and len({e[0] for e in expected}) > 2
+    assert read(spark, root) == expected and len({e[0] for e in expected}) > 3
     run()  # nothing new
     assert read(spark, root) == expected
     kept = spark.read.parquet(f"{root}/late").collect()
     assert sorted(r.ord for r in kept) == [900, 901]
     counts = spark.read.parquet(f"{root}/counts").agg(F.sum("rows"), F.sum("late")).first()
-    assert tuple(counts) == (242, 2)
+    assert tuple(counts) == (302, 2)
 
 
 def test_numbers_have_gaps(spark, tmp_path):
