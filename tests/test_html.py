@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,20 @@ def test_listing_is_complete_where_next_ends(spark):
     df = spark.createDataFrame(rows, "listing string, number int, html string")
     found = {r.listing: (r.pages_claimed, r.complete, r.missing) for r in listing.listing_coverage(df).collect()}
     assert found == {"a": (3, True, ""), "b": (3, False, "2-2"), "c": (4, False, "2-4"), "d": (2, False, "2-2"), "e": (1, True, "")}
+
+
+def test_a_batch_of_pages_is_read_piece_by_piece(spark):
+    text = "x" * (html.PIECE // 3)
+    pages = ["", None, *(f"<p>{k}{text}</p>" for k in range(8)), "<p>" + text * 9 + "</p>", "", None, "<i>z</i>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], names=["id", "html"])
+    found = list(html._read_batches(iter([batch]), ["id"]))
+    assert [i for b in found for i in b.column(0).to_pylist()] == list(range(len(pages)))
+    sizes = [[len(pages[i] or "") for i in b.column(0).to_pylist()] for b in found]
+    assert len(found) > 4
+    assert all(sum(s) <= html.PIECE or sum(n > 0 for n in s) == 1 for s in sizes)
+    texts = [p["text"] for b in found for p in b.column(1).to_pylist()]
+    assert texts == [html.read(p or "")[0] for p in pages]
+    assert list(html._read_batches(iter([batch.slice(0, 0)]), ["id"])) == []
+    rows = spark.createDataFrame(list(enumerate(pages)), "id int, html string").coalesce(1)
+    assert {r.id: r.n for r in html.with_page(rows).selectExpr("id", "size(page.elements) n").collect()} == {
+        i: len(html.read(p or "")[1]) for i, p in enumerate(pages)}
